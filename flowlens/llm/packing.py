@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import os
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -14,13 +16,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import materialize
-from .words import WordCache, words_of
+from .words import WordCache
 
 SEQUENCE_TOKENS = 4096
 END_ID = 1
 OPEN_BINS = 1024
 #: Most tokens and pieces that one packing task gets. Each task ends with a few bins that aren't full.
 TASK_TOKENS, TASK_PIECES = 1 << 24, 1 << 18
+#: Unknown words encoded in one call, and words of documents looked up together.
+ENCODED_TOGETHER, LEARNT_TOGETHER = 4096, 400_000
+#: Words of small Latin letters (UTF-8), each of which stays one letter; the vocabulary takes them as one piece.
+PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+#: A mark between a letter and white space is a piece of its own, so it may stand alone.
+MARK = re.compile(rb"(?<=[a-z])([.,;:!?])(?=[\x20\x09-\x0D]|\Z)")
+_STOP = object()
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -29,17 +38,59 @@ def _encoder(path: str) -> WordCache:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    encode = Tokenizer.from_file(path).encode
-    return WordCache(lambda word: np.array(encode(word.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids, dtype="<u4").tobytes())
+    tokenizer = Tokenizer.from_file(path)
+    last = np.zeros(tokenizer.get_vocab_size(), dtype=bool)  # whether a token ends a piece of a word
+    last[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+    to_bytes = lambda ids: np.array(ids, dtype="<u4").tobytes()
 
+    def one(word: bytes) -> bytes:
+        return to_bytes(tokenizer.encode(word.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids)
 
-def token_bytes(text: str | None, encoder: WordCache, end_id: int = END_ID) -> bytes:
-    """Ids of a text and the end id, as little-endian unsigned 32-bit numbers.
+    def together(words: list[bytes]) -> list[bytes]:
+        done = tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0]
+        ids = np.array(done.ids, dtype="<u4")
+        ends = 4 * (np.flatnonzero(last[ids]) + 1)
+        if len(ends) != len(words):  # another vocabulary may cut words of letters
+            return [one(w) for w in words]
+        ids, ends = ids.tobytes(), ends.tolist()
+        return [ids[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
-    This vocabulary never joins what white space separates, so words are
-    encoded one by one and remembered.
+    def many(words: list[bytes]) -> list[bytes]:
+        plain = [w for w in words if PLAIN(w)]
+        out: dict[bytes, bytes] = {}
+        for i in range(0, len(plain), ENCODED_TOGETHER):
+            part = plain[i : i + ENCODED_TOGETHER]
+            out.update(zip(part, together(part), strict=True))
+        return [out[w] if w in out else one(w) for w in words]
+
+    return WordCache(one, encode_many=many)
+
+
+def token_bytes(texts: Iterable[str | None], encoder: WordCache, end_id: int = END_ID) -> Iterator[bytes]:
+    """Ids of each text and the end id, as little-endian unsigned 32-bit numbers.
+
+    This vocabulary takes small and capital letters alike and never joins what
+    white space separates, so each word is encoded once and remembered; the words
+    of some texts are looked up together.
     """
-    return b"".join(map(encoder.__getitem__, words_of(text))) + end_id.to_bytes(4, "little")
+    held: list[list[bytes]] = []
+    total, last = 0, end_id.to_bytes(4, "little")
+    for text in itertools.chain(texts, [_STOP]):
+        if text is _STOP or total >= LEARNT_TOGETHER:
+            encoder.learn(held)
+            for words in held:
+                yield b"".join(map(encoder.__getitem__, words)) + last
+            held, total = [], 0
+        if text is not _STOP:
+            held.append(_pieces(text))
+            total += len(held[-1])
+
+
+def _pieces(text: str | None) -> list[bytes]:
+    octets = text.encode("utf-8", "surrogatepass") if text else b""
+    if b"<|" in octets:  # its special tokens have small letters only
+        return octets.split()
+    return MARK.sub(rb" \1", octets.lower()).split()
 
 
 def token_pieces(docs: DataFrame, tokenizer: str | None = None, sequence_tokens: int = SEQUENCE_TOKENS, with_ids: bool = False) -> DataFrame:
@@ -54,8 +105,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, sequence_tokens:
         encoder = _encoder(tokenizer or public_tokenizers.path("word_bpe_49k.json"))
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"].array, batch["text"].array, strict=True):
-                ids = token_bytes(text, encoder)
+            for doc_id, ids in zip(batch["doc_id"].array, token_bytes(batch["text"].array, encoder), strict=True):
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), *([part] if with_ids else [])))

@@ -13,25 +13,47 @@ import numpy as np
 #: The same words for Spark's regular expressions.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
-#: Entries a per-task word cache may hold before it is emptied.
-CACHE_ENTRIES = 400_000
+#: Entries of the newer half of a per-task word cache; when it is full, it becomes the older half.
+CACHE_ENTRIES = 300_000
+#: Longer words are rare and aren't remembered, so that the number of entries bounds the memory.
+CACHED_LENGTH = 256
 
 
 class WordCache(dict):
-    """Maps a word to the bytes that ``encode`` makes of it; emptied when full, so memory stays bounded."""
+    """Maps a word to the bytes that ``encode`` makes of it.
 
-    def __init__(self, encode: Callable[[bytes], bytes], limit: int = CACHE_ENTRIES):
+    Words used since the last change of halves stay, so frequent words outlive
+    the many that occur once. ``encode_many`` does a list of words at once, for
+    ``learn``.
+    """
+
+    def __init__(self, encode: Callable[[bytes], bytes], limit: int = CACHE_ENTRIES, encode_many: Callable[[list[bytes]], list[bytes]] | None = None):
         super().__init__()
-        self.encode, self.limit = encode, limit
+        self.encode, self.limit, self.encode_many, self.older = encode, limit, encode_many, {}
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
-        out = self.encode(word)
-        if len(word) <= 256:  # longer ones are rare and would make the bound useless
+        self._turn()
+        out = self.older.get(word)
+        if out is None:
+            out = self.encode(word)
+        if len(word) <= CACHED_LENGTH:
             self[word] = out
         return out
 
+    def _turn(self) -> None:
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+
+    def learn(self, texts: list[list[bytes]]) -> None:
+        """Encodes the words of some texts that aren't known yet, together."""
+        self._turn()
+        fresh = set().union(*texts).difference(self)
+        known = {w: self.older[w] for w in fresh & self.older.keys()}
+        self.update(known)
+        fresh = [w for w in fresh.difference(known) if len(w) <= CACHED_LENGTH]
+        self.update(zip(fresh, self.encode_many(fresh), strict=True))
+
 
 def words_of(text: str | None) -> list[bytes]:
     """Words of a text as UTF-8; a null text has none."""
