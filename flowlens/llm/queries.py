@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, lines, mixing, packing, pages, quality, simhash, substrings, toxicity
+from . import embeddings, licenses, lines, mixing, packing, pages, quality, simhash, substrings, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op2_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(read(spark, sf_dir, "pages"))
 
@@ -54,6 +58,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embeddings": op1_embeddings,
     "op2_pages": op2_pages,
     "op3_simhash": op3_simhash,
     "op4_packing": op4_packing,
