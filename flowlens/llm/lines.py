@@ -128,7 +128,8 @@ def _losers(distinct: DataFrame, docs: DataFrame, most_edits: int) -> DataFrame:
     long = met.where(~inline).select(*[f"{s}_{c}" for s in "ab" for c in ("h1", "h2", "first_doc")]).distinct()
     short = met.where(inline).withColumnsRenamed({"a_short": "a_line", "b_short": "b_line"})
     needed = long.select(*[F.col(f"a_{c}").alias(c) for c in ("h1", "h2", "first_doc")]).union(long.select(*[f"b_{c}" for c in ("h1", "h2", "first_doc")])).distinct().withColumnRenamed("first_doc", "ord")
-    held = docs.where("text is not null").join(needed.select("ord").distinct(), "ord", "left_semi")
+    # the ids needed grow with the table, so the plan is the same at every size and never broadcasts them
+    held = docs.where("text is not null").join(needed.select("ord").distinct().hint("merge"), "ord", "left_semi")
     texts = materialize(_lines(held).join(needed, ["ord", "h1", "h2"], "left_semi").select("h1", "h2", "line").distinct(), "texts")
     for s in "ab":
         long = long.join(texts.withColumnsRenamed({"h1": f"{s}_h1", "h2": f"{s}_h2", "line": f"{s}_line"}), [f"{s}_h1", f"{s}_h2"])

@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -18,7 +19,7 @@ from . import crf
 from .words import WORD_PATTERN, WordCache, words_of
 
 #: Labelled documents that a model learns from at most, chosen by a hash of the id.
-TOXIC_SAMPLE, CLEAN_SAMPLE = 2000, 6000
+TOXIC_SAMPLE, CLEAN_SAMPLE = 1000, 3000
 #: Lengths of word beginnings that are features beside the whole word.
 PREFIXES = (4, 5, 6, 7)
 #: Words kept on either side of a marked one in a training sequence, and the longest such sequence.
@@ -88,28 +89,39 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     """A model from texts and labels of whole documents.
 
     Words are labelled first: features far more frequent in toxic documents than
-    in clean ones mark the words of toxic documents that have them. The chain is
+    in clean ones, counted once for equal neighbours as copies have them, mark
+    the words of toxic documents that have them. The chain is
     trained on the marked words with their neighbours, on words of clean
     documents with such a feature, and on other words of clean documents.
     """
-    toxic, clean = ([[w.decode("utf-8", "surrogatepass") for w in words_of(t)] for t, y in rows if y == label] for label in (1, 0))
+    toxic, clean = ([t for t, y in rows if y == label] for label in (1, 0))
     if not toxic or not clean:
         return Model()
-    memo: dict[str, list[str]] = {}
-    of = lambda w: memo[w] if w in memo else memo.setdefault(w, features(w))
-    in_toxic = Counter(f for words in toxic for f in {f for w in set(words) for f in of(w)})
-    often = {f for f, n in in_toxic.items() if n >= 3}
-    in_clean = Counter(f for words in clean for f in {f for w in set(words) for f in of(w)} & often)
-    marked = set(sorted((f for f in often if _lift(in_toxic[f], len(toxic), in_clean[f], len(clean), len(often))), key=lambda f: (-in_toxic[f], f))[:FEATURES])
+    of = lru_cache(maxsize=50_000)(features)
+    in_toxic = Counter(f for text in toxic for f in {f for w in set(text.split()) for f in of(w)})
+    often = {f: n for f, n in in_toxic.items() if n >= 3}
+    del in_toxic
+    in_clean = Counter(f for text in clean for f in {f for w in set(text.split()) for f in of(w) if f in often})
+    frequent = {f: n for f, n in often.items() if _lift(n, len(toxic), in_clean[f], len(clean), len(often))}
+    places: dict[str, set[tuple[str, str]]] = {f: set() for f in frequent}
+    for text in toxic:
+        words = ["", *text.split(), ""]
+        for before, w, after in zip(words, words[1:], words[2:], strict=False):
+            for f in of(w):
+                if f in places:
+                    places[f].add((before, after))
+    apart = {f: min(n, len(places[f])) for f, n in frequent.items()}  # copies of one document are one place
+    marked = set(sorted((f for f, n in apart.items() if _lift(n, len(toxic), in_clean[f], len(clean), len(often))), key=lambda f: (-apart[f], f))[:FEATURES])
     sequences, labels = [], []
     for label, texts in ((1, toxic), (0, clean)):
-        for n, words in enumerate(texts):
-            hits = [i for i, w in enumerate(words) if not marked.isdisjoint(of(w))]
+        for n, text in enumerate(texts):
+            words = [w.decode("utf-8", "surrogatepass") for w in words_of(text)]
+            evident = {w for w in set(words) if not marked.isdisjoint(of(w))}
+            hits = {i for i, w in enumerate(words) if w in evident}
             near = sorted({j for i in hits for j in range(max(0, i - AROUND), min(len(words), i + AROUND + 1))})
             if not hits and label == 0:
                 begin = n * 7919 % max(1, len(words))
                 near = list(range(begin, min(len(words), begin + 2 * AROUND)))
-            hits = set(hits)
             runs: list[list[int]] = []
             for j in near:
                 if runs and j == runs[-1][-1] + 1 and len(runs[-1]) < LONGEST:
@@ -120,8 +132,8 @@ def fit(rows: list[tuple[str, int]]) -> Model:
                 sequences.append([[f for f in of(words[j]) if f in marked] for j in run])
                 labels.append([int(label == 1 and j in hits) for j in run])
     model = Model(crf.train(sequences, labels, rounds=80))
-    scores = WordScores(model.word_score)
-    evidence = [(model.marks([w.encode("utf-8", "surrogatepass") for w in words], scores)[1], y) for y, texts in ((1, toxic), (0, clean)) for words in texts]
+    scores = WordScores(model.word_score, limit=50_000)
+    evidence = [(model.marks(words_of(text), scores)[1], y) for y, texts in ((1, toxic), (0, clean)) for text in texts]
     model.document = _logistic(evidence)
     return model
 
