@@ -102,7 +102,7 @@ def timing_logs(spark: SparkSession, path: str) -> DataFrame:
     rows = _lines(spark, path)
     w = Window.partitionBy("file").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     header = F.when(F.col("line").rlike(head), F.struct(*[F.regexp_extract("line", head, i).alias(n) for i, n in ((1, "host"), (2, "protocol"), (3, "period"))]))
-    rows = rows.withColumn("h", F.last(header, ignorenulls=True).over(w)).where(~F.col("line").rlike(head) & F.col("h").isNotNull())
+    rows = rows.withColumn("h", F.last(header, ignorenulls=True).over(w)).where(~F.col("line").rlike(head) & F.col("h").isNotNull() & (F.trim("line") != ""))
     return rows.select("file", "seq", "h.host", "h.protocol", F.col("h.period").cast("double").alias("period"), F.col("line").try_cast("double").alias("value"))
 
 
@@ -127,5 +127,5 @@ def party_tables(spark: SparkSession, path: str) -> DataFrame:
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, seq, line) of small text files; a file is read whole so that its lines keep their places."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select("value", path_part(0).alias("file"))
+    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select("value", path_part(0).alias("file"))
     return rows.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("seq", "line"))
