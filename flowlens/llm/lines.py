@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, materialize
+from .shared import computed_once, discard, materialize
 
 MOST_EDITS = 1
 #: A pair links if the longer line has at least this many bytes for each edit: a similarity of 0.8 or more.
@@ -49,12 +49,13 @@ def dedup_lines(docs: DataFrame, most_edits: int = MOST_EDITS) -> DataFrame:
     n_lines = F.size(F.filter("_all", lambda s: ~s.rlike(BLANK)))
     n_kept = F.size(F.filter("_kept", lambda s: ~F.startswith(s, F.lit("\n"))))
     plain = F.transform("_kept", lambda s: F.when(F.startswith(s, F.lit("\n")), F.substring_index(s, "\n", -1)).otherwise(s))
-    return rows.select(
-        "doc_id",
+    done = computed_once(
+        rows.select("doc_id", "text", "_all", "_kept"),
         F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"),
         F.when(F.col("text").isNull(), 0).otherwise(n_lines - n_kept).cast("long").alias("n_removed"),
         F.when(F.col("text").isNotNull(), F.array_join(plain, "\n")).alias("kept_text"),
     )
+    return done.select("doc_id", "n_lines", "n_removed", "kept_text")
 
 
 def without_repeated_lines(docs: DataFrame, most_edits: int = MOST_EDITS) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -18,6 +19,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def computed_once(df: DataFrame, *columns: str | Column) -> DataFrame:
+    """Adds costly columns so that filters on them aren't pushed below, which would compute each again for every mention.
+
+    The columns come out of a generator of one row, which predicates don't pass.
+    Names of ``df`` and of the columns must differ.
+    """
+    return df.select(*df.columns, F.inline(F.array(F.struct(*columns))))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes the rows to the shared folder and returns them as read from there.
 
