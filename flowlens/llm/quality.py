@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import computed_once
 from .words import WORD_PATTERN
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -38,7 +39,7 @@ def ledger(docs: DataFrame) -> DataFrame:
     Three-word windows are compared within a text by a 64-bit hash of the three
     words: sorting (hash, place) puts equal windows side by side.
     """
-    own = [c for c in docs.columns if c not in {*MEASURES, "fail_bits", "_words", "_windows", "_lines"}]
+    own = [c for c in docs.columns if c not in {*MEASURES, "fail_bits", "_words", "_windows", "_lines", *[f"_{m}" for m in MEASURES]}]
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(*own, F.array_remove(F.split(text, SPACE), "").alias("_words"), F.filter(F.split(text, "\n"), lambda s: s.rlike(WORD_PATTERN)).alias("_lines"), _only(text, r"#*$%&|<>").alias("n_symbols"), _only(text, r"\p{Lu}").alias("n_capitals"))
     w = F.col("_words")
@@ -53,7 +54,9 @@ def ledger(docs: DataFrame) -> DataFrame:
         "n_capitals": F.col("n_capitals"),
     }
     rows = rows.select(*own, *[c.cast("long").alias(name) for name, c in counts.items()], windows.alias("_windows"))
-    rows = rows.withColumn("n_repeat_words", _covered(F.col("_windows")).cast("long")).drop("_windows")
+    costly = [F.col(name).alias(f"_{name}") for name in counts]
+    rows = computed_once(rows, *costly, _covered(F.col("_windows")).cast("long").alias("_n_repeat_words"))
+    rows = rows.select(*own, *[F.col(f"_{name}").alias(name) for name in MEASURES])
     bits = [F.when(F.expr(rule), F.lit(BIT[name])).otherwise(F.lit(0)) for name, rule in RULES]
     fail = bits[0]
     for b in bits[1:]:
