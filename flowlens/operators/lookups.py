@@ -63,3 +63,11 @@ def complete_windows(rows: DataFrame, fingerprints: DataFrame, window: list[str]
     need = fingerprints.groupBy("activity").agg(F.count_distinct("host", "protocol").alias("needed"))
     met = rows.select(*window, "host", "protocol").distinct().join(fingerprints.select("activity", "host", "protocol").distinct(), ["host", "protocol"])
     return met.groupBy(*window, "activity").agg(F.count("*").alias("met")).join(need, "activity").where("met = needed").select(*window, "activity")
+
+
+def gated_votes(votes: DataFrame, complete: DataFrame, fingerprints: DataFrame, window: list[str], unknown: str = "unknown") -> DataFrame:
+    """Votes (window, voted) whose activity has no fingerprint or a complete one in the window; others become unknown."""
+    has = fingerprints.select(F.col("activity").alias("voted")).distinct().withColumn("_needs", F.lit(True))
+    met = complete.select(*window, F.col("activity").alias("voted")).withColumn("_met", F.lit(True))
+    rows = votes.join(has, "voted", "left").join(met, [*window, "voted"], "left")
+    return rows.select(*window, F.when(F.col("_needs") & F.col("_met").isNull(), unknown).otherwise(F.col("voted")).alias("voted"))

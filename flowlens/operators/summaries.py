@@ -61,6 +61,20 @@ def classification_metrics(rows: DataFrame, truth: str, predicted: str, by: list
     return out.withColumns({"precision": over("tp", tp + fp), "recall": over("tp", tp + fn), "f1": F.coalesce(F.try_divide(2.0 * tp, 2 * tp + fp + fn), F.lit(0.0)), "fpr": over("fp", fp + tn), "fnr": over("fn", fn + tp)})
 
 
+def averaged_metrics(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
+    """One row: micro F1, and precision, recall and F1 averaged over the labels that are true somewhere.
+
+    Pairs of labels are counted first, so only their table is read again for each label.
+    """
+    pairs = rows.groupBy(F.col(truth).alias("t"), F.col(predicted).alias("p")).agg(F.count("*").alias("n"))
+    sides = pairs.select(F.explode(F.array(F.struct(F.col("t").alias("label"), F.lit("t").alias("side")), F.struct(F.col("p").alias("label"), F.lit("p").alias("side")))).alias("s"), "t", "p", "n")
+    on = lambda side: F.sum(F.when(F.col("s.side") == side, F.col("n")).otherwise(0))
+    tp = F.sum(F.when((F.col("s.side") == "t") & (F.col("t") == F.col("p")), F.col("n")).otherwise(0))
+    by = sides.groupBy("s.label").agg(tp.alias("tp"), on("t").alias("true"), on("p").alias("made")).where(F.col("true") > 0)
+    share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    return by.agg(share(F.sum("tp"), F.sum("true")).alias("micro_f1"), F.avg(share(F.col("tp"), F.col("made"))).alias("macro_precision"), F.avg(share(F.col("tp"), F.col("true"))).alias("macro_recall"), F.avg(share(2.0 * F.col("tp"), F.col("true") + F.col("made"))).alias("macro_f1"))
+
+
 def event_recall(rows: DataFrame, event: str, truth: str, predicted: str, by: list[str]) -> DataFrame:
     """Share of events of which at least one flow has the right label."""
     hit = rows.groupBy(*by, event).agg(F.max((F.col(truth) == F.col(predicted)).cast("int")).alias("_hit"))

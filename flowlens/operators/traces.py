@@ -38,25 +38,6 @@ def transitions(traces: DataFrame, keys: list[str], pos: str, event: str) -> Dat
     return steps.withColumn("pos", F.col("pos").cast("long")).unionByName(first)
 
 
-def anchored_windows(events: DataFrame, keys: list[str], seconds: str, tie: str, length: int) -> DataFrame:
-    """Adds window: the first event opens one that holds all events to floor(its time) + ``length``; the next event opens another.
-
-    A fold in time order over one key's events, which are gathered in an array.
-    """
-    order = F.sort_array(F.collect_list(F.struct(F.col(seconds).alias("t"), F.col(tie).alias("id"))))
-    start = F.struct(F.lit(-1.0).alias("bound"), F.lit(-1).cast("long").alias("window"), F.array().cast("array<struct<t:double,id:bigint,window:bigint>>").alias("out"))
-
-    def fold(a: Column, x: Column) -> Column:
-        inside = (a["window"] >= 0) & (x["t"] <= a["bound"])
-        window = F.when(inside, a["window"]).otherwise(a["window"] + 1)
-        bound = F.when(inside, a["bound"]).otherwise(F.floor(x["t"]) + F.lit(float(length)))
-        row = F.struct(x["t"].cast("double").alias("t"), x["id"].cast("bigint").alias("id"), window.alias("window"))
-        return F.struct(bound.cast("double").alias("bound"), window.cast("long").alias("window"), F.concat(a["out"], F.array(row)).alias("out"))
-
-    folded = events.groupBy(*keys).agg(order.alias("_o")).select(*keys, F.inline(F.aggregate("_o", start, fold, lambda a: a["out"])))
-    return folded.select(*keys, F.col("id").alias(tie), "window")
-
-
 def vote(rows: DataFrame, window: list[str], label: str, score: str, pos: str, unknown: str = "unknown") -> DataFrame:
     """Each window's most frequent label, unknown ones aside: ties go to the larger best score, then to the first."""
     known = rows.where(F.col(label) != unknown)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from flowlens.operators import models, summaries, traces
+from flowlens.operators import folds, models, summaries, traces
 
 from .inputs import PACKETS_SQL, packets, read
 from .registry import registry
@@ -23,9 +23,7 @@ def _small(spark, sf_dir):
 
 
 def _anchored(spark, sf_dir):
-    rows = _small(spark, sf_dir)
-    windows = traces.anchored_windows(rows, ["device"], "t", "frame_num", 7200)
-    return rows.join(windows, ["device", "frame_num"])
+    return folds.anchored_windows(_small(spark, sf_dir), ["device"], "t", "frame_num", 7200)
 
 
 @query(_ANCHORED + " select device, frame_num, win as window from a")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -125,6 +126,20 @@ def party_tables(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("device not like '\\_overall%'").withColumn("party", F.trim("party").try_cast("int"))
 
 
+def overall_tables(spark: SparkSession, path: str) -> DataFrame:
+    """Summaries by device with a header (first, support and third party counts); counts as longs, spaces in names as underscores.
+
+    Spark passes over files whose name begins with an underscore; give such a file another name first.
+    """
+    rows = spark.read.csv(path, header=True, recursiveFileLookup=True)
+    return rows.select(*[(F.col(c) if c == "device" else F.trim(c).try_cast("long")).alias(c.strip().replace(" ", "_")) for c in rows.columns])
+
+
+def forests(spark: SparkSession, path: str, activities: list[str]) -> dict[str, RandomForestClassificationModel]:
+    """The forests that ``sinks.forests`` wrote, by activity."""
+    return {a: RandomForestClassificationModel.load(f"{path}/{a}") for a in activities}
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, seq, line) of small text files; a file is read whole so that its lines keep their places."""
     rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select("value", path_part(0).alias("file"))

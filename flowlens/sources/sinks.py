@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,3 +35,9 @@ def fingerprint_text(rows: DataFrame, path: str) -> None:
 
 def json_lines(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
+
+
+def forests(models: dict[str, RandomForestClassificationModel], path: str) -> None:
+    """One folder for each activity's forest. Scalers and clusters are tables and need no format of their own."""
+    for activity, model in models.items():
+        model.write().overwrite().save(f"{path}/{activity}")
