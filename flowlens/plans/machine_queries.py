@@ -118,13 +118,13 @@ def trace_invariants(spark, sf_dir):
 
 
 @query(_TRACES + """, l as (select device, trace, n_steps - 1 as length, exp(1 - deviation) as prob from x), g as (select length, count(*) as n, avg(prob) as mean_prob from l group by length)
-select length, n, round(mean_prob, 9) as mean_prob, round(power(mean_prob / lag(mean_prob) over (order by length), 1.0 / (length - lag(length) over (order by length))), 6) as decay from g""")
+select length, n, round(mean_prob, 9) as mean_prob, round(power(mean_prob / nullif(lag(mean_prob) over (order by length), 0), 1.0 / (length - lag(length) over (order by length))), 6) as decay from g""")
 def probability_by_length(spark, sf_dir):
     from pyspark.sql.window import Window
 
     rows = _scores(spark, sf_dir).groupBy((F.col("n_steps") - 1).alias("length")).agg(F.count("*").alias("n"), F.avg(F.exp(1 - F.col("deviation"))).alias("mean_prob"))
     w = Window.orderBy("length")
-    decay = F.pow(F.col("mean_prob") / F.lag("mean_prob").over(w), 1.0 / (F.col("length") - F.lag("length").over(w)))
+    decay = F.pow(F.try_divide(F.col("mean_prob"), F.lag("mean_prob").over(w)), 1.0 / (F.col("length") - F.lag("length").over(w)))
     return rows.select("length", "n", F.round("mean_prob", 9).alias("mean_prob"), F.round(decay, 6).alias("decay"))
 
 
