@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 IPV4 = r"^(25[0-5]|2[0-4]\d|1?\d?\d)(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}$"
+PRIVATE = r"^(10|127|192\.168|169\.254|172\.(1[6-9]|2\d|3[01]))\."
+MULTICAST = r"^(22[4-9]|23\d)\."
 #: Protocols that keep a network running rather than serve an activity.
 INFRASTRUCTURE = ("DNS", "MDNS", "NTP", "SSDP", "DHCP")
 CLOUD = "*.compute.amazonaws.com"
@@ -27,13 +29,12 @@ def ip_number(ip: Column) -> Column:
 
 
 def is_private(ip: Column) -> Column:
-    a, b = octet(ip, 0), octet(ip, 1)
-    inside = (a == 10) | (a == 127) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254))
-    return is_ipv4(ip) & F.coalesce(inside, F.lit(False))
+    """Addresses of private, loopback and link-local networks, by one pattern instead of numbers of octets."""
+    return is_ipv4(ip) & F.coalesce(ip.rlike(PRIVATE), F.lit(False))
 
 
 def is_multicast(ip: Column) -> Column:
-    return is_ipv4(ip) & F.coalesce(octet(ip, 0).between(224, 239), F.lit(False))
+    return is_ipv4(ip) & F.coalesce(ip.rlike(MULTICAST), F.lit(False))
 
 
 def is_local_traffic(a: Column, b: Column, routers: list[str]) -> Column:

@@ -60,12 +60,23 @@ def fit_clusters(rows: DataFrame, keys: list[str], features: list[str], order: s
 
 
 def assign_clusters(rows: DataFrame, cores: DataFrame, keys: list[str], features: list[str], eps: float = 5.0) -> DataFrame:
-    """Adds cluster: that of the first core point nearer than ``eps``, else -1. A key has a bounded number of cores."""
-    gathered = cores.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("core", "cluster", "point"))).alias("_cores"))
+    """Adds cluster: that of the first core point nearer than ``eps``, else -1. A key has a bounded number of cores.
+
+    Cores are listed for the cells, ``eps`` wide in the first two features, in
+    and around which they lie, so a row meets those of its own cell only.
+    """
+    axes = range(min(2, len(features)))
+    cell = lambda x: F.floor(x / eps).cast("long")
+    near = cores.select(*keys, "core", "cluster", "point", *[cell(F.col("point")[i]).alias(f"_c{i}") for i in axes])
+    for i in axes:
+        near = near.withColumn(f"_c{i}", F.explode(F.array(*[F.col(f"_c{i}") + d for d in (-1, 0, 1)])))
+    cells = [f"_c{i}" for i in axes]
+    gathered = near.groupBy(*keys, *cells).agg(F.sort_array(F.collect_list(F.struct("core", "cluster", "point"))).alias("_cores"))
     here = F.array(*[F.col(c).cast("double") for c in features])
     distance = lambda p: F.sqrt(F.aggregate(F.zip_with(p, here, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
     hits = F.filter("_cores", lambda c: distance(c["point"]) < eps)
-    return rows.join(gathered, keys, "left").withColumn("cluster", F.coalesce(F.get(hits, 0)["cluster"], F.lit(-1))).drop("_cores")
+    placed = rows.withColumns({c: cell(F.col(features[i]).cast("double")) for i, c in enumerate(cells)})
+    return placed.join(gathered, [*keys, *cells], "left").select(*rows.columns, F.coalesce(F.get(hits, 0)["cluster"], F.lit(-1)).alias("cluster"))
 
 
 def undersample(negatives: DataFrame, n_positive: int, seed: int, floor: int = 30) -> DataFrame:

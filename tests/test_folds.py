@@ -95,3 +95,16 @@ def test_periods_switch(spark, gaps, want):
     df = spark.createDataFrame(rows, "t double, id long").withColumn("k", F.lit("k")).withColumn("p", F.lit(30.0)).withColumn("more", F.array(F.lit(50.0)))
     out = folds.switching_periods(df, ["k"], "t", "id", "p", "more").orderBy("id").collect()
     assert [r["current"] for r in out] == want and out[0]["score"] is None
+
+
+def test_clusters_by_brute_force(spark):
+    rng = random.Random(8)
+    points = [("k" if i % 3 else "j", i, round(rng.gauss(0, 2), 2), round(rng.gauss(0, 2), 2), round(rng.gauss(0, 1), 2)) for i in range(240)]
+    df = spark.createDataFrame(points, "k string, id long, x double, y double, z double")
+    cores = models.fit_clusters(df.where("id < 150"), ["k"], ["x", "y", "z"], "id", eps=1.0, least=4)
+    held = {}
+    for r in sorted(cores.collect(), key=lambda r: (r["k"], r["core"])):
+        held.setdefault(r["k"], []).append((r["cluster"], r["point"]))
+    got = {r["id"]: r["cluster"] for r in models.assign_clusters(df, cores, ["k"], ["x", "y", "z"], eps=1.0).collect()}
+    want = {i: next((c for c, p in held.get(k, []) if sum((a - b) ** 2 for a, b in zip(p, xyz, strict=True)) ** 0.5 < 1.0), -1) for k, i, *xyz in points}
+    assert got == want and len(set(want.values())) > 1
