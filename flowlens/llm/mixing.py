@@ -24,7 +24,7 @@ def ranked(df: DataFrame, name: str, *order) -> DataFrame:
     """Adds ``name``, the place of each row in a total order from 0, without bringing all rows to one task."""
     parts = materialize(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranked")
     sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.alias("x").join(sizes.alias("y"), F.col("y._part") < F.col("x._part"), "left").groupBy(F.col("x._part").alias("_part")).agg(F.coalesce(F.sum("y._n"), F.lit(0)).alias("_before"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")  # one row for each partition
     within = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
     return parts.withColumn("_at", within).join(before, "_part").withColumn(name, (F.col("_before") + F.col("_at")).cast("long")).drop("_part", "_at", "_before")
 
