@@ -58,28 +58,38 @@ RULES = [
     ("CC0-1.0", ["cc0_notice"]),
     ("MPL-2.0", ["mpl_notice"]),
 ]
-#: Where sentences end: a line, or a full stop, question mark, exclamation mark, colon or semicolon before white space.
-BREAK = r"[.?!:;]+[ \t\r\f\x0B]+|[.?!:;]*\n"
+#: Sentences that speak of a licence only where nothing else stands between two breaks; the others may stand among more words.
+ALONE = {"apache_title", "apache_version", "mit_title", "mit_title_short", "gpl_title", "gpl2_version", "gpl3_version", "cc0_notice", "rights"}
+#: Marks of a break that a known sentence may go across, as a line feed inside a paragraph, and of one where sentences end.
+SOFT, HARD = "\x01", "\x02"
+#: What becomes which mark: a version's "v." is no break, blank lines (bare comment marks too) and full stops are hard, line feeds, colons and semicolons soft.
+BREAKS = [(r"(?i)\bv\.\s+(?=\d)", "v "), (r"[:;]*[.?!][.?!:;]*\s+|\n[^\p{L}\p{N}\n]*\n[^\p{L}\p{N}]*", HARD), (r"[:;]+\s+|\n", SOFT)]
 #: Words one of which every known sentence holds. Texts and sentences without any have no identifier.
 HINTS = ("licens", "permission", "permitted", "warranty", "redistribut", "rights", "neither the name", "version", "universal", "copyright")
 
 
+def _pattern() -> str:
+    """Finds the known sentences in a normal text, of those that begin at one place the longest."""
+    words = {name: rf"[ {SOFT}]+".join(sentence.removesuffix(" *").split()) for name, sentence in SENTENCES.items()}
+    longest = sorted(SENTENCES, key=lambda name: -len(SENTENCES[name]))
+    ends = rf"(?= ?(?:[{SOFT}{HARD}]|\z))"
+    alone = "|".join(words[n] for n in longest if n in ALONE)
+    among = "|".join(words[n] for n in longest if n not in ALONE)
+    edge = f" {SOFT}{HARD}"
+    # "is not licensed under ..." is no notice
+    return rf"(?<![^{edge}])(?:(?<!\bnot |n t |\bnever )(?:{among})(?![^{edge}])|(?<=\A|[{SOFT}{HARD}]|[{SOFT}{HARD}] )(?:{alone}){ends})"
+
+
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
     hint = "(?i)" + "|".join(h.replace(" ", r"\s+") for h in HINTS)
-    sentences = F.filter(F.split(text, BREAK), lambda s: s.rlike(hint))
-    normal = F.transform(sentences, lambda s: F.trim(F.lower(F.regexp_replace(s, r"[^\p{L}\p{N}]+", " "))))
-    exact = {s: i for i, s in SENTENCES.items() if not s.endswith("*")}
-    known = F.create_map(*[F.lit(x) for pair in exact.items() for x in pair])
-
-    def identify(s: Column) -> Column:
-        found = F.element_at(known, s)
-        for name, sentence in SENTENCES.items():
-            if sentence.endswith(" *"):
-                found = F.coalesce(found, F.when(F.startswith(s, F.lit(sentence[:-2])), F.lit(name)))
-        return found
-
-    ids = F.filter(F.transform(normal, identify), lambda i: i.isNotNull())
+    normal = F.translate(text, SOFT + HARD, "  ")
+    for pattern, mark in BREAKS:
+        normal = F.regexp_replace(normal, pattern, mark)
+    normal = F.trim(F.lower(F.regexp_replace(normal, rf"[^\p{{L}}\p{{N}}{SOFT}{HARD}]+", " ")))
+    found = F.regexp_extract_all(normal, F.lit(_pattern()), F.lit(0))
+    known = F.create_map(*[F.lit(x) for name, s in SENTENCES.items() for x in (s.removesuffix(" *"), name)])
+    ids = F.transform(found, lambda s: F.element_at(known, F.regexp_replace(s, rf"[ {SOFT}]+", " ")))
     return F.when(text.rlike(hint), ids).otherwise(F.expr("cast(array() as array<string>)"))
 
 
@@ -88,8 +98,9 @@ def scan(docs: DataFrame) -> DataFrame:
 
     ``primary_license`` is that of the first rule that holds; null if none does.
     Null and empty texts have no sentences. Repeated rows come back as often.
-    Sentences are matched whole after normalising, so a licence that is only
-    talked about isn't one. One pass, no shuffle; other columns are not read.
+    Sentences are matched as whole words after normalising, across the lines of
+    a paragraph; titles must stand alone on a line or in a sentence, so a licence
+    that is only named isn't one. One pass, no shuffle; other columns are not read.
     """
     ids = docs.select("doc_id", sentence_ids(F.coalesce("text", F.lit(""))).alias("sentence_ids"))
     path = F.concat(F.lit(","), F.array_join("sentence_ids", ","), F.lit(","))
