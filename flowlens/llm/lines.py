@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import computed_once, discard, materialize
+from .shared import computed_once, discard, materialize, with_row_keys
 
 MOST_EDITS = 1
 #: A pair links if the longer line has at least this many bytes for each edit: a similarity of 0.8 or more.
@@ -62,11 +62,13 @@ def without_repeated_lines(docs: DataFrame, most_edits: int = MOST_EDITS) -> Dat
     """``docs`` with the kept lines as text, and ``n_chars``, if there, counted again.
 
     Documents all of whose lines went are dropped; documents that had none stay.
-    Ids must be unique and not null.
+    Every row is a document of its own, in order of doc_id, nulls last: of rows
+    that repeat an id and a text one stays, as the lines of the others repeat.
     """
-    done = dedup_lines(docs, most_edits).where("n_removed < n_lines or n_lines = 0").select("doc_id", "kept_text")
+    keyed = with_row_keys(docs, "_row")
+    done = dedup_lines(keyed.withColumn("doc_id", F.col("_row")), most_edits).where("n_removed < n_lines or n_lines = 0").select(F.col("doc_id").alias("_row"), "kept_text")
     columns = [F.col("kept_text").alias(c) if c == "text" else F.length("kept_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return docs.drop("text", "n_chars").join(done, "doc_id").select(*columns)
+    return keyed.drop("text", "n_chars").join(done, "_row").select(*columns)
 
 
 def _marked(text: str) -> Column:

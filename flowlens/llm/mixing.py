@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import materialize
+from .shared import materialize, with_row_keys
 from .words import WORD_PATTERN
 
 WEIGHTS = (3, 1, 2)
@@ -112,11 +112,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUD
     that repeat an id count as documents of their own. Documents without words
     take 0. An empty table gives no rows. Reruns agree.
     """
-    sizes = materialize(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size")), "sizes")
+    return _mix(docs, [], weights, budget, cap, seed)
+
+
+def _mix(docs: DataFrame, keys: list[str], weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, cap: float = CAP, seed: int = 11) -> DataFrame:
+    """``mix`` with the columns ``keys``, which tell rows of equal ids apart."""
+    sizes = materialize(docs.select(*keys, "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size")), "sizes")
     targets = materialize(source_targets(sizes, weights, budget, cap), "targets")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = targets.withColumn("whole", whole).withColumn("rest", F.floor(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
-    rows = materialize(sizes.join(plan, sizes["source"].eqNullSafe(plan["source"])).select("doc_id", "size", "source_rank", "source_size", "target", "whole", "rest"), "rows")
+    rows = materialize(sizes.join(plan, sizes["source"].eqNullSafe(plan["source"])).select(*keys, "doc_id", "size", "source_rank", "source_size", "target", "whole", "rest"), "rows")
     by_length = rows.groupBy("source_rank", "rest", "size").agg(F.count("*").alias("n"))
 
     def choose(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
@@ -131,17 +136,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUD
     group = ["source_rank", "size", "slot"]
     counts = dealt.groupBy(*group).agg(F.count("*").alias("in_slot"))
     before = F.sum("in_slot").over(Window.partitionBy("source_rank", "size").orderBy("slot")) - F.col("in_slot")
-    place = F.row_number().over(Window.partitionBy(*group).orderBy("order", "doc_id"))
+    place = F.row_number().over(Window.partitionBy(*group).orderBy("order", "doc_id", *keys))
     chosen = dealt.withColumn("place", place).join(counts.withColumn("before", before), group)
     extra = F.when(F.col("place") + F.col("before") <= F.col("picks"), 1).otherwise(0)
-    return chosen.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + extra)).alias("taken"))
+    return chosen.select(*keys, "doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + extra)).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix: each row of ``docs`` as often as the mix takes it, columns unchanged.
 
-    Ids must be unique. Rows whose documents have no words stay once, as they
-    take nothing from any budget.
+    Every row is a document of its own, also if its id is null or repeats. Rows
+    whose documents have no words stay once, as they take nothing from any budget.
     """
-    copies = mix(docs, **options).select("doc_id", F.when(F.col("size") > 0, F.expr("cast(taken div size as int)")).otherwise(1).alias("_copies"))
-    return docs.join(copies, "doc_id").where("_copies > 0").withColumn("_copies", F.explode(F.sequence(F.lit(1), "_copies"))).drop("_copies")
+    keyed = with_row_keys(docs, "_row")
+    copies = _mix(keyed, ["_row"], **options).select("_row", F.when(F.col("size") > 0, F.expr("cast(taken div size as int)")).otherwise(1).alias("_copies"))
+    return keyed.join(copies, "_row").where("_copies > 0").withColumn("_copies", F.explode(F.sequence(F.lit(1), "_copies"))).drop("_copies", "_row")

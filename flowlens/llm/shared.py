@@ -42,6 +42,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def with_row_keys(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with ``name``, a long of each row's own that rises with doc_id, nulls last, and among equal ids with the text's hash."""
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text").asc()]
+    return materialize(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id()), "keyed")
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a table of ``materialize`` that nothing needs any more."""
     spark = df.sparkSession

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import materialize
+from .shared import materialize, with_row_keys
 from .words import word_spans, words_of
 
 BITS = 64
@@ -222,7 +222,7 @@ def _signed(x: int) -> int:
 
 
 def keep_first_of_each_group(docs: DataFrame, width: int = 4, most_bits: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its group; all columns stay."""
-    stay = near_duplicates(docs, width, most_bits).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi")
-
+    """Of each group the row with the smallest doc_id, nulls last; all columns stay. Of rows that repeat an id and a text one stays."""
+    keyed = with_row_keys(docs, "_row")
+    stay = near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text"), width, most_bits).where("doc_id = component_id").select(F.col("doc_id").alias("_row"))
+    return keyed.join(stay, "_row", "left_semi").drop("_row")
