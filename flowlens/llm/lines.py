@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from .shared import computed_once, discard, materialize, with_row_keys
 
+#: Of the query ``op6_lines``, whose SQL links lines at one byte edit.
 MOST_EDITS = 1
-#: A pair links if the longer line has at least this many bytes for each edit: a similarity of 0.8 or more.
+#: Of the pipeline's stage, in characters: one edit from 5 characters on, two from 10, three from 15.
+STAGE_EDITS = 3
+#: A pair links if the longer line has at least this many bytes or characters for each edit.
 BYTES_PER_EDIT = 5
 #: Lines of at most so many bytes travel with their keys, as short segments meet by chance more often.
 INLINE_BYTES = 48
@@ -17,12 +20,13 @@ BLANK = r"^[\x20\x09-\x0D]*$"
 LAST = (1 << 63) - 1
 
 
-def dedup_lines(docs: DataFrame, most_edits: int = MOST_EDITS) -> DataFrame:
+def dedup_lines(docs: DataFrame, most_edits: int = MOST_EDITS, characters: bool = False) -> DataFrame:
     """doc_id, n_lines, n_removed and kept_text of every row of ``docs``.
 
     A line is what stands between line feeds and has a word; blank lines stay
     and aren't counted. Lines link at ``most_edits`` (1 to 3) or fewer byte
-    edits, if those are at most a fifth of the longer line's bytes. Of equal
+    edits, or character edits if ``characters`` is set, if those are at most a
+    fifth of the longer line's bytes or characters. Of equal
     lines the first one stays, by doc_id and place. All occurrences of a line go
     if a linked line first occurs in an earlier document, or in the same one and
     sorts before it. Null texts have no lines and a null kept_text; null ids come
@@ -38,8 +42,8 @@ def dedup_lines(docs: DataFrame, most_edits: int = MOST_EDITS) -> DataFrame:
         raise ValueError("most_edits must be 1, 2 or 3")
     docs = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(LAST)).cast("long").alias("ord"), F.xxhash64("text").alias("th"))
     lines = _lines(docs)
-    distinct = materialize(_distinct(lines, most_edits), "lines")
-    losers = materialize(_losers(distinct, docs, most_edits), "near_lines")
+    distinct = materialize(_distinct(lines, most_edits, characters), "lines")
+    losers = materialize(_losers(distinct, docs, most_edits, characters), "near_lines")
     flagged = distinct.where("n_docs > 1").select("h1", "h2", "first_doc").withColumn("near", F.lit(False)).unionByName(losers.withColumn("first_doc", F.lit(-LAST)).withColumn("near", F.lit(True)))
     gone = lines.select("ord", "th", "at", "h1", "h2").join(flagged, ["h1", "h2"]).where("near or ord > first_doc").groupBy("ord", "th").agg(F.collect_set("at").alias("gone"))
     rows = docs.join(gone, ["ord", "th"], "left").select("doc_id", "text", F.split("text", "\n").alias("_all"), F.coalesce("gone", F.expr("cast(array() as array<int>)")).alias("_gone"))
@@ -58,7 +62,7 @@ def dedup_lines(docs: DataFrame, most_edits: int = MOST_EDITS) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_removed", "kept_text")
 
 
-def without_repeated_lines(docs: DataFrame, most_edits: int = MOST_EDITS) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, most_edits: int = STAGE_EDITS, characters: bool = True) -> DataFrame:
     """``docs`` with the kept lines as text, and ``n_chars``, if there, counted again.
 
     Documents all of whose lines went are dropped; documents that had none stay.
@@ -66,7 +70,7 @@ def without_repeated_lines(docs: DataFrame, most_edits: int = MOST_EDITS) -> Dat
     that repeat an id and a text one stays, as the lines of the others repeat.
     """
     keyed = with_row_keys(docs, "_row")
-    done = dedup_lines(keyed.withColumn("doc_id", F.col("_row")), most_edits).where("n_removed < n_lines or n_lines = 0").select(F.col("doc_id").alias("_row"), "kept_text")
+    done = dedup_lines(keyed.withColumn("doc_id", F.col("_row")), most_edits, characters).where("n_removed < n_lines or n_lines = 0").select(F.col("doc_id").alias("_row"), "kept_text")
     columns = [F.col("kept_text").alias(c) if c == "text" else F.length("kept_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return keyed.drop("text", "n_chars").join(done, "_row").select(*columns)
 
@@ -97,13 +101,18 @@ def _places(most_edits: int) -> list[tuple[int, int, int]]:
     return [(d, i, s) for d in range(k + 1) for i in range(k + 1) for s in range(max(-i, d - (k - i)), min(i, d + (k - i)) + 1)]
 
 
-def _distinct(lines: DataFrame, most_edits: int) -> DataFrame:
-    """One row for each line: first_doc, n_docs, n (bytes), short (the line, if short), and keys of its segments and probes."""
-    octets, n = F.col("line").cast("binary"), F.octet_length("line")
+def _units(line: Column, characters: bool) -> tuple[Column, Column, int]:
+    """A line as bytes, its length in bytes or characters, and how many bytes each of those takes."""
+    return (F.encode(line, "UTF-32"), F.length(line), 4) if characters else (line.cast("binary"), F.octet_length(line), 1)
+
+
+def _distinct(lines: DataFrame, most_edits: int, characters: bool) -> DataFrame:
+    """One row for each line: first_doc, n_docs, n (bytes or characters), short (the line, if short), and keys of its segments and probes."""
+    octets, n, unit = _units(F.col("line"), characters)
 
     def key(length: Column, i: int, start: Column, size: Column) -> Column:
         fits = (length >= most_edits + 1) & (start >= 0) & (start + size <= n)
-        return F.when(fits, F.xxhash64(length, F.lit(i), F.substring(octets, start + 1, size)))
+        return F.when(fits, F.xxhash64(length, F.lit(i), F.substring(octets, start * unit + 1, size * unit)))
 
     keys = []
     for i in range(most_edits + 1):
@@ -112,12 +121,12 @@ def _distinct(lines: DataFrame, most_edits: int) -> DataFrame:
     for p, (d, i, s) in enumerate(_places(most_edits)):
         start, size = _segment(n - d, i, most_edits)
         keys.append(F.when(n >= BYTES_PER_EDIT * max(d, 1), key(n - d, i, start + s, size)).alias(f"p{p}"))
-    rows = lines.select("ord", "h1", "h2", F.when(n <= INLINE_BYTES, F.col("line")).alias("short"), n.alias("n"), *keys)
+    rows = lines.select("ord", "h1", "h2", F.when(F.octet_length("line") <= INLINE_BYTES, F.col("line")).alias("short"), n.alias("n"), *keys)
     names = [f"x{i}" for i in range(most_edits + 1)] + [f"p{p}" for p in range(len(_places(most_edits)))]
     return rows.groupBy("h1", "h2", "short").agg(F.min("ord").alias("first_doc"), F.count("*").alias("n_docs"), *[F.min(c).alias(c) for c in names])
 
 
-def _losers(distinct: DataFrame, docs: DataFrame, most_edits: int) -> DataFrame:
+def _losers(distinct: DataFrame, docs: DataFrame, most_edits: int, characters: bool) -> DataFrame:
     """h1, h2 of the lines that go because of a linked one."""
     own = ["h1", "h2", "short", "first_doc"]
     index = distinct.select(*[F.col(c).alias(f"b_{c}") for c in own], F.explode(F.array(*[f"x{i}" for i in range(most_edits + 1)])).alias("key")).where("key is not null")
@@ -126,7 +135,7 @@ def _losers(distinct: DataFrame, docs: DataFrame, most_edits: int) -> DataFrame:
     inline = F.col("a_short").isNotNull() & F.col("b_short").isNotNull()
     apart = (F.col("a_h1") != F.col("b_h1")) | (F.col("a_h2") != F.col("b_h2"))
     once = ~F.col("same") | (F.col("a_h1") < F.col("b_h1")) | ((F.col("a_h1") == F.col("b_h1")) & (F.col("a_h2") < F.col("b_h2")))
-    met = probe.join(index, (probe["key"] == index["key"]) & apart & once & (~inline | linked(F.col("a_short"), F.col("b_short"), most_edits))).drop("key", "same")
+    met = probe.join(index, (probe["key"] == index["key"]) & apart & once & (~inline | linked(F.col("a_short"), F.col("b_short"), most_edits, characters))).drop("key", "same")
     met = materialize(met, "met")
     long = met.where(~inline).select(*[f"{s}_{c}" for s in "ab" for c in ("h1", "h2", "first_doc")]).distinct()
     short = met.where(inline).withColumnsRenamed({"a_short": "a_line", "b_short": "b_line"})
@@ -136,13 +145,13 @@ def _losers(distinct: DataFrame, docs: DataFrame, most_edits: int) -> DataFrame:
     texts = materialize(_lines(held).join(needed, ["ord", "h1", "h2"], "left_semi").select("h1", "h2", "line").distinct(), "texts")
     for s in "ab":
         long = long.join(texts.withColumnsRenamed({"h1": f"{s}_h1", "h2": f"{s}_h2", "line": f"{s}_line"}), [f"{s}_h1", f"{s}_h2"])
-    pairs = long.where(linked(F.col("a_line"), F.col("b_line"), most_edits)).unionByName(short)
+    pairs = long.where(linked(F.col("a_line"), F.col("b_line"), most_edits, characters)).unionByName(short)
     first = (F.col("a_first_doc") < F.col("b_first_doc")) | ((F.col("a_first_doc") == F.col("b_first_doc")) & (F.col("a_line") < F.col("b_line")))
     return pairs.select(F.when(first, F.col("b_h1")).otherwise(F.col("a_h1")).alias("h1"), F.when(first, F.col("b_h2")).otherwise(F.col("a_h2")).alias("h2")).distinct()
 
 
-def linked(a: Column, b: Column, most_edits: int) -> Column:
-    """Whether two lines are within ``most_edits`` byte edits, and those within a fifth of the longer one's bytes.
+def linked(a: Column, b: Column, most_edits: int, characters: bool = False) -> Column:
+    """Whether two lines are within ``most_edits`` edits of bytes or characters, and those within a fifth of the longer one's.
 
     Bit-parallel over a band of diagonals: bit d + k of word e says that after
     the text's bytes so far, the pattern's prefix d bytes longer is within e
@@ -151,15 +160,14 @@ def linked(a: Column, b: Column, most_edits: int) -> Column:
     the pattern moves up one.
     """
     k = most_edits
-    p, t = a.cast("binary"), b.cast("binary")
-    np_, nt = F.octet_length(a), F.octet_length(b)
+    (p, np_, unit), (t, nt, _) = _units(a, characters), _units(b, characters)
     band = (1 << (2 * k + 1)) - 1
 
     def step(state: Column, j: Column) -> Column:
-        c = F.substring(t, j, F.lit(1))
+        c = F.substring(t, (j - 1) * unit + 1, F.lit(unit))
         same = None
         for d in range(-k, k + 1):
-            bit = F.when((j + d >= 1) & (j + d <= np_) & (F.substring(p, j + d, F.lit(1)) == c), 1 << (d + k)).otherwise(0)
+            bit = F.when((j + d >= 1) & (j + d <= np_) & (F.substring(p, (j + d - 1) * unit + 1, F.lit(unit)) == c), 1 << (d + k)).otherwise(0)
             same = bit if same is None else same + bit
         return F.struct(same.alias("m"), *[state[f"r{e}"].alias(f"r{e}") for e in range(k + 1)])
 
