@@ -24,9 +24,16 @@ HIDDEN = "script style template noscript textarea title select svg math iframe o
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 BOUNDS = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
 
-_RAW = "|".join(h for h in HIDDEN if h != "head")
+# Elements that a browser reads up to their end tag or the page's end, whatever stands between.
+TO_THE_END = "script style textarea title".split()
+
+_RAW = "|".join(h for h in HIDDEN if h != "head" and h not in TO_THE_END)
+_ATTRS = r"""(?:"[^"]*"|'[^']*'|[^"'>])*+"""
+# The others have content if their end tag comes before another start of the same name; one whole element of that name may stand inside.
+# Without an end tag, or closed in itself, the tag alone goes.
 TOKEN = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})(?=[\s/>])(?:"[^"]*"|'[^']*'|[^"'>])*+>.*?(?:</(?P=raw)\s*>|\Z)"""
+    rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{"|".join(TO_THE_END)})(?=[\s/>]){_ATTRS}>.*?(?:</(?P=raw)\s*>|\Z)"""
+    rf"""|<(?P<part>{_RAW})(?=[\s/>]){_ATTRS}(?:(?<=/)>|>(?:[^<]++|<(?P=part)(?=[\s/>]){_ATTRS}(?:(?<=/)>|>(?:[^<]++|(?!</?(?P=part)[\s/>])<)*+</(?P=part)\s*>)|(?!</?(?P=part)[\s/>])<)*+</(?P=part)\s*>)"""
     r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:"[^"]*"|'[^']*'|[^"'>])*+)>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z|<\Z""",
     re.DOTALL | re.IGNORECASE,
 )
@@ -52,7 +59,9 @@ def leaf_blocks(page: str | None) -> list[Block]:
     """Text between block tags, in page order, with its open elements, outermost first.
 
     Markup, comments, scripts, styles and other elements whose content isn't
-    text are dropped, an element or tag that the page's end cuts off too.
+    text are dropped, a script, style, textarea, title or tag that the page's end
+    cuts off too. Of other such elements that are closed in themselves or never
+    closed only the tag goes.
     Character references are decoded after the markup is taken away; white space
     becomes one space; blocks without text are left out.
     """

@@ -60,6 +60,21 @@ def test_broken_markup():
     assert texts("<div>" * 5_000 + "x" + "</div>" * 5_000) == ["x"]
 
 
+def test_self_closed_and_unclosed_elements_cut_nothing_off():
+    texts = lambda p: [b.text for b in pages.leaf_blocks(p)]
+    assert texts('<p>One <svg class="i"/> two.</p><p>Three.</p>') == ["One two.", "Three."]
+    for name in "svg math object canvas video button audio iframe select noscript template datalist".split():
+        assert texts(f"<p>a</p><{name}/><p>b</p><{name} x='>' /><p>c</p>") == ["a", "b", "c"]
+        assert texts(f"<p>a</p><{name}><p>b</p>") == ["a", "b"]
+        assert texts(f"<p>a</p><{name}/><p>b</p><{name}>hidden</{name}><p>c</p>") == ["a", "b", "c"]
+        assert texts(f"<p>a</p><{name}><p>b</p><{name} id=2>hidden <i>too</i></{name}><p>c</p>") == ["a", "b", "c"]
+        assert texts(f"<p>a</p><{name.upper()}>hidden <{name}>more</{name}> and more</{name}><p>c</p>") == ["a", "c"]
+    for name in ("script", "style", "textarea", "title"):
+        assert texts(f"<p>a</p><{name}>b<p>c</p>") == ["a"]
+        assert texts(f"<p>a</p><{name}/>b</{name}><p>c</p>") == ["a", "c"]
+    assert texts("<p>a</p>" + "<svg>" * 20_000 + "<p>b</p>") == ["a", "b"]
+
+
 def test_nulls_repeats_and_other_columns(spark, chain):
     rows = [(1, "u", "<article><p>One sentence here.</p></article>", "x"), (1, "u", "<article><p>One sentence here.</p></article>", "x"), (None, None, None, "x"), (3, "u", "", "x")]
     out = pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string"), chain)
