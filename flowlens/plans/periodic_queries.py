@@ -88,11 +88,11 @@ def fingerprint_rates_merged(spark, sf_dir):
 
 @query()
 def period_detection(spark, sf_dir):
-    """Spike trains of known periods, one for each part size, among noise from the part keys; no SQL for spectra."""
-    sizes = read(spark, sf_dir, "part").select((F.col("p_size") % 12 + 4).alias("p")).distinct()
-    noise = F.pmod(F.crc32(F.concat_ws("-", "p", "bin")), F.lit(40)) == 0
-    signal = sizes.select("p", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(719).cast("long"))).alias("bin")).withColumn("n", F.when((F.col("bin") % F.col("p") == 0) | noise, 1).otherwise(0).cast("long"))
-    return periodic.detect_periods(signal, ["p"], 10.0).withColumn("strength", F.round("strength", 6))
+    """Periods of all packets of each device and event type, in the bins of ``binned_signal``, nulls where there is none; no SQL for spectra."""
+    keys = ["device", "event_type"]
+    rows = packets(spark, sf_dir).select(*keys, "ts")
+    found = periodic.detect_periods(periodic.binned_signal(rows, keys, "ts", 21600.0, keys[:1]), keys, 21600.0)
+    return rows.select(*keys).distinct().join(found, keys, "left").withColumn("strength", F.round("strength", 6))
 
 
 def spike_train(period: int, length: int, noise: float = 0.0, seed: int = 0) -> np.ndarray:
