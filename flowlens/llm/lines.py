@@ -2,48 +2,51 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import computed_once, discard, materialize, with_row_keys
 
-#: Of the query ``op6_lines``, whose SQL links lines at one byte edit.
-MOST_EDITS = 1
-#: Of the pipeline's stage, in characters: one edit from 5 characters on, two from 10, three from 15.
-STAGE_EDITS = 3
-#: A pair links if the longer line has at least this many bytes or characters for each edit.
-BYTES_PER_EDIT = 5
-#: Lines of at most so many bytes travel with their keys, as short segments meet by chance more often.
-INLINE_BYTES = 48
+#: Most edits between two linked lines, and the characters of the longer line for each: one edit from 5 characters on, two from 10.
+MOST_EDITS, CHARS_PER_EDIT = 2, 5
+#: Members of a group up to which they are compared with each other at once; larger groups are cut finer instead.
+DIRECT = 6
 BLANK = r"^[\x20\x09-\x0D]*$"
 #: Place of documents without an id in the order of documents: after all others.
 LAST = (1 << 63) - 1
+#: What a member of a group is: only a segment of the index, only a probe of a longer or shifted line, or both.
+INDEX, PROBE, BOTH = 0, 1, 2
 
 
-def dedup_lines(docs: DataFrame, most_edits: int = MOST_EDITS, characters: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, most_edits: int = MOST_EDITS) -> DataFrame:
     """doc_id, n_lines, n_removed and kept_text of every row of ``docs``.
 
     A line is what stands between line feeds and has a word; blank lines stay
-    and aren't counted. Lines link at ``most_edits`` (1 to 3) or fewer byte
-    edits, or character edits if ``characters`` is set, if those are at most a
-    fifth of the longer line's bytes or characters. Of equal
-    lines the first one stays, by doc_id and place. All occurrences of a line go
-    if a linked line first occurs in an earlier document, or in the same one and
-    sorts before it. Null texts have no lines and a null kept_text; null ids come
-    after all others; rows with equal ids count as one document. Other columns are not read. An empty table gives no rows.
+    and aren't counted. Lines link at ``most_edits`` (1 to 3) or fewer edits of
+    characters (code points), if those are at most a fifth of the longer line. Of
+    equal lines the first one stays, by doc_id and place. All occurrences of a
+    line go if a linked line first occurs at an earlier place. Null texts have no
+    lines and a null kept_text; null ids come after all others; rows with equal
+    ids count as one document. Other columns are not read. An empty table gives
+    no rows.
 
     Distinct lines are found by a 128-bit hash with partial sums before the
     shuffle, so a line in every document is one row. A line within k edits of
     another shares one of k + 1 segments with it, at nearly the same place: those
     segments are the index, substrings at the places that a pair of lengths
-    allows are the probes, and both meet by hash.
+    allows are the probes, and both meet by hash. Only the lines that met have
+    their texts fetched; ``_losers`` then compares them without making all pairs.
     """
     if not 1 <= most_edits <= 3:
         raise ValueError("most_edits must be 1, 2 or 3")
     docs = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(LAST)).cast("long").alias("ord"), F.xxhash64("text").alias("th"))
     lines = _lines(docs)
-    distinct = materialize(_distinct(lines, most_edits, characters), "lines")
-    losers = materialize(_losers(distinct, docs, most_edits, characters), "near_lines")
+    distinct = materialize(_distinct(lines, most_edits), "lines")
+    members = _members(distinct, most_edits)
+    texts = _texts(docs, distinct, members)
+    losers = _losers(texts, _groups(members, texts, most_edits), most_edits)
     flagged = distinct.where("n_docs > 1").select("h1", "h2", "first_doc").withColumn("near", F.lit(False)).unionByName(losers.withColumn("first_doc", F.lit(-LAST)).withColumn("near", F.lit(True)))
     gone = lines.select("ord", "th", "at", "h1", "h2").join(flagged, ["h1", "h2"]).where("near or ord > first_doc").groupBy("ord", "th").agg(F.collect_set("at").alias("gone"))
     rows = docs.join(gone, ["ord", "th"], "left").select("doc_id", "text", F.split("text", "\n").alias("_all"), F.coalesce("gone", F.expr("cast(array() as array<int>)")).alias("_gone"))
@@ -62,7 +65,7 @@ def dedup_lines(docs: DataFrame, most_edits: int = MOST_EDITS, characters: bool
     return done.select("doc_id", "n_lines", "n_removed", "kept_text")
 
 
-def without_repeated_lines(docs: DataFrame, most_edits: int = STAGE_EDITS, characters: bool = True) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, most_edits: int = MOST_EDITS) -> DataFrame:
     """``docs`` with the kept lines as text, and ``n_chars``, if there, counted again.
 
     Documents all of whose lines went are dropped; documents that had none stay.
@@ -70,7 +73,7 @@ def without_repeated_lines(docs: DataFrame, most_edits: int = STAGE_EDITS, chara
     that repeat an id and a text one stays, as the lines of the others repeat.
     """
     keyed = with_row_keys(docs, "_row")
-    done = dedup_lines(keyed.withColumn("doc_id", F.col("_row")), most_edits, characters).where("n_removed < n_lines or n_lines = 0").select(F.col("doc_id").alias("_row"), "kept_text")
+    done = dedup_lines(keyed.withColumn("doc_id", F.col("_row")), most_edits).where("n_removed < n_lines or n_lines = 0").select(F.col("doc_id").alias("_row"), "kept_text")
     columns = [F.col("kept_text").alias(c) if c == "text" else F.length("kept_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return keyed.drop("text", "n_chars").join(done, "_row").select(*columns)
 
@@ -87,120 +90,254 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.withColumn("h1", F.xxhash64(F.lit(1), "line")).withColumn("h2", F.xxhash64(F.lit(2), "line"))
 
 
-def _segment(length: Column, i: int, most_edits: int) -> tuple[Column, Column]:
-    """Where segment ``i`` of a line of ``length`` bytes begins, from 0, and its length; later segments are the longer ones."""
-    parts = most_edits + 1
-    size = F.floor(length / parts).cast("int")
-    longer = F.greatest(F.lit(0), F.lit(i) - (parts - length % parts))
-    return size * i + longer, size + F.when(F.lit(i) >= parts - length % parts, 1).otherwise(0)
+def _segment(length: Column, i: Column | int, parts: Column) -> tuple[Column, Column]:
+    """Where segment ``i`` of ``parts`` of a string of ``length`` characters begins, from 0, and its length; later segments are the longer ones."""
+    i = F.lit(i) if isinstance(i, int) else i
+    size, longer = F.floor(length / parts).cast("int"), parts - length % parts
+    return size * i + F.greatest(F.lit(0), i - longer), size + F.when(i >= longer, 1).otherwise(0)
 
 
-def _places(most_edits: int) -> list[tuple[int, int, int]]:
-    """(difference of lengths, segment, shift of its place) of every probe that a pair within the edits needs."""
-    k = most_edits
-    return [(d, i, s) for d in range(k + 1) for i in range(k + 1) for s in range(max(-i, d - (k - i)), min(i, d + (k - i)) + 1)]
+def _shifts(most_edits: int) -> list[tuple[int, int]]:
+    """(segment, shift of its place) of every child of a group."""
+    return [(i, s) for i in range(most_edits + 1) for s in range(-i, i + 1)]
+
 
+def _keys(most_edits: int) -> list[tuple[int, int, int, int]]:
+    """(what it is, difference of lengths, segment, shift) of every key of a line.
 
-def _units(line: Column, characters: bool) -> tuple[Column, Column, int]:
-    """A line as bytes, its length in bytes or characters, and how many bytes each of those takes."""
-    return (F.encode(line, "UTF-32"), F.length(line), 4) if characters else (line.cast("binary"), F.octet_length(line), 1)
+    A line's own segments index it among lines that have as many edits left;
+    where a longer partner may have one edit more, it is indexed for that too.
+    Of k edits at most i lie before the first segment i that none of them touch
+    and at most k - i behind it, which bounds the shifts.
+    """
+    k = most_edits
+    own = [(BOTH, 0, i, 0) for i in range(k + 1)] + [(INDEX, 0, i, 0) for i in range(k + 1)]
+    return own + [(PROBE, d, i, s) for d in range(k + 1) for i, s in _shifts(k) if abs(d - s) <= k - i and (d or s)]
 
 
-def _distinct(lines: DataFrame, most_edits: int, characters: bool) -> DataFrame:
-    """One row for each line: first_doc, n_docs, n (bytes or characters), short (the line, if short), and keys of its segments and probes."""
-    octets, n, unit = _units(F.col("line"), characters)
+def _edits(length: Column, most_edits: int) -> Column:
+    return F.least(F.lit(most_edits), F.floor(length / CHARS_PER_EDIT).cast("int"))
 
-    def key(length: Column, i: int, start: Column, size: Column) -> Column:
-        fits = (length >= most_edits + 1) & (start >= 0) & (start + size <= n)
-        return F.when(fits, F.xxhash64(length, F.lit(i), F.substring(octets, start * unit + 1, size * unit)))
 
+def _distinct(lines: DataFrame, most_edits: int) -> DataFrame:
+    """One row for each line: h1, h2, first_doc, n_docs and the keys in the order of ``_keys``, null where there is none."""
+    rows = lines.select("ord", "h1", "h2", "line", F.length("line").alias("n")).withColumn("e", _edits(F.col("n"), most_edits))
     keys = []
-    for i in range(most_edits + 1):
-        start, size = _segment(n, i, most_edits)
-        keys.append(key(n, i, start, size).alias(f"x{i}"))
-    for p, (d, i, s) in enumerate(_places(most_edits)):
-        start, size = _segment(n - d, i, most_edits)
-        keys.append(F.when(n >= BYTES_PER_EDIT * max(d, 1), key(n - d, i, start + s, size)).alias(f"p{p}"))
-    rows = lines.select("ord", "h1", "h2", F.when(F.octet_length("line") <= INLINE_BYTES, F.col("line")).alias("short"), n.alias("n"), *keys)
-    names = [f"x{i}" for i in range(most_edits + 1)] + [f"p{p}" for p in range(len(_places(most_edits)))]
-    return rows.groupBy("h1", "h2", "short").agg(F.min("ord").alias("first_doc"), F.count("*").alias("n_docs"), *[F.min(c).alias(c) for c in names])
-
-
-def _losers(distinct: DataFrame, docs: DataFrame, most_edits: int, characters: bool) -> DataFrame:
-    """h1, h2 of the lines that go because of a linked one."""
-    own = ["h1", "h2", "short", "first_doc"]
-    index = distinct.select(*[F.col(c).alias(f"b_{c}") for c in own], F.explode(F.array(*[f"x{i}" for i in range(most_edits + 1)])).alias("key")).where("key is not null")
-    probes = F.array(*[F.struct(F.col(f"p{p}").alias("key"), F.lit(d == 0).alias("same")) for p, (d, _, _) in enumerate(_places(most_edits))])
-    probe = distinct.select(*[F.col(c).alias(f"a_{c}") for c in own], F.explode(probes).alias("p")).select("*", "p.key", "p.same").drop("p").where("key is not null")
-    inline = F.col("a_short").isNotNull() & F.col("b_short").isNotNull()
-    apart = (F.col("a_h1") != F.col("b_h1")) | (F.col("a_h2") != F.col("b_h2"))
-    once = ~F.col("same") | (F.col("a_h1") < F.col("b_h1")) | ((F.col("a_h1") == F.col("b_h1")) & (F.col("a_h2") < F.col("b_h2")))
-    met = probe.join(index, (probe["key"] == index["key"]) & apart & once & (~inline | linked(F.col("a_short"), F.col("b_short"), most_edits, characters))).drop("key", "same")
-    met = materialize(met, "met")
-    long = met.where(~inline).select(*[f"{s}_{c}" for s in "ab" for c in ("h1", "h2", "first_doc")]).distinct()
-    short = met.where(inline).withColumnsRenamed({"a_short": "a_line", "b_short": "b_line"})
-    needed = long.select(*[F.col(f"a_{c}").alias(c) for c in ("h1", "h2", "first_doc")]).union(long.select(*[f"b_{c}" for c in ("h1", "h2", "first_doc")])).distinct().withColumnRenamed("first_doc", "ord")
+    for what, d, i, s in _keys(most_edits):
+        e = F.col("e") + 1 if what == INDEX else F.col("e")
+        start, size = _segment(F.col("n") - d, i, e + 1)
+        fits = (e <= most_edits) & (F.col("n") + e >= CHARS_PER_EDIT * e) if what == INDEX else (e >= 1) & (d <= e) & (abs(d - s) <= e - i)
+        if what == PROBE:
+            fits = fits & (start + s >= 0) & (start + s + size <= F.col("n"))
+        keys.append(F.when(fits & (i <= e), F.xxhash64(e, F.col("n") - d, F.lit(i), F.substring("line", start + s + 1, size))))
+    return rows.select("ord", "h1", "h2", F.array(*keys).alias("keys")).groupBy("h1", "h2", "keys").agg(F.min("ord").alias("first_doc"), F.count("*").alias("n_docs"))
+
+
+def _members(distinct: DataFrame, most_edits: int) -> DataFrame:
+    """g, h1, pos: the keys at which a line meets another, whose key it is by its place in ``_keys``.
+
+    The index has one row for each key while the probes meet it, so the join
+    makes no more rows than there are probes, and hot keys can be split.
+    """
+    own = 2 * most_edits + 2
+    index = distinct.select("h1", F.posexplode(F.slice("keys", 1, own)).alias("pos", "g")).where("g is not null")
+    probes = distinct.select("h1", F.posexplode(F.slice("keys", own + 1, len(_keys(most_edits)) - own)).alias("pos", "g")).where("g is not null").withColumn("pos", F.col("pos") + own)
+    seen = materialize(index.groupBy("g").agg(F.min("h1").alias("low"), F.max("h1").alias("high")), "index")
+    met = materialize(probes.join(seen.hint("merge"), "g").where("low <> h1 or high <> h1").select("g", "h1", "pos"), "probes")
+    keys = met.select("g").union(seen.where("low <> high").select("g")).distinct()
+    return materialize(met.unionByName(index.join(keys, "g", "left_semi").select("g", "h1", "pos")), "members")
+
+
+def _texts(docs: DataFrame, distinct: DataFrame, members: DataFrame) -> DataFrame:
+    """id, h1, h2, line of the lines that met another; ids rise with the first place of a line."""
+    needed = distinct.select("h1", "h2", F.col("first_doc").alias("ord")).join(members.select("h1").distinct(), "h1", "left_semi")
     # the ids needed grow with the table, so the plan is the same at every size and never broadcasts them
     held = docs.where("text is not null").join(needed.select("ord").distinct().hint("merge"), "ord", "left_semi")
-    texts = materialize(_lines(held).join(needed, ["ord", "h1", "h2"], "left_semi").select("h1", "h2", "line").distinct(), "texts")
+    first = _lines(held).join(needed, ["ord", "h1", "h2"], "left_semi").groupBy("ord", "h1", "h2", "line").agg(F.min("at").alias("at"))
+    order = ["ord", "at", "line"]
+    return materialize(first.repartitionByRange(*order).sortWithinPartitions(*order).select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "line"), "texts")
+
+
+def _groups(members: DataFrame, texts: DataFrame, most_edits: int) -> DataFrame:
+    """g, id, role, free of every member: ``free`` are the parts of the line before and behind the segment.
+
+    Each part has the member's own string t, the length l that it has in the
+    line of the index, and e, the edits that may lie in it; equal parts go.
+    """
+    keys = _keys(most_edits)
+    of = lambda x: F.get(F.array(*[F.lit(k[x]) for k in keys]), F.col("pos"))
+    rows = members.join(texts.select("id", "h1", "line"), "h1").select("g", "id", "line", of(0).alias("role"), of(1).alias("d"), of(2).alias("i"), of(3).alias("s"))
+    rows = rows.withColumn("e", _edits(F.length("line"), most_edits) + F.when(F.col("role") == INDEX, 1).otherwise(0)).withColumn("l", F.length("line") - F.col("d"))
+    return rows.select("g", "id", "role", _around(F.col("line"), F.col("l"), F.col("e"), F.col("i"), F.col("s")).alias("free"))
+
+
+def _around(t: Column, length: Column, e: Column, i: Column, s: Column) -> Column:
+    """The parts of ``t`` before and behind segment ``i`` shifted by ``s``, without those that have no edits left."""
+    start, size = _segment(length, i, e + 1)
+    part = lambda text, n, edits: F.struct(text.alias("t"), n.cast("int").alias("l"), edits.cast("int").alias("e"))
+    behind = F.substring(t, start + s + size + 1, F.length(t))
+    return F.filter(F.array(part(F.substring(t, F.lit(1), start + s), start, i), part(behind, length - start - size, e - i)), lambda x: x["e"] > 0)
+
+
+def _finer(rows: DataFrame, most_edits: int) -> DataFrame:
+    """The groups of ``rows`` cut again: the longest part is split into one segment more than it may have edits, as whole lines are."""
+    longest = F.array_max(F.transform("free", lambda p, k: F.struct(F.when(p["l"] > p["e"], p["l"]).otherwise(0).alias("l"), (-k).alias("k"))))
+    rows = rows.withColumn("k", -longest["k"]).withColumn("p", F.get("free", F.col("k")))
+    children = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(s).alias("s")) for i, s in _shifts(most_edits)])
+    rows = rows.select("g", "id", "role", "free", "k", "p", F.explode(children).alias("c"))
+    t, n, e, i, s = (F.col(c) for c in ("p.t", "p.l", "p.e", "c.i", "c.s"))
+    start, size = _segment(n, i, e + 1)
+    rows = rows.where((i <= e) & (F.abs(F.length(t) - n - s) <= e - i) & ((s == 0) | (F.col("role") != INDEX)) & (start + s >= 0) & (start + s + size <= F.length(t)))
+    free = F.concat(F.slice("free", F.lit(1), F.col("k")), _around(t, n, e, i, s), F.slice("free", F.col("k") + 2, F.size("free")))
+    role = F.when(s == 0, F.col("role")).otherwise(PROBE)
+    return rows.select(F.xxhash64("g", i, F.substring(t, start + s + 1, size)).alias("g"), "id", role.alias("role"), free.alias("free"))
+
+
+def _losers(texts: DataFrame, rows: DataFrame, most_edits: int) -> DataFrame:
+    """h1, h2 of the lines that go because of a linked earlier one.
+
+    A round compares each member of a group with the group's first member only,
+    which settles all that link with it, and with all others where they are few.
+    What stays open in a larger group, and the earlier members that could still
+    settle it, goes to finer groups, which share another segment of what is left
+    of their lines. Parts that are no longer than their edits aren't cut: all
+    their strings are that short, and such groups are compared as they are. No
+    link is lost, as every pair that links shares a finer group too.
+    """
+    lost, gone = None, []
+    while True:
+        rows = materialize(rows, "groups")
+        heads = rows.groupBy("g").agg(F.min(F.when(F.col("role") != PROBE, F.col("id"))).alias("i"), F.min(F.when(F.col("role") != INDEX, F.col("id"))).alias("p"), F.count("*").alias("n"))
+        head = F.when(F.col("role") == INDEX, F.col("p")).when(F.col("role") == PROBE, F.col("i")).otherwise(F.least("i", "p"))
+        few = (F.col("n") <= DIRECT) | ~F.exists("free", lambda x: x["l"] > x["e"])
+        met = materialize(rows.join(heads, "g").select("g", "id", "role", "free", head.alias("head"), few.alias("few")), "met")
+        a = met.where("few").select("g", F.col("id").alias("a"), F.col("role").alias("r"))
+        b = met.where("few").select("g", F.col("id").alias("b"), "role", "head")
+        apart = (F.col("a") < F.col("b")) & (F.col("a") != F.col("head")) & ((F.col("r") == BOTH) | (F.col("r") != F.col("role")))
+        pairs = met.where("head < id").select(F.col("head").alias("a"), F.col("id").alias("b")).union(b.join(a, "g").where(apart).select("a", "b")).distinct()
+        if lost is not None:
+            pairs = pairs.join(lost.withColumnRenamed("id", "b"), "b", "left_anti")
+        new = materialize(_linked_pairs(pairs, texts, most_edits).select(F.col("b").alias("id")).distinct(), "near_lines")
+        lost = new if lost is None else lost.unionByName(new)
+        still = materialize(met.where("head < id and not few").join(lost, "id", "left_anti").groupBy("g").agg(F.max("id").alias("most")), "open")
+        gone += [rows, met, still]
+        if still.isEmpty():
+            break
+        rows = _finer(met.where("not few").join(still, "g").where("id <= most").select("g", "id", "role", "free"), most_edits)
+    out = materialize(texts.join(lost, "id", "left_semi").select("h1", "h2").distinct(), "losers")
+    for table in gone:
+        discard(table)
+    return out
+
+
+def _linked_pairs(pairs: DataFrame, texts: DataFrame, most_edits: int) -> DataFrame:
+    """The pairs ``a``, ``b`` of ids whose lines link."""
     for s in "ab":
-        long = long.join(texts.withColumnsRenamed({"h1": f"{s}_h1", "h2": f"{s}_h2", "line": f"{s}_line"}), [f"{s}_h1", f"{s}_h2"])
-    pairs = long.where(linked(F.col("a_line"), F.col("b_line"), most_edits, characters)).unionByName(short)
-    first = (F.col("a_first_doc") < F.col("b_first_doc")) | ((F.col("a_first_doc") == F.col("b_first_doc")) & (F.col("a_line") < F.col("b_line")))
-    return pairs.select(F.when(first, F.col("b_h1")).otherwise(F.col("a_h1")).alias("h1"), F.when(first, F.col("b_h2")).otherwise(F.col("a_h2")).alias("h2")).distinct()
+        pairs = pairs.join(texts.select(F.col("id").alias(s), F.col("line").alias(f"{s}_line")), s)
+    return pairs.where(linked(F.col("a_line"), F.col("b_line"), most_edits)).select("a", "b")
 
 
-def linked(a: Column, b: Column, most_edits: int, characters: bool = False) -> Column:
-    """Whether two lines are within ``most_edits`` edits of bytes or characters, and those within a fifth of the longer one's.
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
-    Bit-parallel over a band of diagonals: bit d + k of word e says that after
-    the text's bytes so far, the pattern's prefix d bytes longer is within e
-    edits. A byte moves every word at once: equal bytes and replacements keep
-    the diagonal, a byte too many in the text moves down one, a byte too many in
-    the pattern moves up one.
+
+def linked(a: Column, b: Column, most_edits: int) -> Column:
+    """Whether two lines are within ``most_edits`` edits of characters, and those within a fifth of the longer one.
+
+    What the lines have in common at both ends is taken off first. If two
+    characters or more are left of each, one edit stands at either end, so at
+    most ``most_edits - 2`` of four pieces between can be missing in the other
+    line; most pairs end there. The rest goes to ``_within``.
     """
     k = most_edits
-    (p, np_, unit), (t, nt, _) = _units(a, characters), _units(b, characters)
-    band = (1 << (2 * k + 1)) - 1
-
-    def step(state: Column, j: Column) -> Column:
-        c = F.substring(t, (j - 1) * unit + 1, F.lit(unit))
-        same = None
-        for d in range(-k, k + 1):
-            bit = F.when((j + d >= 1) & (j + d <= np_) & (F.substring(p, (j + d - 1) * unit + 1, F.lit(unit)) == c), 1 << (d + k)).otherwise(0)
-            same = bit if same is None else same + bit
-        return F.struct(same.alias("m"), *[state[f"r{e}"].alias(f"r{e}") for e in range(k + 1)])
-
-    def move(state: Column, j: Column) -> Column:
-        held = step(state, j)
-        out = [held["r0"].bitwiseAND(held["m"])]
-        for e in range(1, k + 1):
-            new = held[f"r{e}"].bitwiseAND(held["m"]).bitwiseOR(held[f"r{e - 1}"]).bitwiseOR(F.shiftright(held[f"r{e - 1}"], 1)).bitwiseOR(F.shiftleft(out[-1], 1))
-            out.append(new.bitwiseAND(F.lit(band)))
-        return F.struct(*[r.alias(f"r{e}") for e, r in enumerate(out)])
-
-    start = F.struct(*[F.lit(sum(1 << (d + k) for d in range(e + 1))).alias(f"r{e}") for e in range(k + 1)])
-    end = F.call_function("shiftleft", F.lit(1), np_ - nt + k)
+    steps = F.array(*[F.lit(1 << p) for p in range(24, -1, -1)])
+
+    def common(x: Column, y: Column, most: Column, behind: bool) -> Column:
+        """Length of the common beginning or end, up to ``most``, by halving."""
+
+        def longer(n: Column, step: Column) -> Column:
+            piece = lambda s: F.substring(s, F.length(s) - n - step + 1 if behind else n + 1, step)
+            return n + F.when(n + step <= most, F.when(piece(x) == piece(y), step).otherwise(0)).otherwise(0)
+
+        return F.aggregate(steps, F.lit(0), longer)
+
+    def trimmed(s: Column) -> Column:
+        return _let(common(s["a"], s["b"], s["m"], False), lambda n: _let(common(s["a"], s["b"], s["m"] - n, True), lambda end: F.struct(
+            F.substring(s["a"], n + 1, F.length(s["a"]) - n - end).alias("a"), F.substring(s["b"], n + 1, F.length(s["b"]) - n - end).alias("b"), s["e"].alias("e"),
+        )))
+
+    def decided(s: Column) -> Column:
+        na, nb = F.length(s["a"]), F.length(s["b"])
+        cut = lambda q: 1 + F.floor((na - 2) * q / 4).cast("int")
+        missing = sum((F.when(F.contains(s["b"], F.substring(s["a"], cut(q) + 1, cut(q + 1) - cut(q))), 0).otherwise(1) for q in range(4)), F.lit(0))
+        short = F.least(na, nb)
+        return (
+            F.when(F.abs(na - nb) > s["e"], F.lit(False))
+            .when(short == 0, F.greatest(na, nb) <= s["e"])
+            .when((short >= 2) & (missing > F.greatest(s["e"] - 2, F.lit(0))), F.lit(False))
+            .when((short >= 2) & (s["e"] < 2), F.lit(False))
+            .otherwise(_within(s["a"], s["b"], s["e"], k))
+        )
+
+    n = [F.length(a), F.length(b)]
+    start = F.struct(a.alias("a"), b.alias("b"), F.least(*n).alias("m"), _edits(F.greatest(*n), k).alias("e"))
+    # rows that can't link don't come to the costly part
+    return F.when((F.abs(n[0] - n[1]) > k) | (n[1] == 0), F.lit(False)).otherwise(_let(start, lambda s: _let(trimmed(s), decided)))
+
+
+def _within(pattern: Column, text: Column, edits: Column, most_edits: int) -> Column:
+    """Whether the distance of two strings is at most ``edits`` (at most ``most_edits``), bit-parallel over a band of diagonals.
+
+    Bit d + k of word e says that after the text's characters so far, the
+    pattern's prefix d characters longer is within e edits; the words stand side
+    by side in one long. A character moves every word at once: equal characters
+    and replacements keep the diagonal, a character too many in the text moves
+    down one, a character too many in the pattern moves up one.
+    """
+    k, width = most_edits, 2 * most_edits + 1
+    band = (1 << width) - 1
 
-    def enough(state: Column) -> Column:
-        longest = F.greatest(np_, nt)
-        reached = [(state[f"r{e}"].bitwiseAND(end) != 0) & (longest >= BYTES_PER_EDIT * e) for e in range(k + 1)]
-        out = reached[0]
-        for r in reached[1:]:
-            out = out | r
-        return out
+    def equal(p: Column, t: Column) -> Column:
+        """For each character of the text, the diagonals on which the pattern has the same."""
+        at = lambda c, j: sum((F.when(F.get(p, j + d) == c, 1 << (d + k)).otherwise(0) for d in range(-k, k + 1)), F.lit(0))
+        return F.transform(t, at)
 
-    return F.when((F.abs(np_ - nt) > k) | (nt == 0), F.lit(False)).otherwise(F.aggregate(F.sequence(F.lit(1), nt), start, move, enough))
+    def move(state: Column, same: Column) -> Column:
+        words = [F.shiftright(state, e * width).bitwiseAND(F.lit(band)) for e in range(k + 1)]
+        new = [words[0].bitwiseAND(same)]
+        for e in range(1, k + 1):
+            any_of = words[e].bitwiseAND(same).bitwiseOR(words[e - 1]).bitwiseOR(F.shiftright(words[e - 1], 1)).bitwiseOR(F.shiftleft(new[-1], 1))
+            new.append(any_of.bitwiseAND(F.lit(band)))
+        return sum((F.shiftleft(w, e * width) for e, w in enumerate(new)), F.lit(0).cast("long"))
+
+    start = sum(sum(1 << (d + k) for d in range(e + 1)) << (e * width) for e in range(k + 1))
+    end = F.length(pattern) - F.length(text) + k
+    chars = F.struct(F.split(pattern, "").alias("p"), F.split(text, "").alias("t"))
+    return _let(
+        _let(chars, lambda c: F.aggregate(equal(c["p"], c["t"]), F.lit(start).cast("long"), move)),
+        lambda state: F.call_function("getbit", state, (edits * width + end).cast("int")) == 1,
+    )
 
 
-#: The same rows by plain SQL: every two lines of nearly equal length are compared.
-ORACLE_SQL = r"""
+#: The same rows by plain SQL: every two lines of nearly equal length that share a third are compared. DuckDB counts edits of bytes, so the
+#: characters of more than one byte become ones of one byte that the texts don't have.
+ORACLE_SQL = rf"""
 with l as (select doc_id, pos, line from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents where text is not null) where regexp_matches(line, '[^\x20\x09-\x0D]')),
-d as (select line, min(doc_id) as first_doc, strlen(line) as n from l group by line),
+wide as (select c, row_number() over (order by c) as k from (select distinct unnest(regexp_extract_all(line, '[^\x01-\x7F]')) as c from l)),
+used as (select distinct unnest(regexp_extract_all(line, '[\x01-\x7F]')) as c from l),
+free as (select chr(i::int) as c, row_number() over (order by i) as k from range(1, 128) r(i) where chr(i::int) not in (select c from used)),
+maps as (select coalesce(string_agg(wide.c, '' order by k), '') as a, coalesce(string_agg(free.c, '' order by k), '') as b from wide join free using (k)),
+d as (
+  select line, first_doc, length(line) as n, translate(line, a, b) as m, row_number() over (order by first_doc, first_pos) as place
+  from (select line, min(doc_id) as first_doc, min((doc_id, pos)) as p, arg_min(pos, (doc_id, pos)) as first_pos from l group by line), maps
+),
+s as (select line, place, n, m, unnest(range(n - {MOST_EDITS}, n + {MOST_EDITS + 1})) as n2, [substr(m, 1 + n * i // {MOST_EDITS + 1}, n * (i + 1) // {MOST_EDITS + 1} - n * i // {MOST_EDITS + 1}) for i in range({MOST_EDITS + 1})] as parts from d),
 near as (
-  select distinct case when (a.first_doc, a.line) < (b.first_doc, b.line) then b.line else a.line end as line
-  from d a join (select *, unnest([n, n + 1]) as m from d) b on a.n = b.m
-  where a.line <> b.line and a.n >= 5 and (left(a.line, 1) = left(b.line, 1) or right(a.line, 1) = right(b.line, 1)) and levenshtein(a.line, b.line) <= 1
+  select distinct b.line
+  from s a join d b on a.n2 = b.n and a.place < b.place
+  where ({" or ".join(f"contains(b.m, parts[{i + 1}])" for i in range(MOST_EDITS + 1))})
+    and levenshtein(a.m, b.m) <= least({MOST_EDITS}, greatest(a.n, b.n) // {CHARS_PER_EDIT})
 ),
 k as (
   select l.doc_id, l.pos, l.line,

@@ -6,7 +6,7 @@ from collections import Counter
 
 import corpus_pipeline
 from flowlens.llm import lines, mixing, simhash
-from tests.llm.test_lines import blank, edits, mutate
+from tests.llm.test_lines import blank, mutate, near
 from tests.llm.test_mixing import brute_targets
 from tests.llm.test_simhash import brute_components
 
@@ -35,21 +35,16 @@ def untidy_rows():
     return rows
 
 
-def near(a, b, k):
-    """By characters."""
-    e = abs(len(a) - len(b)) if abs(len(a) - len(b)) > k else edits(a, b)
-    return e <= k and max(len(a), len(b)) >= 5 * e
-
-
 def without_lines(rows, k):
     """Every row is a document; a line stays where it first occurs unless it is near a line that comes before."""
     rows = in_order(rows)
-    first = {}
+    place = {}
     for n, (_, t, _) in enumerate(rows):
-        for s in (t or "").split("\n"):
+        for at, s in enumerate((t or "").split("\n")):
             if not blank(s):
-                first.setdefault(s, n)
-    losers = {s for s in first for r in first if r != s and (first[r], r.encode()) < (first[s], s.encode()) and near(r, s, k)}
+                place.setdefault(s, (n, at))
+    first = {s: p[0] for s, p in place.items()}
+    losers = {s for s in first for r in first if place[r] < place[s] and near(r, s, k)}
     out = Counter()
     for n, (i, t, source) in enumerate(rows):
         kept, had, seen = [], False, set()
@@ -68,7 +63,7 @@ def without_lines(rows, k):
 def test_lines_of_null_and_repeated_ids(spark):
     rows = untidy_rows()
     out = rows_of(lines.without_repeated_lines(spark.createDataFrame(sized(rows), SCHEMA)))
-    assert out == without_lines(rows, 3)
+    assert out == without_lines(rows, lines.MOST_EDITS)
     assert sum(i is None for i, _, _ in out.elements()) == 8 and max(out.values()) == 1
 
 
@@ -76,7 +71,7 @@ def test_stage_drops_near_lines_by_characters(spark):
     long = "Le comité a publié son rapport annuel sur les marchés européens, avec des données très détaillées."
     rows = [(1, long, "x"), (2, long.replace("é", "e", 1), "x"), (3, long.replace("é", "e", 3), "x"), (4, long.replace("é", "e", 4), "x")]
     rows += [(5, "Report of 10 May 2024 by Someone", "x"), (6, "Report of 21 May 2024 by Someone", "x"), (7, "Report of 21 Jun 2025 by Someone", "x"), (8, "abcd\nabce", "x"), (9, "abcde\nabcdé", "x")]
-    assert rows_of(lines.without_repeated_lines(spark.createDataFrame(sized(rows), SCHEMA))) == without_lines(rows, 3)
+    assert rows_of(lines.without_repeated_lines(spark.createDataFrame(sized(rows), SCHEMA))) == without_lines(rows, lines.MOST_EDITS)
     rng = random.Random(12)
     base = ["".join(rng.choice("abcdé ñ\U0001f600") for _ in range(rng.choice([4, 5, 9, 10, 14, 15, 30, 60, 130]))) for _ in range(30)]
     for i in range(20, 80):
@@ -84,7 +79,7 @@ def test_stage_drops_near_lines_by_characters(spark):
         for _ in range(rng.choice([0, 1, 2, 3, 4])):
             s = mutate(rng, s)
         rows.append((i, s, "x"))
-    assert rows_of(lines.without_repeated_lines(spark.createDataFrame(sized(rows), SCHEMA))) == without_lines(rows, 3)
+    assert rows_of(lines.without_repeated_lines(spark.createDataFrame(sized(rows), SCHEMA))) == without_lines(rows, lines.MOST_EDITS)
 
 
 def test_groups_of_null_and_repeated_ids(spark):
