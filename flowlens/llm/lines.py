@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 
 from .shared import computed_once, discard, materialize, with_row_keys
 
-#: Most edits between two linked lines, and the characters of the longer line for each: one edit from 5 characters on, two from 10.
+#: Most edits between two linked lines, and the characters of the shorter line for each: one edit from 5 characters on, two from 10.
 MOST_EDITS, CHARS_PER_EDIT = 2, 5
 #: Members of a group up to which they are compared with each other at once; larger groups are cut finer instead.
-DIRECT = 6
+DIRECT = 64
 BLANK = r"^[\x20\x09-\x0D]*$"
 #: Place of documents without an id in the order of documents: after all others.
 LAST = (1 << 63) - 1
-#: What a member of a group is: only a segment of the index, only a probe of a longer or shifted line, or both.
-INDEX, PROBE, BOTH = 0, 1, 2
+#: What a member of a group is: a segment at its own place, or a probe for it at another place or for a shorter line.
+SEGMENT, PROBE = 0, 1
 
 
 def dedup_lines(docs: DataFrame, most_edits: int = MOST_EDITS) -> DataFrame:
@@ -25,7 +25,7 @@ def dedup_lines(docs: DataFrame, most_edits: int = MOST_EDITS) -> DataFrame:
 
     A line is what stands between line feeds and has a word; blank lines stay
     and aren't counted. Lines link at ``most_edits`` (1 to 3) or fewer edits of
-    characters (code points), if those are at most a fifth of the longer line. Of
+    characters (code points), if those are at most a fifth of the shorter line. Of
     equal lines the first one stays, by doc_id and place. All occurrences of a
     line go if a linked line first occurs at an earlier place. Null texts have no
     lines and a null kept_text; null ids come after all others; rows with equal
@@ -105,31 +105,26 @@ def _shifts(most_edits: int) -> list[tuple[int, int]]:
 def _keys(most_edits: int) -> list[tuple[int, int, int, int]]:
     """(what it is, difference of lengths, segment, shift) of every key of a line.
 
-    A line's own segments index it among lines that have as many edits left;
-    where a longer partner may have one edit more, it is indexed for that too.
     Of k edits at most i lie before the first segment i that none of them touch
     and at most k - i behind it, which bounds the shifts.
     """
     k = most_edits
-    own = [(BOTH, 0, i, 0) for i in range(k + 1)] + [(INDEX, 0, i, 0) for i in range(k + 1)]
-    return own + [(PROBE, d, i, s) for d in range(k + 1) for i, s in _shifts(k) if abs(d - s) <= k - i and (d or s)]
+    return [(SEGMENT, 0, i, 0) for i in range(k + 1)] + [(PROBE, d, i, s) for d in range(k + 1) for i, s in _shifts(k) if abs(d - s) <= k - i and (d or s)]
 
 
 def _edits(length: Column, most_edits: int) -> Column:
-    return F.least(F.lit(most_edits), F.floor(length / CHARS_PER_EDIT).cast("int"))
+    return sum((F.when(length >= CHARS_PER_EDIT * e, 1).otherwise(0) for e in range(1, most_edits + 1)), F.lit(0))
 
 
 def _distinct(lines: DataFrame, most_edits: int) -> DataFrame:
     """One row for each line: h1, h2, first_doc, n_docs and the keys in the order of ``_keys``, null where there is none."""
-    rows = lines.select("ord", "h1", "h2", "line", F.length("line").alias("n")).withColumn("e", _edits(F.col("n"), most_edits))
+    rows = lines.select("ord", "h1", "h2", "line", F.length("line").alias("n")).withColumns({f"e{d}": _edits(F.col("n") - d, most_edits) for d in range(most_edits + 1)})
     keys = []
-    for what, d, i, s in _keys(most_edits):
-        e = F.col("e") + 1 if what == INDEX else F.col("e")
-        start, size = _segment(F.col("n") - d, i, e + 1)
-        fits = (e <= most_edits) & (F.col("n") + e >= CHARS_PER_EDIT * e) if what == INDEX else (e >= 1) & (d <= e) & (abs(d - s) <= e - i)
-        if what == PROBE:
-            fits = fits & (start + s >= 0) & (start + s + size <= F.col("n"))
-        keys.append(F.when(fits & (i <= e), F.xxhash64(e, F.col("n") - d, F.lit(i), F.substring("line", start + s + 1, size))))
+    for _, d, i, s in _keys(most_edits):
+        e, n = F.col(f"e{d}"), F.col("n") - d
+        start, size = _segment(n, i, e + 1)
+        fits = (e >= max(1, d, i)) & (abs(d - s) <= e - i)
+        keys.append(F.when(fits & (start + s >= 0) & (start + s + size <= F.col("n")), F.xxhash64(e, n, F.lit(i), F.substring("line", start + s + 1, size))))
     return rows.select("ord", "h1", "h2", F.array(*keys).alias("keys")).groupBy("h1", "h2", "keys").agg(F.min("ord").alias("first_doc"), F.count("*").alias("n_docs"))
 
 
@@ -139,7 +134,7 @@ def _members(distinct: DataFrame, most_edits: int) -> DataFrame:
     The index has one row for each key while the probes meet it, so the join
     makes no more rows than there are probes, and hot keys can be split.
     """
-    own = 2 * most_edits + 2
+    own = most_edits + 1
     index = distinct.select("h1", F.posexplode(F.slice("keys", 1, own)).alias("pos", "g")).where("g is not null")
     probes = distinct.select("h1", F.posexplode(F.slice("keys", own + 1, len(_keys(most_edits)) - own)).alias("pos", "g")).where("g is not null").withColumn("pos", F.col("pos") + own)
     seen = materialize(index.groupBy("g").agg(F.min("h1").alias("low"), F.max("h1").alias("high")), "index")
@@ -166,8 +161,8 @@ def _groups(members: DataFrame, texts: DataFrame, most_edits: int) -> DataFrame:
     """
     keys = _keys(most_edits)
     of = lambda x: F.get(F.array(*[F.lit(k[x]) for k in keys]), F.col("pos"))
-    rows = members.join(texts.select("id", "h1", "line"), "h1").select("g", "id", "line", of(0).alias("role"), of(1).alias("d"), of(2).alias("i"), of(3).alias("s"))
-    rows = rows.withColumn("e", _edits(F.length("line"), most_edits) + F.when(F.col("role") == INDEX, 1).otherwise(0)).withColumn("l", F.length("line") - F.col("d"))
+    rows = members.join(texts.select("id", "h1", "line"), "h1").select("g", "id", "line", of(0).alias("role"), (F.length("line") - of(1)).alias("l"), of(2).alias("i"), of(3).alias("s"))
+    rows = rows.withColumn("e", _edits(F.col("l"), most_edits))
     return rows.select("g", "id", "role", _around(F.col("line"), F.col("l"), F.col("e"), F.col("i"), F.col("s")).alias("free"))
 
 
@@ -183,11 +178,14 @@ def _finer(rows: DataFrame, most_edits: int) -> DataFrame:
     """The groups of ``rows`` cut again: the longest part is split into one segment more than it may have edits, as whole lines are."""
     longest = F.array_max(F.transform("free", lambda p, k: F.struct(F.when(p["l"] > p["e"], p["l"]).otherwise(0).alias("l"), (-k).alias("k"))))
     rows = rows.withColumn("k", -longest["k"]).withColumn("p", F.get("free", F.col("k")))
-    children = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(s).alias("s")) for i, s in _shifts(most_edits)])
-    rows = rows.select("g", "id", "role", "free", "k", "p", F.explode(children).alias("c"))
-    t, n, e, i, s = (F.col(c) for c in ("p.t", "p.l", "p.e", "c.i", "c.s"))
+    t, n, e = (F.col(c) for c in ("p.t", "p.l", "p.e"))
+    fits = []
+    for i, s in _shifts(most_edits):
+        start, size = _segment(n, i, e + 1)
+        fits.append(F.when((i <= e) & (F.abs(F.length(t) - n - s) <= e - i) & (start + s >= 0) & (start + s + size <= F.length(t)), F.struct(F.lit(i).alias("i"), F.lit(s).alias("s"))))
+    rows = rows.select("g", "id", "role", "free", "k", "p", F.explode(F.array_compact(F.array(*fits))).alias("c"))
+    i, s = F.col("c.i"), F.col("c.s")
     start, size = _segment(n, i, e + 1)
-    rows = rows.where((i <= e) & (F.abs(F.length(t) - n - s) <= e - i) & ((s == 0) | (F.col("role") != INDEX)) & (start + s >= 0) & (start + s + size <= F.length(t)))
     free = F.concat(F.slice("free", F.lit(1), F.col("k")), _around(t, n, e, i, s), F.slice("free", F.col("k") + 2, F.size("free")))
     role = F.when(s == 0, F.col("role")).otherwise(PROBE)
     return rows.select(F.xxhash64("g", i, F.substring(t, start + s + 1, size)).alias("g"), "id", role.alias("role"), free.alias("free"))
@@ -207,34 +205,57 @@ def _losers(texts: DataFrame, rows: DataFrame, most_edits: int) -> DataFrame:
     lost, gone = None, []
     while True:
         rows = materialize(rows, "groups")
-        heads = rows.groupBy("g").agg(F.min(F.when(F.col("role") != PROBE, F.col("id"))).alias("i"), F.min(F.when(F.col("role") != INDEX, F.col("id"))).alias("p"), F.count("*").alias("n"))
-        head = F.when(F.col("role") == INDEX, F.col("p")).when(F.col("role") == PROBE, F.col("i")).otherwise(F.least("i", "p"))
+        first = lambda of: F.min_by(F.struct("id", "free"), F.when(of, F.col("id")))
+        heads = rows.groupBy("g").agg(first(F.col("role") == SEGMENT).alias("i"), first(F.lit(True)).alias("p"), F.count("*").alias("n"))
         few = (F.col("n") <= DIRECT) | ~F.exists("free", lambda x: x["l"] > x["e"])
-        met = materialize(rows.join(heads, "g").select("g", "id", "role", "free", head.alias("head"), few.alias("few")), "met")
-        a = met.where("few").select("g", F.col("id").alias("a"), F.col("role").alias("r"))
-        b = met.where("few").select("g", F.col("id").alias("b"), "role", "head")
-        apart = (F.col("a") < F.col("b")) & (F.col("a") != F.col("head")) & ((F.col("r") == BOTH) | (F.col("r") != F.col("role")))
-        pairs = met.where("head < id").select(F.col("head").alias("a"), F.col("id").alias("b")).union(b.join(a, "g").where(apart).select("a", "b")).distinct()
-        if lost is not None:
-            pairs = pairs.join(lost.withColumnRenamed("id", "b"), "b", "left_anti")
-        new = materialize(_linked_pairs(pairs, texts, most_edits).select(F.col("b").alias("id")).distinct(), "near_lines")
+        met = rows.join(heads, "g").where("i is not null and n > 1").select("g", "id", "role", "free", F.when(F.col("role") == SEGMENT, F.col("p")).otherwise(F.col("i")).alias("head"), few.alias("few"))
+        met = materialize(met.select("g", "id", "role", "free", "few", F.col("head.id").alias("head"), ((F.col("head.id") < F.col("id")) & _near(F.col("head.free"), F.col("free"), most_edits)).alias("near")), "met")
+        a = met.where("few").select("g", F.col("id").alias("a"), F.col("role").alias("r"), F.col("free").alias("free_a"))
+        b = met.where("few and head < id and not near")
+        apart = (F.col("a") < F.col("id")) & (F.col("a") != F.col("head")) & ((F.col("r") == SEGMENT) | (F.col("role") == SEGMENT)) & _near(F.col("free_a"), F.col("free"), most_edits)
+        new = materialize(met.where("near").select("id").union(b.join(a, (b["g"] == a["g"]) & apart, "left_semi").select("id")).distinct(), "near_lines")
         lost = new if lost is None else lost.unionByName(new)
-        still = materialize(met.where("head < id and not few").join(lost, "id", "left_anti").groupBy("g").agg(F.max("id").alias("most")), "open")
+        still = materialize(met.where("head < id and not few and not near").join(lost, "id", "left_anti").groupBy("g").agg(F.max("id").alias("most")), "open")
         gone += [rows, met, still]
         if still.isEmpty():
             break
-        rows = _finer(met.where("not few").join(still, "g").where("id <= most").select("g", "id", "role", "free"), most_edits)
+        kept = materialize(met.where("not few").join(still, "g").where("id <= most").select("g", "id", "role", "free"), "kept")
+        rows = _finer(_narrowed(kept, most_edits), most_edits)
+        gone.append(kept)
     out = materialize(texts.join(lost, "id", "left_semi").select("h1", "h2").distinct(), "losers")
     for table in gone:
         discard(table)
     return out
 
 
-def _linked_pairs(pairs: DataFrame, texts: DataFrame, most_edits: int) -> DataFrame:
-    """The pairs ``a``, ``b`` of ids whose lines link."""
-    for s in "ab":
-        pairs = pairs.join(texts.select(F.col("id").alias(s), F.col("line").alias(f"{s}_line")), s)
-    return pairs.where(linked(F.col("a_line"), F.col("b_line"), most_edits)).select("a", "b")
+def _near(a: Column, b: Column, most_edits: int) -> Column:
+    """Whether each part of a member is within its edits of the same part of another member of the group."""
+    return F.forall(F.arrays_zip(a.alias("a"), b.alias("b")), lambda x: _distance_within(x["a"]["t"], x["b"]["t"], x["a"]["e"], most_edits))
+
+
+def _narrowed(rows: DataFrame, most_edits: int) -> DataFrame:
+    """The same groups without what all their members share at the ends of a part, and of groups with equal members and parts only one.
+
+    Edits need not lie in what all members share; so the parts shrink to where
+    the members differ, and groups that were formed by different segments become equal.
+    """
+    first = rows.groupBy("g").agg(F.min("id").alias("id")).join(rows, ["g", "id"]).groupBy("g").agg(F.min("free").alias("first"))
+    shared = F.transform(F.arrays_zip("free", "first"), lambda x: _shared(x["free"]["t"], x["first"]["t"]))
+    held = rows.join(first, "g").select("g", shared.alias("x"))
+    ends = held.groupBy("g").agg(*[F.min(F.get("x", F.lit(j))[c]).alias(f"{c}{j}") for j in range(most_edits) for c in ("begin", "end")])
+    begin, end = (F.array(*[F.col(f"{c}{j}") for j in range(most_edits)]) for c in ("begin", "end"))
+
+    def cut(p: Column, j: Column) -> Column:
+        b, off = F.get(begin, j), F.get(begin, j) + F.get(end, j)
+        return F.struct(F.substring(p["t"], b + 1, F.length(p["t"]) - off).alias("t"), (p["l"] - off).alias("l"), p["e"].alias("e"))
+
+    free = F.filter(F.transform("free", cut), lambda p: (p["l"] > 0) | (p["t"] != ""))
+    rows = rows.join(ends, "g").select("g", "id", "role", free.alias("free"))
+    one = F.size("free") == 1
+    same = [F.xxhash64(F.lit(s), "id", "role", F.transform("free", lambda p: p["t"]), F.when(one, F.lit(None)).otherwise(F.transform("free", lambda p: p["e"]))) for s in (1, 2)]
+    signs = rows.groupBy("g").agg(F.count("*").alias("n"), F.bit_xor(same[0]).alias("x1"), F.bit_xor(same[1]).alias("x2"), F.max(F.get("free", F.lit(0))["e"]).alias("e"))
+    kept = signs.groupBy("n", "x1", "x2").agg(F.max_by("g", F.struct("e", "g")).alias("g"))
+    return rows.join(kept.select("g"), "g", "left_semi")
 
 
 def _let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -242,30 +263,40 @@ def _let(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def linked(a: Column, b: Column, most_edits: int) -> Column:
-    """Whether two lines are within ``most_edits`` edits of characters, and those within a fifth of the longer one.
+def _common(x: Column, y: Column, most: Column, behind: bool) -> Column:
+    """Length of the common beginning or end of two strings, up to ``most``, by halving."""
+
+    def longer(n: Column, step: Column) -> Column:
+        piece = lambda s: F.substring(s, F.length(s) - n - step + 1 if behind else n + 1, step)
+        return n + F.when(n + step <= most, F.when(piece(x) == piece(y), step).otherwise(0)).otherwise(0)
+
+    return F.aggregate(F.array(*[F.lit(1 << p) for p in range(24, -1, -1)]), F.lit(0), longer)
 
-    What the lines have in common at both ends is taken off first. If two
-    characters or more are left of each, one edit stands at either end, so at
-    most ``most_edits - 2`` of four pieces between can be missing in the other
-    line; most pairs end there. The rest goes to ``_within``.
-    """
-    k = most_edits
-    steps = F.array(*[F.lit(1 << p) for p in range(24, -1, -1)])
 
-    def common(x: Column, y: Column, most: Column, behind: bool) -> Column:
-        """Length of the common beginning or end, up to ``most``, by halving."""
+def _shared(x: Column, y: Column) -> Column:
+    """How many characters two strings have in common at their beginnings and, of the rest, at their ends."""
+    most = F.least(F.length(x), F.length(y))
+    return _let(_common(x, y, most, False), lambda n: F.struct(n.alias("begin"), _common(x, y, most - n, True).alias("end")))
 
-        def longer(n: Column, step: Column) -> Column:
-            piece = lambda s: F.substring(s, F.length(s) - n - step + 1 if behind else n + 1, step)
-            return n + F.when(n + step <= most, F.when(piece(x) == piece(y), step).otherwise(0)).otherwise(0)
 
-        return F.aggregate(steps, F.lit(0), longer)
+def linked(a: Column, b: Column, most_edits: int) -> Column:
+    """Whether two lines are within ``most_edits`` edits of characters, and those within a fifth of the shorter one."""
+    return F.when(F.length(b) == 0, F.lit(False)).otherwise(_distance_within(a, b, _edits(F.least(F.length(a), F.length(b)), most_edits), most_edits))
+
+
+def _distance_within(a: Column, b: Column, edits: Column, most_edits: int) -> Column:
+    """Whether the distance of two strings is at most ``edits``, which is at most ``most_edits``.
+
+    What the strings have in common at both ends is taken off first. If two
+    characters or more are left of each, one edit stands at either end, so at
+    most ``edits - 2`` of four pieces between can be missing in the other string;
+    most pairs end there. The rest goes to ``_within``.
+    """
 
     def trimmed(s: Column) -> Column:
-        return _let(common(s["a"], s["b"], s["m"], False), lambda n: _let(common(s["a"], s["b"], s["m"] - n, True), lambda end: F.struct(
-            F.substring(s["a"], n + 1, F.length(s["a"]) - n - end).alias("a"), F.substring(s["b"], n + 1, F.length(s["b"]) - n - end).alias("b"), s["e"].alias("e"),
-        )))
+        return _let(_shared(s["a"], s["b"]), lambda x: F.struct(
+            F.substring(s["a"], x["begin"] + 1, F.length(s["a"]) - x["begin"] - x["end"]).alias("a"), F.substring(s["b"], x["begin"] + 1, F.length(s["b"]) - x["begin"] - x["end"]).alias("b"), s["e"].alias("e"),
+        ))
 
     def decided(s: Column) -> Column:
         na, nb = F.length(s["a"]), F.length(s["b"])
@@ -273,17 +304,15 @@ def linked(a: Column, b: Column, most_edits: int) -> Column:
         missing = sum((F.when(F.contains(s["b"], F.substring(s["a"], cut(q) + 1, cut(q + 1) - cut(q))), 0).otherwise(1) for q in range(4)), F.lit(0))
         short = F.least(na, nb)
         return (
-            F.when(F.abs(na - nb) > s["e"], F.lit(False))
-            .when(short == 0, F.greatest(na, nb) <= s["e"])
-            .when((short >= 2) & (missing > F.greatest(s["e"] - 2, F.lit(0))), F.lit(False))
+            F.when(short == 0, F.greatest(na, nb) <= s["e"])
             .when((short >= 2) & (s["e"] < 2), F.lit(False))
-            .otherwise(_within(s["a"], s["b"], s["e"], k))
+            .when((short >= 2) & (missing > s["e"] - 2), F.lit(False))
+            .otherwise(_within(s["a"], s["b"], s["e"], most_edits))
         )
 
-    n = [F.length(a), F.length(b)]
-    start = F.struct(a.alias("a"), b.alias("b"), F.least(*n).alias("m"), _edits(F.greatest(*n), k).alias("e"))
-    # rows that can't link don't come to the costly part
-    return F.when((F.abs(n[0] - n[1]) > k) | (n[1] == 0), F.lit(False)).otherwise(_let(start, lambda s: _let(trimmed(s), decided)))
+    start = F.struct(a.alias("a"), b.alias("b"), edits.alias("e"))
+    # strings of too different lengths don't come to the costly part
+    return F.when(F.abs(F.length(a) - F.length(b)) > edits, F.lit(False)).otherwise(_let(start, lambda s: _let(trimmed(s), decided)))
 
 
 def _within(pattern: Column, text: Column, edits: Column, most_edits: int) -> Column:
@@ -337,7 +366,7 @@ near as (
   select distinct b.line
   from s a join d b on a.n2 = b.n and a.place < b.place
   where ({" or ".join(f"contains(b.m, parts[{i + 1}])" for i in range(MOST_EDITS + 1))})
-    and levenshtein(a.m, b.m) <= least({MOST_EDITS}, greatest(a.n, b.n) // {CHARS_PER_EDIT})
+    and levenshtein(a.m, b.m) <= least({MOST_EDITS}, least(a.n, b.n) // {CHARS_PER_EDIT})
 ),
 k as (
   select l.doc_id, l.pos, l.line,

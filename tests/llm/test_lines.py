@@ -22,7 +22,7 @@ def edits(a, b) -> int:
 def near(a, b, k):
     """By characters."""
     e = abs(len(a) - len(b)) if abs(len(a) - len(b)) > k else edits(a, b)
-    return e <= k and max(len(a), len(b)) >= 5 * e
+    return e <= k and min(len(a), len(b)) >= 5 * e
 
 
 def blank(s):
