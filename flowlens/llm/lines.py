@@ -177,7 +177,8 @@ def _around(t: Column, length: Column, e: Column, i: Column, s: Column) -> Colum
 def _finer(rows: DataFrame, most_edits: int) -> DataFrame:
     """The groups of ``rows`` cut again: the longest part is split into one segment more than it may have edits, as whole lines are."""
     longest = F.array_max(F.transform("free", lambda p, k: F.struct(F.when(p["l"] > p["e"], p["l"]).otherwise(0).alias("l"), (-k).alias("k"))))
-    rows = rows.withColumn("k", -longest["k"]).withColumn("p", F.get("free", F.col("k")))
+    rows = computed_once(rows, (-longest["k"]).alias("k"))
+    rows = computed_once(rows, F.get("free", F.col("k")).alias("p"))
     t, n, e = (F.col(c) for c in ("p.t", "p.l", "p.e"))
     fits = []
     for i, s in _shifts(most_edits):
@@ -250,7 +251,7 @@ def _narrowed(rows: DataFrame, most_edits: int) -> DataFrame:
         return F.struct(F.substring(p["t"], b + 1, F.length(p["t"]) - off).alias("t"), (p["l"] - off).alias("l"), p["e"].alias("e"))
 
     free = F.filter(F.transform("free", cut), lambda p: (p["l"] > 0) | (p["t"] != ""))
-    rows = rows.join(ends, "g").select("g", "id", "role", free.alias("free"))
+    rows = materialize(rows.join(ends, "g").select("g", "id", "role", free.alias("free")), "narrow")
     one = F.size("free") == 1
     same = [F.xxhash64(F.lit(s), "id", "role", F.transform("free", lambda p: p["t"]), F.when(one, F.lit(None)).otherwise(F.transform("free", lambda p: p["e"]))) for s in (1, 2)]
     signs = rows.groupBy("g").agg(F.count("*").alias("n"), F.bit_xor(same[0]).alias("x1"), F.bit_xor(same[1]).alias("x2"), F.max(F.get("free", F.lit(0))["e"]).alias("e"))
