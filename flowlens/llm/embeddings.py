@@ -16,7 +16,7 @@ from .shared import discard, materialize
 THRESHOLD = 0.98
 #: Vectors of a shard; a label with more has several shards of about equal size.
 SHARD_ROWS = 8192
-#: First beam of a query, queries of a shard that brute force answers too, and the share of links it must confirm.
+#: First beam of a query, queries of each kind that brute force answers too, and the share of their links that the graph must find.
 BEAM, AUDITED, RECALL = 24, 96, 0.995
 #: Bytes of a row that carries a part of a shard.
 CHUNK = 1 << 20
@@ -39,7 +39,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shard_rows
     rest is dealt to shards by hash and each shard's graph is built once. Every
     shard is then queried with the vectors of every shard of its label, both
     directions of a pair of shards at once. A query task compares a sample of
-    its queries with brute force and doubles its beams until the recall holds.
+    its queries, and made ones that have links for certain, with brute force and
+    doubles its beams until the recall holds.
     Tasks return sums and one row for each linked vector, never pairs.
     """
     good = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0), F.lit(False))
@@ -68,7 +69,8 @@ def _shards(distinct: DataFrame, shard_rows: int) -> DataFrame:
         group = group.sort_values("rep")
         raw = np.stack(group["embedding"].to_numpy())
         unit = unit_vectors(raw)
-        octets = pickle.dumps((group["rep"].to_numpy(), group["n"].to_numpy(), raw, Graph(unit).to_bytes()), protocol=5)
+        narrow = raw.astype(np.float32)
+        octets = pickle.dumps((group["rep"].to_numpy(), group["n"].to_numpy(), narrow if (narrow == raw).all() else raw, Graph(unit).to_bytes()), protocol=5)
         parts = [octets[i : i + CHUNK] for i in range(0, len(octets), CHUNK)]
         return pd.DataFrame({"label": key[0], "width": key[1], "shard": key[2], "shards": int(group["shards"].iloc[0]), "part": range(len(parts)), "octets": parts})
 
@@ -95,54 +97,74 @@ def _search(shards: DataFrame, threshold: float) -> DataFrame:
         held = {own: pickle.loads(b"".join(g.sort_values("part")["octets"])) for own, g in group.groupby("own")}
         reps, ns, raw, octets = held[b]
         from_reps, from_ns, from_raw, _ = held[a]
-        pairs = linked_pairs(Graph.from_bytes(octets), unit_vectors(raw), unit_vectors(from_raw), threshold, same=a == b)
-        return _summary(pairs, from_reps, from_ns, reps, ns)
+        units = unit_vectors(raw)
+        return links_of(Graph.from_bytes(octets, units), units, from_reps, from_ns, unit_vectors(from_raw), reps, ns, threshold, same=a == b)
 
     rows = pairs.select(*columns).unionByName(asked.select(*columns))
     count = shards.where("part = 0").agg(F.sum(F.col("shard") + 1)).first()[0] or 1
     return rows.repartition(int(count), "label", "width", "a", "b").groupBy("label", "width", "a", "b").applyInPandas(query, "rep long, n_links long, root long")
 
 
-def linked_pairs(graph: Graph, units: np.ndarray, queries: np.ndarray, threshold: float, same: bool) -> np.ndarray:
-    """Pairs (query, vector) whose cosine reaches the threshold; of one shard with itself each pair once.
+def made_queries(units: np.ndarray, threshold: float, count: int, seed: int = 3) -> np.ndarray:
+    """Vectors just above the threshold from as many of ``units``, in seeded directions: queries that have a link for certain."""
+    rng = np.random.default_rng(seed)
+    of = units[rng.choice(len(units), min(count, len(units)), replace=False)]
+    aside = rng.normal(size=of.shape)
+    aside -= (aside * of).sum(axis=1, keepdims=True) * of
+    length = np.sqrt((aside * aside).sum(axis=1, keepdims=True))
+    near = threshold + 0.1 * (1 - threshold)
+    return near * of + np.sqrt(1 - near * near) * np.divide(aside, length, out=np.zeros_like(aside), where=length > 0)
 
-    Brute force answers a sample of the queries; beams double until the graph
-    finds RECALL of those links, at the latest when they hold the whole shard.
+
+def audited_beam(graph: Graph, units: np.ndarray, queries: np.ndarray, threshold: float, same: bool) -> tuple[int, float]:
+    """The beam at which the graph finds RECALL of the links that brute force finds for a sample of queries, and the share it finds.
+
+    The sample holds rows of the table, whose links to themselves don't count,
+    and made queries, so there are links to confirm where the table's are rare.
+    Beams double, at the latest until they hold the whole shard.
     """
-    narrow, least = queries.astype(np.float32), threshold - SLACK
-    sample = np.unique(np.linspace(0, len(queries) - 1, min(AUDITED, len(queries))).astype(int))
-    true = {int(i): set(np.flatnonzero(units @ queries[i] >= threshold).tolist()) for i in sample}
-    beam, wanted = BEAM, sum(map(len, true.values()))
+    picked = np.unique(np.linspace(0, len(queries) - 1, min(AUDITED, len(queries))).astype(int))
+    made = made_queries(units, threshold, AUDITED)
+    asked = np.concatenate([queries[picked], made])
+    own = [*(picked.tolist() if same else [-1] * len(picked)), *[-1] * len(made)]
+    true = [set(np.flatnonzero(units @ q >= threshold).tolist()) - {i} for q, i in zip(asked, own, strict=True)]
+    beam, wanted = BEAM, sum(map(len, true))
     while True:
-        met = sum(len(want & set(graph.within(narrow[i], least, beam))) for i, want in true.items())
+        met = sum(len(want.intersection(graph.within(q, threshold - SLACK, beam))) for q, want in zip(asked.astype(np.float32), true, strict=True) if want)
         if met >= RECALL * wanted or beam >= len(units):
-            break
+            return beam, met / wanted if wanted else 1.0
         beam *= 2
-    out = []
+
+
+def links_of(graph: Graph, units: np.ndarray, from_reps: np.ndarray, from_ns: np.ndarray, queries: np.ndarray, reps: np.ndarray, ns: np.ndarray, threshold: float, same: bool) -> pd.DataFrame:
+    """rep, n_links and root of every vector with a link in a pair of shards; of one shard with itself each pair counts once.
+
+    What a query finds is verified in double precision and goes at once into
+    counts and a union-find, so memory follows the vectors and never the links.
+    """
+    beam, _ = audited_beam(graph, units, queries, threshold, same)
+    narrow = queries.astype(np.float32)
+    at = 0 if same else len(queries)
+    ids = reps if same else np.concatenate([from_reps, reps])
+    links, parent = np.zeros(len(ids), dtype=np.int64), np.arange(len(ids))
+
+    def roots(nodes: np.ndarray) -> np.ndarray:
+        above = parent[nodes]
+        while ((up := parent[above]) != above).any():
+            above = up
+        return above
+
     for i in range(len(queries)):
-        found = np.array(graph.within(narrow[i], least, beam), dtype=np.int64)
+        found = np.array(graph.within(narrow[i], threshold - SLACK, beam), dtype=np.int64)
         if same:
             found = found[found > i]
-        if i in true:  # these are known exactly
-            found = np.array(sorted(j for j in true[i] if not same or j > i), dtype=np.int64)
         if len(found):
             found = found[units[found] @ queries[i] >= threshold]
-            out.append(np.stack([np.full(len(found), i), found], axis=1))
-    return np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64)
-
-
-def _summary(pairs: np.ndarray, from_reps: np.ndarray, from_ns: np.ndarray, reps: np.ndarray, ns: np.ndarray) -> pd.DataFrame:
-    ids = np.unique(np.concatenate([from_reps[pairs[:, 0]], reps[pairs[:, 1]]]))
-    a, b = np.searchsorted(ids, from_reps[pairs[:, 0]]), np.searchsorted(ids, reps[pairs[:, 1]])
-    links = np.zeros(len(ids), dtype=np.int64)
-    np.add.at(links, a, ns[pairs[:, 1]])
-    np.add.at(links, b, from_ns[pairs[:, 0]])
-    root = np.arange(len(ids))
-    while True:  # smallest neighbour's root, until nothing moves
-        new = root.copy()
-        np.minimum.at(new, a, root[b])
-        np.minimum.at(new, b, root[a])
-        new = new[new]
-        if (new == root).all():
-            return pd.DataFrame({"rep": ids, "n_links": links, "root": ids[root]})
-        root = new
+        if len(found):
+            links[i] += ns[found].sum()
+            links[found + at] += from_ns[i]
+            nodes = np.append(found + at, i)
+            tops = np.unique(roots(nodes))
+            parent[tops] = parent[nodes] = tops[ids[tops].argmin()]
+    linked = np.flatnonzero(links)
+    return pd.DataFrame({"rep": ids[linked], "n_links": links[linked], "root": ids[roots(linked)]})

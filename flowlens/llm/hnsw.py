@@ -30,12 +30,14 @@ class Graph:
             self._insert(i, beam)
 
     def to_bytes(self) -> bytes:
-        return pickle.dumps((self.vectors, self.links, self.base, self.degree, self.upper, self.top, self.entry), protocol=5)
+        """The links; the vectors travel once, beside them."""
+        return pickle.dumps((self.links, self.base, self.degree, self.upper, self.top, self.entry), protocol=5)
 
     @classmethod
-    def from_bytes(cls, octets: bytes) -> Graph:
+    def from_bytes(cls, octets: bytes, vectors: np.ndarray) -> Graph:
         self = cls.__new__(cls)
-        self.vectors, self.links, self.base, self.degree, self.upper, self.top, self.entry = pickle.loads(octets)
+        self.vectors = np.ascontiguousarray(vectors, dtype=np.float32)
+        self.links, self.base, self.degree, self.upper, self.top, self.entry = pickle.loads(octets)
         self._seen, self._stamp = np.zeros(len(self.vectors), dtype=np.int64), 0
         return self
 

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 
 from flowlens.llm import embeddings
@@ -69,7 +71,46 @@ def test_graph_finds_dense_groups():
     centre = rng.normal(size=(1, 32))
     points = np.concatenate([centre + rng.normal(size=(400, 32)) * 0.01, rng.normal(size=(1500, 32))])
     units = embeddings.unit_vectors(points[rng.permutation(len(points))])
-    graph = Graph.from_bytes(Graph(units).to_bytes())
-    pairs = embeddings.linked_pairs(graph, units, units, 0.98, same=True)
-    close = np.triu(units @ units.T >= 0.98, 1)
-    assert len(pairs) >= 0.99 * close.sum() and all(close[i, j] for i, j in pairs)
+    graph = Graph.from_bytes(Graph(units).to_bytes(), units)
+    ids, ones = np.arange(len(units)) * 3 + 5, np.ones(len(units), dtype=np.int64)
+    out = embeddings.links_of(graph, units, ids, ones, units, ids, ones, 0.98, same=True)
+    close = units @ units.T >= 0.98
+    np.fill_diagonal(close, False)
+    want = dict(zip(ids.tolist(), close.sum(axis=1).tolist(), strict=True))
+    found = dict(zip(out["rep"], out["n_links"], strict=True))
+    assert all(found[i] <= want[i] for i in found) and sum(found.values()) >= 0.99 * sum(want.values())
+    assert set(out["root"]) == {min(found)}
+
+
+def test_audit_has_links_where_the_table_has_none():
+    rng = np.random.default_rng(8)
+    units = embeddings.unit_vectors(rng.normal(size=(3000, 48)))
+    graph = Graph(units)
+    beam, recall = embeddings.audited_beam(graph, units, units[:500], 0.98, same=False)
+    assert recall >= embeddings.RECALL
+    made = embeddings.made_queries(units, 0.98, 96)
+    assert ((made @ units.T).max(axis=1) >= 0.98).all() and np.allclose((made * made).sum(axis=1), 1)
+    # a graph that has lost its links fails the audit until the beams hold the whole shard
+    graph.degree[:] = 0
+    beam, recall = embeddings.audited_beam(graph, units, units[:500], 0.98, same=False)
+    assert beam >= len(units) and recall < embeddings.RECALL
+
+
+def test_memory_follows_vectors_not_links():
+    rng = np.random.default_rng(4)
+    n = 3000
+    units = embeddings.unit_vectors(rng.normal(size=(1, 16)) + rng.normal(size=(n, 16)) * 1e-3)
+    ids, ones = np.arange(n), np.full(n, 2)
+
+    class All:
+        vectors = units
+
+        def within(self, q, least, beam):
+            return list(range(n))
+
+    tracemalloc.start()
+    out = embeddings.links_of(All(), units, ids, ones, units, ids + n, ones, 0.98, same=False)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(out) == 2 * n and (out["n_links"] == 2 * n).all() and set(out["root"]) == {0}
+    assert most < 64 * 2**20  # the 9 million pairs alone would take 144 MB
