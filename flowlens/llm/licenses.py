@@ -35,6 +35,29 @@ SENTENCES = {
     "cc0_notice": "cc0 1 0 universal",
     "mpl_notice": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "rights": "all rights reserved",
+    "lgpl_title": "gnu lesser general public license",
+    "lgpl21_version": "version 2 1 february 1999",
+    "lgpl_free": "this library is free software you can redistribute it and or modify it *",
+    "lgpl_hope": "this library is distributed in the hope that it will be useful *",
+    "lgpl_terms": "terms of the gnu lesser general public license",
+    "agpl_title": "gnu affero general public license",
+    "agpl_version": "version 3 19 november 2007",
+    "agpl_terms": "terms of the gnu affero general public license",
+    "isc_title": "isc license",
+    "isc_grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "zero_grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "zlib_as_is": "this software is provided as is without any express or implied warranty",
+    "zlib_grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely *",
+    "unlicense": "this is free and unencumbered software released into the public domain",
+    "boost_title": "boost software license version 1 0",
+    "boost_grant": "permission is hereby granted free of charge to any person or organization obtaining a copy *",
+    "boost_notice": "distributed under the boost software license version 1 0",
+    "eclipse_title": "eclipse public license v 2 0",
+    "eclipse_notice": "terms of the eclipse public license v 2 0",
+    "eclipse_notice_short": "terms of the eclipse public license 2 0",
+    "mpl_title": "mozilla public license version 2 0",
+    "artistic_title": "the artistic license 2 0",
+    "wtfpl_title": "do what the fuck you want to public license",
 }
 # Rules, first those that take more sentences. A rule holds where its sentences occur in this order.
 RULES = [
@@ -57,15 +80,33 @@ RULES = [
     ("CC-BY-SA-4.0", ["cc_by_sa_notice"]),
     ("CC0-1.0", ["cc0_notice"]),
     ("MPL-2.0", ["mpl_notice"]),
+    ("LGPL-2.1", ["lgpl_title", "lgpl21_version"]),
+    ("LGPL-3.0", ["lgpl_title", "gpl3_version"]),
+    ("LGPL", ["lgpl_free", "lgpl_hope"]),
+    ("LGPL", ["lgpl_terms"]),
+    ("AGPL-3.0", ["agpl_title", "agpl_version"]),
+    ("AGPL-3.0", ["agpl_terms"]),
+    ("Zlib", ["zlib_as_is", "zlib_grant"]),
+    ("ISC", ["isc_grant"]),
+    ("0BSD", ["zero_grant"]),
+    ("Unlicense", ["unlicense"]),
+    ("BSL-1.0", ["boost_title", "boost_grant"]),
+    ("BSL-1.0", ["boost_notice"]),
+    ("EPL-2.0", ["eclipse_notice"]),
+    ("EPL-2.0", ["eclipse_notice_short"]),
+    ("EPL-2.0", ["eclipse_title"]),
+    ("MPL-2.0", ["mpl_title"]),
+    ("Artistic-2.0", ["artistic_title"]),
+    ("WTFPL", ["wtfpl_title"]),
 ]
 #: Sentences that speak of a licence only where nothing else stands between two breaks; the others may stand among more words.
-ALONE = {"apache_title", "apache_version", "mit_title", "mit_title_short", "gpl_title", "gpl2_version", "gpl3_version", "cc0_notice", "rights"}
+ALONE = {"apache_title", "apache_version", "mit_title", "mit_title_short", "gpl_title", "gpl2_version", "gpl3_version", "cc0_notice", "rights", "lgpl_title", "lgpl21_version", "agpl_title", "agpl_version", "isc_title", "eclipse_title", "mpl_title", "artistic_title", "wtfpl_title"}
 #: Marks of a break that a known sentence may go across, as a line feed inside a paragraph, and of one where sentences end.
 SOFT, HARD = "\x01", "\x02"
 #: What becomes which mark: a version's "v." is no break, blank lines (bare comment marks too) and full stops are hard, line feeds, colons and semicolons soft.
 BREAKS = [(r"(?i)\bv\.\s+(?=\d)", "v "), (r"[:;]*[.?!][.?!:;]*\s+|\n[^\p{L}\p{N}\n]*\n[^\p{L}\p{N}]*", HARD), (r"[:;]+\s+|\n", SOFT)]
-#: Words one of which every known sentence holds. Texts and sentences without any have no identifier.
-HINTS = ("licens", "permission", "permitted", "warranty", "redistribut", "rights", "neither the name", "version", "universal", "copyright")
+#: Every known sentence holds one of these words, its longest. Texts and sentences without any have no identifier.
+HINTS = tuple(sorted({max(sentence.removesuffix(" *").split(), key=len) for sentence in SENTENCES.values()}))
 
 
 def _pattern() -> str:
@@ -82,7 +123,7 @@ def _pattern() -> str:
 
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
-    hint = "(?i)" + "|".join(h.replace(" ", r"\s+") for h in HINTS)
+    hint = "(?i)" + "|".join(HINTS)
     normal = F.translate(text, SOFT + HARD, "  ")
     for pattern, mark in BREAKS:
         normal = F.regexp_replace(normal, pattern, mark)
@@ -119,7 +160,7 @@ def scan(docs: DataFrame) -> DataFrame:
 def _oracle() -> str:
     values = ", ".join(f"({k}, '{name}', '{s.removesuffix(' *')}', {str(s.endswith('*')).lower()})" for k, (name, s) in enumerate(SENTENCES.items()))
     rules = ", ".join(f"({k}, '{name}', '%,{',%,'.join(r)},%')" for k, (name, r) in enumerate(RULES))
-    hint = "|".join(h.replace(" ", r"\s+") for h in HINTS)
+    hint = "|".join(HINTS)
     return rf"""
 with known(k, name, sentence, open_end) as (values {values}),
 rules(k, license, path) as (values {rules}),
