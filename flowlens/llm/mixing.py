@@ -16,7 +16,7 @@ WEIGHTS = (3, 1, 2)
 BUDGET, CAP = 1.5, 2.0
 #: Largest remaining budget, in words, that dynamic programming fills.
 TABLE_WORDS = 1 << 16
-#: Documents of one source and size that are ranked together.
+#: About how many documents of one source and size are ranked together; which are chosen doesn't depend on it.
 RANK_ROWS = 50_000
 
 
@@ -131,8 +131,9 @@ def _mix(docs: DataFrame, keys: list[str], weights: tuple[int, ...] = WEIGHTS, b
 
     picks = materialize(by_length.groupBy("source_rank", "rest").applyInPandas(choose, "source_rank long, size long, n long, picks long"), "picks")
     order = F.xxhash64(F.lit(seed), "doc_id")
+    # slots are ranges of the hash, so the first documents of a length are the same ones however many slots there are
     slots = F.greatest(F.lit(1), F.ceil(F.col("n") / RANK_ROWS))
-    dealt = rows.join(picks, ["source_rank", "size"]).withColumn("order", order).withColumn("slot", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), slots))
+    dealt = rows.join(picks, ["source_rank", "size"]).withColumn("order", order).withColumn("slot", F.shiftright((F.shiftright("order", 40) + (1 << 23)) * slots, 24))
     group = ["source_rank", "size", "slot"]
     counts = dealt.groupBy(*group).agg(F.count("*").alias("in_slot"))
     before = F.sum("in_slot").over(Window.partitionBy("source_rank", "size").orderBy("slot")) - F.col("in_slot")

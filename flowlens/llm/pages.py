@@ -19,7 +19,7 @@ from . import crf
 BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 SPACES = set("br img input hr wbr td th".split()) - {"wbr"}
-HIDDEN = "script style template noscript textarea title select svg math iframe object canvas audio video button datalist head".split()
+HIDDEN = "script style template textarea title select svg button datalist head".split()
 # Elements whose end tag may be left out, and what closes them.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 BOUNDS = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
@@ -58,9 +58,9 @@ def _names(attrs: str) -> tuple[str, ...]:
 def leaf_blocks(page: str | None) -> list[Block]:
     """Text between block tags, in page order, with its open elements, outermost first.
 
-    Markup, comments, scripts, styles and other elements whose content isn't
-    text are dropped, a script, style, textarea, title or tag that the page's end
-    cuts off too. Of other such elements that are closed in themselves or never
+    Markup, comments, scripts, styles, drawings and the controls of forms are
+    dropped, a script, style, textarea, title or tag that the page's end cuts off
+    too. Formulas and what stands in for a frame, a film or a script stay. Of other such elements that are closed in themselves or never
     closed only the tag goes.
     Character references are decoded after the markup is taken away; white space
     becomes one space; blocks without text are left out.
@@ -184,8 +184,10 @@ def _text_features(block: Block) -> list[str]:
     share = block.linked / max(n, 1)
     out = ["chars " + str(min(n, 1000).bit_length()), "links " + ("none" if not share else "few" if share < 0.3 else "many" if share < 0.8 else "all")]
     out.append("ends" if text[-1] in ".!?…»”\"'" else "open")
-    if n < 200:
-        out += [f"says {name}" for name, p in PHRASES.items() if p.search(text)]
+    for name, p in PHRASES.items():
+        said = sum(m.end() - m.start() for m in p.finditer(text)) / max(n, 1)
+        if said:
+            out.append(f"says {name} " + ("much" if said >= 0.1 else "some" if said >= 0.02 else "little"))
     return out
 
 
@@ -225,8 +227,9 @@ def extract(pages: DataFrame, chain: crf.Chain | None = None) -> DataFrame:
     return rows.withColumn("n_chars", F.length("text").cast("long"))
 
 
+@lru_cache(maxsize=4)
 def trained(pages: int = 1200, seed: int = 5) -> crf.Chain:
-    """A chain trained on ``pages`` labelled pages of many layouts."""
+    """A chain trained on ``pages`` labelled pages of many layouts, once in a session."""
     sequences, labels = [], []
     for page, main in labelled_pages(pages, seed):
         blocks = leaf_blocks(page)

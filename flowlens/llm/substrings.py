@@ -18,6 +18,8 @@ from .words import WordCache, words_of
 WINDOW = 35
 #: Words of an anchor. The least anchor of a window stands for it in the first count.
 ANCHOR = 8
+#: Most bytes of texts in a bucket on average, so buckets grow in number with the corpus.
+BUCKET_BYTES = 64 << 20
 #: Odd bases of the rolling hashes modulo 2**64.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -119,7 +121,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
 def _distinct_texts(keyed: DataFrame) -> DataFrame:
     """k1, k2, text and copied (whether more than one row has the text), in buckets of (k1, k2) in the shared folder."""
     spark = keyed.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    octets = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-octets // BUCKET_BYTES))
     name = f"flowlens_texts_{uuid.uuid4().hex}"
     texts = keyed.where("text is not null").groupBy("k1", "k2").agg(F.first("text").alias("text"), (F.count("*") > 1).alias("copied"))
     texts.write.bucketBy(parts, "k1", "k2").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)

@@ -85,6 +85,11 @@ def train_model(docs: DataFrame, labels: DataFrame, toxic_sample: int = TOXIC_SA
     return fit([(r["text"] or "", r["toxic"]) for r in rows])
 
 
+def _words(text: str) -> list[str]:
+    """Words as scoring cuts them."""
+    return [w.decode("utf-8", "surrogatepass") for w in words_of(text)]
+
+
 def fit(rows: list[tuple[str, int]]) -> Model:
     """A model from texts and labels of whole documents.
 
@@ -98,14 +103,14 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     if not toxic or not clean:
         return Model()
     of = lru_cache(maxsize=50_000)(features)
-    in_toxic = Counter(f for text in toxic for f in {f for w in set(text.split()) for f in of(w)})
+    in_toxic = Counter(f for text in toxic for f in {f for w in set(_words(text)) for f in of(w)})
     often = {f: n for f, n in in_toxic.items() if n >= 3}
     del in_toxic
-    in_clean = Counter(f for text in clean for f in {f for w in set(text.split()) for f in of(w) if f in often})
+    in_clean = Counter(f for text in clean for f in {f for w in set(_words(text)) for f in of(w) if f in often})
     frequent = {f: n for f, n in often.items() if _lift(n, len(toxic), in_clean[f], len(clean), len(often))}
     places: dict[str, set[tuple[str, str]]] = {f: set() for f in frequent}
     for text in toxic:
-        words = ["", *text.split(), ""]
+        words = ["", *_words(text), ""]
         for before, w, after in zip(words, words[1:], words[2:], strict=False):
             for f in of(w):
                 if f in places:
@@ -115,7 +120,7 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     sequences, labels = [], []
     for label, texts in ((1, toxic), (0, clean)):
         for n, text in enumerate(texts):
-            words = [w.decode("utf-8", "surrogatepass") for w in words_of(text)]
+            words = _words(text)
             evident = {w for w in set(words) if not marked.isdisjoint(of(w))}
             hits = {i for i, w in enumerate(words) if w in evident}
             near = sorted({j for i in hits for j in range(max(0, i - AROUND), min(len(words), i + AROUND + 1))})

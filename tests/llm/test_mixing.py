@@ -88,3 +88,19 @@ def test_fill_reaches_the_budget():
             assert budget - words < lengths.max()
     assert mixing.fill(np.array([5]), np.array([3]), 14).tolist() == [2]
     assert mixing.fill(np.array([3, 5]), np.array([2, 2]), 11).tolist() == [2, 1]
+
+
+def test_choice_is_the_same_however_documents_are_dealt(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, " ".join("w" * rng.choice([1, 2, 3]) for _ in range(rng.choice([3, 5, 8]))), "ab"[i % 3 == 0], "x", 1) for i in range(3000)] + [(7, "w w w", "a", "x", 1)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, slot string, place int")
+    one = sorted(tuple(r) for r in mixing.mix(df).collect())
+    monkeypatch.setattr(mixing, "RANK_ROWS", 50)
+    assert sorted(tuple(r) for r in mixing.mix(df).collect()) == one
+    assert len(one) == len(rows)
+
+
+def test_long_texts(spark):
+    rows = [(1, "w " * 300_000, "a"), (2, "w", "a"), (3, "x y z", "b"), (4, None, None)]
+    out = {r["doc_id"]: r for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert [out[i]["size"] for i in (1, 2, 3, 4)] == [300_000, 1, 3, 0] and out[4]["taken"] == 0

@@ -99,3 +99,29 @@ def test_small_and_odd_tables(spark):
     empty = spark.createDataFrame([], LABELS)
     assert toxicity.score_documents(docs, toxicity.train_model(docs, empty)).where("predicted = 1").count() == 0
     assert toxicity.score_documents(spark.createDataFrame([], DOCS), toxicity.Model()).count() == 0
+
+
+def test_scores_equal_enumerated_labels(spark):
+    """The query's scores are those of marginals summed over every labelling of a short text."""
+    rng = random.Random(8)
+    clean, bad = [f"w{i}" for i in range(60)], ["vile", "viler", "rotten"]
+    texts = [(" ".join(rng.choice(clean + bad * 6 * (i % 2)) for _ in range(40)), i % 2) for i in range(200)]
+    model = toxicity.fit(texts)
+    rows = [(i, " ".join(rng.choice(clean[:3] + bad) for _ in range(rng.randrange(1, 9)))) for i in range(40)]
+    rows += [(100, "w1 " * 200_000 + "vile rotten viler"), (101, "x" * 300_000)]
+    out = {r["doc_id"]: r for r in toxicity.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    chain = model.chain
+    for i, text in rows[:-2]:
+        words = text.split()
+        scores = [chain.bias + model.word_score(w.encode()) for w in words]
+        one, total = [0.0] * len(words), 0.0
+        for labels in itertools.product((0, 1), repeat=len(words)):
+            inner = sum(chain.step[a][b] for a, b in itertools.pairwise(labels))
+            weight = math.exp(chain.start[labels[0]] + chain.end[labels[-1]] + inner + sum(s for s, y in zip(scores, labels, strict=True) if y))
+            total += weight
+            for k, y in enumerate(labels):
+                one[k] += weight * y
+        evident = [p / total for p, w in zip(one, words, strict=True) if model.word_score(w.encode())]
+        z = model.document[0] + model.document[1] * math.log1p(sum(evident)) + model.document[2] * max(evident, default=0.0)
+        assert abs(out[i]["score"] - 1 / (1 + math.exp(-z))) < 1e-9
+    assert out[100]["spans"] and 0 <= out[101]["score"] <= 1
