@@ -209,8 +209,8 @@ def _losers(texts: DataFrame, rows: DataFrame, most_edits: int) -> DataFrame:
         first = lambda of: F.min_by(F.struct("id", "free"), F.when(of, F.col("id")))
         heads = rows.groupBy("g").agg(first(F.col("role") == SEGMENT).alias("i"), first(F.lit(True)).alias("p"), F.count("*").alias("n"))
         few = (F.col("n") <= DIRECT) | ~F.exists("free", lambda x: x["l"] > x["e"])
-        met = rows.join(heads, "g").where("i is not null and n > 1").select("g", "id", "role", "free", F.when(F.col("role") == SEGMENT, F.col("p")).otherwise(F.col("i")).alias("head"), few.alias("few"))
-        met = materialize(met.select("g", "id", "role", "free", "few", F.col("head.id").alias("head"), ((F.col("head.id") < F.col("id")) & _near(F.col("head.free"), F.col("free"), most_edits)).alias("near")), "met")
+        met = rows.join(heads, "g").where("i is not null and n > 1").select("g", "id", "role", "free", F.when(F.col("role") == SEGMENT, F.col("p")).otherwise(F.col("i")).alias("head"), F.when(~few, F.col("p.free")).alias("first"), few.alias("few"))
+        met = materialize(met.select("g", "id", "role", "free", "first", "few", F.col("head.id").alias("head"), ((F.col("head.id") < F.col("id")) & _near(F.col("head.free"), F.col("free"), most_edits)).alias("near")), "met")
         a = met.where("few").select("g", F.col("id").alias("a"), F.col("role").alias("r"), F.col("free").alias("free_a"))
         b = met.where("few and head < id and not near")
         apart = (F.col("a") < F.col("id")) & (F.col("a") != F.col("head")) & ((F.col("r") == SEGMENT) | (F.col("role") == SEGMENT)) & _near(F.col("free_a"), F.col("free"), most_edits)
@@ -220,7 +220,7 @@ def _losers(texts: DataFrame, rows: DataFrame, most_edits: int) -> DataFrame:
         gone += [rows, met, still]
         if still.isEmpty():
             break
-        kept = materialize(met.where("not few").join(still, "g").where("id <= most").select("g", "id", "role", "free"), "kept")
+        kept = materialize(met.where("not few").join(still, "g").where("id <= most").select("g", "id", "role", "free", "first"), "kept")
         rows = _finer(_narrowed(kept, most_edits), most_edits)
         gone.append(kept)
     out = materialize(texts.join(lost, "id", "left_semi").select("h1", "h2").distinct(), "losers")
@@ -238,11 +238,11 @@ def _narrowed(rows: DataFrame, most_edits: int) -> DataFrame:
     """The same groups without what all their members share at the ends of a part, and of groups with equal members and parts only one.
 
     Edits need not lie in what all members share; so the parts shrink to where
-    the members differ, and groups that were formed by different segments become equal.
+    the members differ, and groups that were formed by different segments become
+    equal. ``first`` has the parts of the group's first member.
     """
-    first = rows.groupBy("g").agg(F.min("id").alias("id")).join(rows, ["g", "id"]).groupBy("g").agg(F.min("free").alias("first"))
     shared = F.transform(F.arrays_zip("free", "first"), lambda x: _shared(x["free"]["t"], x["first"]["t"]))
-    held = rows.join(first, "g").select("g", shared.alias("x"))
+    held = rows.select("g", shared.alias("x"))
     ends = held.groupBy("g").agg(*[F.min(F.get("x", F.lit(j))[c]).alias(f"{c}{j}") for j in range(most_edits) for c in ("begin", "end")])
     begin, end = (F.array(*[F.col(f"{c}{j}") for j in range(most_edits)]) for c in ("begin", "end"))
 
