@@ -80,9 +80,22 @@ def assign_clusters(rows: DataFrame, cores: DataFrame, keys: list[str], features
 
 
 def undersample(negatives: DataFrame, n_positive: int, seed: int, floor: int = 30) -> DataFrame:
-    """At most as many negatives as positives, at least ``floor``, chosen by a hash."""
-    key = F.xxhash64(F.lit(seed), *[F.col(c) for c in sorted(negatives.columns)])
-    return negatives.orderBy(key).limit(max(floor, n_positive))
+    """At most as many negatives as positives, at least ``floor``, chosen by a hash.
+
+    Rows are counted by the upper 16 bits of their hash; whole ranges are taken
+    until the next one would be too many, and only that one is ranked, so no
+    task sees more than a range and the counts.
+    """
+    most, columns = max(floor, n_positive), negatives.columns
+    rows = negatives.withColumn("_hash", F.xxhash64(F.lit(seed), *[F.col(c) for c in sorted(columns)])).withColumn("_range", F.shiftright("_hash", 48))
+    counts = rows.groupBy("_range").agg(F.count("*").alias("_n"))  # at most 65536 rows
+    sums = counts.withColumn("_upto", F.sum("_n").over(Window.orderBy("_range")))
+    last = sums.where(F.col("_upto") >= most).orderBy("_range").first()
+    if last is None:
+        return negatives
+    within = F.row_number().over(Window.partitionBy("_range").orderBy("_hash", *sorted(columns)))
+    edge = rows.where(F.col("_range") == last["_range"]).withColumn("_place", within).where(F.col("_place") <= most - last["_upto"] + last["_n"])
+    return rows.where(F.col("_range") < last["_range"]).select(*columns).unionByName(edge.select(*columns))
 
 
 def train_activities(rows: DataFrame, features: list[str], label: str, activities: list[str], trees: int = 20, seed: int = 100) -> dict[str, RandomForestClassificationModel]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -131,5 +133,15 @@ def without_periodic(rows: DataFrame, fingerprints: DataFrame, key: list[str], t
         mine = acting.where(F.col("_pass") == k).drop("_pass").withColumnRenamed("period", "_period")
         met = rows.withColumn("host_pattern", F.explode(host_patterns(F.col("host")))).join(mine, [*key, "host_pattern"])
         timed = timing_labels(met, [*key, "host_pattern"], ts, tie, "_period")
-        rows = rows.join(timed.where("label = 1").select(*key, tie).distinct(), [*key, tie], "left_anti")
+        rows = checkpointed(rows.join(timed.where("label = 1").select(*key, tie).distinct(), [*key, tie], "left_anti"))
     return rows
+
+
+def checkpointed(rows: DataFrame) -> DataFrame:
+    """The rows as read from the folder in spark.checkpoint.dir; where that is unset, as in tests, one of this machine."""
+    spark = rows.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.gettempdir() + "/flowlens-checkpoints")
+    return rows.checkpoint()
