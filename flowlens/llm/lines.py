@@ -9,15 +9,16 @@ from pyspark.sql import functions as F
 
 from .shared import computed_once, discard, materialize, with_row_keys
 
-#: Most edits between two linked lines, and the characters of the shorter line for each: one edit from 5 characters on, two from 10.
+#: Most edits between two linked lines, and the characters of the longer line for each: one edit from 5 characters on, two from 10.
 MOST_EDITS, CHARS_PER_EDIT = 2, 5
 #: Members of a group up to which they are compared with each other at once; larger groups are cut finer instead.
 DIRECT = 64
 BLANK = r"^[\x20\x09-\x0D]*$"
 #: Place of documents without an id in the order of documents: after all others.
 LAST = (1 << 63) - 1
-#: What a member of a group is: a segment at its own place, or a probe for it at another place or for a shorter line.
-SEGMENT, PROBE = 0, 1
+#: What a member of a group is: a segment at its own place, a probe for it at another place or for a shorter line, or a segment that only
+#: longer lines may link with, as they may have one edit more than lines of its length.
+SEGMENT, PROBE, INDEX = 0, 1, 2
 
 
 def dedup_lines(docs: DataFrame, most_edits: int = MOST_EDITS) -> DataFrame:
@@ -25,7 +26,7 @@ def dedup_lines(docs: DataFrame, most_edits: int = MOST_EDITS) -> DataFrame:
 
     A line is what stands between line feeds and has a word; blank lines stay
     and aren't counted. Lines link at ``most_edits`` (1 to 3) or fewer edits of
-    characters (code points), if those are at most a fifth of the shorter line. Of
+    characters (code points), if those are at most a fifth of the longer line. Of
     equal lines the first one stays, by doc_id and place. All occurrences of a
     line go if a linked line first occurs at an earlier place. Null texts have no
     lines and a null kept_text; null ids come after all others; rows with equal
@@ -106,10 +107,12 @@ def _keys(most_edits: int) -> list[tuple[int, int, int, int]]:
     """(what it is, difference of lengths, segment, shift) of every key of a line.
 
     Of k edits at most i lie before the first segment i that none of them touch
-    and at most k - i behind it, which bounds the shifts.
+    and at most k - i behind it, which bounds the shifts. The longer line says
+    how many edits there may be, so a line is cut a second time where a longer
+    partner may have one edit more than lines of its own length.
     """
     k = most_edits
-    return [(SEGMENT, 0, i, 0) for i in range(k + 1)] + [(PROBE, d, i, s) for d in range(k + 1) for i, s in _shifts(k) if abs(d - s) <= k - i and (d or s)]
+    return [(role, 0, i, 0) for role in (SEGMENT, INDEX) for i in range(k + 1)] + [(PROBE, d, i, s) for d in range(k + 1) for i, s in _shifts(k) if abs(d - s) <= k - i and (d or s)]
 
 
 def _edits(length: Column, most_edits: int) -> Column:
@@ -118,12 +121,14 @@ def _edits(length: Column, most_edits: int) -> Column:
 
 def _distinct(lines: DataFrame, most_edits: int) -> DataFrame:
     """One row for each line: h1, h2, first_doc, n_docs and the keys in the order of ``_keys``, null where there is none."""
-    rows = lines.select("ord", "h1", "h2", "line", F.length("line").alias("n")).withColumns({f"e{d}": _edits(F.col("n") - d, most_edits) for d in range(most_edits + 1)})
+    rows = lines.select("ord", "h1", "h2", "line", F.length("line").alias("n")).withColumn("e", _edits(F.col("n"), most_edits))
     keys = []
-    for _, d, i, s in _keys(most_edits):
-        e, n = F.col(f"e{d}"), F.col("n") - d
+    for role, d, i, s in _keys(most_edits):
+        e, n = F.col("e") + int(role == INDEX), F.col("n") - d
         start, size = _segment(n, i, e + 1)
         fits = (e >= max(1, d, i)) & (abs(d - s) <= e - i)
+        if role == INDEX:
+            fits &= _edits(n + e, most_edits) == e
         keys.append(F.when(fits & (start + s >= 0) & (start + s + size <= F.col("n")), F.xxhash64(e, n, F.lit(i), F.substring("line", start + s + 1, size))))
     return rows.select("ord", "h1", "h2", F.array(*keys).alias("keys")).groupBy("h1", "h2", "keys").agg(F.min("ord").alias("first_doc"), F.count("*").alias("n_docs"))
 
@@ -134,7 +139,7 @@ def _members(distinct: DataFrame, most_edits: int) -> DataFrame:
     The index has one row for each key while the probes meet it, so the join
     makes no more rows than there are probes, and hot keys can be split.
     """
-    own = most_edits + 1
+    own = 2 * (most_edits + 1)
     index = distinct.select("h1", F.posexplode(F.slice("keys", 1, own)).alias("pos", "g")).where("g is not null")
     probes = distinct.select("h1", F.posexplode(F.slice("keys", own + 1, len(_keys(most_edits)) - own)).alias("pos", "g")).where("g is not null").withColumn("pos", F.col("pos") + own)
     seen = materialize(index.groupBy("g").agg(F.min("h1").alias("low"), F.max("h1").alias("high")), "index")
@@ -162,7 +167,7 @@ def _groups(members: DataFrame, texts: DataFrame, most_edits: int) -> DataFrame:
     keys = _keys(most_edits)
     of = lambda x: F.get(F.array(*[F.lit(k[x]) for k in keys]), F.col("pos"))
     rows = members.join(texts.select("id", "h1", "line"), "h1").select("g", "id", "line", of(0).alias("role"), (F.length("line") - of(1)).alias("l"), of(2).alias("i"), of(3).alias("s"))
-    rows = rows.withColumn("e", _edits(F.col("l"), most_edits))
+    rows = rows.withColumn("e", _edits(F.length("line"), most_edits) + F.when(F.col("role") == INDEX, 1).otherwise(0))
     return rows.select("g", "id", "role", _around(F.col("line"), F.col("l"), F.col("e"), F.col("i"), F.col("s")).alias("free"))
 
 
@@ -183,7 +188,7 @@ def _finer(rows: DataFrame, most_edits: int) -> DataFrame:
     fits = []
     for i, s in _shifts(most_edits):
         start, size = _segment(n, i, e + 1)
-        fits.append(F.when((i <= e) & (F.abs(F.length(t) - n - s) <= e - i) & (start + s >= 0) & (start + s + size <= F.length(t)), F.struct(F.lit(i).alias("i"), F.lit(s).alias("s"))))
+        fits.append(F.when(((F.col("role") != INDEX) | F.lit(s == 0)) & (i <= e) & (F.abs(F.length(t) - n - s) <= e - i) & (start + s >= 0) & (start + s + size <= F.length(t)), F.struct(F.lit(i).alias("i"), F.lit(s).alias("s"))))
     rows = rows.select("g", "id", "role", "free", "k", "p", F.explode(F.array_compact(F.array(*fits))).alias("c"))
     i, s = F.col("c.i"), F.col("c.s")
     start, size = _segment(n, i, e + 1)
@@ -207,13 +212,13 @@ def _losers(texts: DataFrame, rows: DataFrame, most_edits: int) -> DataFrame:
     while True:
         rows = materialize(rows, "groups")
         first = lambda of: F.min_by(F.struct("id", "free"), F.when(of, F.col("id")))
-        heads = rows.groupBy("g").agg(first(F.col("role") == SEGMENT).alias("i"), first(F.lit(True)).alias("p"), F.count("*").alias("n"))
+        heads = rows.groupBy("g").agg(first(F.col("role") != PROBE).alias("i"), first(F.col("role") != INDEX).alias("p"), F.count("*").alias("n"))
         few = (F.col("n") <= DIRECT) | ~F.exists("free", lambda x: x["l"] > x["e"])
-        met = rows.join(heads, "g").where("i is not null and n > 1").select("g", "id", "role", "free", F.when(F.col("role") == SEGMENT, F.col("p")).otherwise(F.col("i")).alias("head"), F.when(~few, F.col("p.free")).alias("first"), few.alias("few"))
+        met = rows.join(heads, "g").where("i is not null and p is not null and n > 1").select("g", "id", "role", "free", F.when(F.col("role") == PROBE, F.col("i")).otherwise(F.col("p")).alias("head"), F.when(~few, F.col("p.free")).alias("first"), few.alias("few"))
         met = materialize(met.select("g", "id", "role", "free", "first", "few", F.col("head.id").alias("head"), ((F.col("head.id") < F.col("id")) & _near(F.col("head.free"), F.col("free"), most_edits)).alias("near")), "met")
         a = met.where("few").select("g", F.col("id").alias("a"), F.col("role").alias("r"), F.col("free").alias("free_a"))
         b = met.where("few and head < id and not near")
-        apart = (F.col("a") < F.col("id")) & (F.col("a") != F.col("head")) & ((F.col("r") == SEGMENT) | (F.col("role") == SEGMENT)) & _near(F.col("free_a"), F.col("free"), most_edits)
+        apart = (F.col("a") < F.col("id")) & (F.col("a") != F.col("head")) & ((F.col("r") == SEGMENT) | (F.col("r") != F.col("role"))) & _near(F.col("free_a"), F.col("free"), most_edits)
         new = materialize(met.where("near").select("id").union(b.join(a, (b["g"] == a["g"]) & apart, "left_semi").select("id")).distinct(), "near_lines")
         lost = new if lost is None else lost.unionByName(new)
         still = materialize(met.where("head < id and not few and not near").join(lost, "id", "left_anti").groupBy("g").agg(F.max("id").alias("most")), "open")
@@ -281,8 +286,8 @@ def _shared(x: Column, y: Column) -> Column:
 
 
 def linked(a: Column, b: Column, most_edits: int) -> Column:
-    """Whether two lines are within ``most_edits`` edits of characters, and those within a fifth of the shorter one."""
-    return F.when(F.length(b) == 0, F.lit(False)).otherwise(_distance_within(a, b, _edits(F.least(F.length(a), F.length(b)), most_edits), most_edits))
+    """Whether two lines are within ``most_edits`` edits of characters, and those within a fifth of the longer one."""
+    return F.when(F.length(b) == 0, F.lit(False)).otherwise(_distance_within(a, b, _edits(F.greatest(F.length(a), F.length(b)), most_edits), most_edits))
 
 
 def _distance_within(a: Column, b: Column, edits: Column, most_edits: int) -> Column:
@@ -367,7 +372,7 @@ near as (
   select distinct b.line
   from s a join d b on a.n2 = b.n and a.place < b.place
   where ({" or ".join(f"contains(b.m, parts[{i + 1}])" for i in range(MOST_EDITS + 1))})
-    and levenshtein(a.m, b.m) <= least({MOST_EDITS}, least(a.n, b.n) // {CHARS_PER_EDIT})
+    and levenshtein(a.m, b.m) <= least({MOST_EDITS}, greatest(a.n, b.n) // {CHARS_PER_EDIT})
 ),
 k as (
   select l.doc_id, l.pos, l.line,
