@@ -59,6 +59,22 @@ def collapse_cloud(host: Column) -> Column:
     return F.when(host.rlike(r"^ec.*\.compute(-1)?\.amazonaws\.com$"), CLOUD).otherwise(host)
 
 
+#: Fixed values: (beginning of the device's name, host, the name that its fingerprints have).
+HOST_ALIASES = [
+    ("tplink", "n-devs.tplinkcloud.com", "devs.tplinkcloud.com"),
+    ("wink-hub2", "3.90.178.36", "*.compute-1.amazonaws.com"),
+    ("wyze-cam", "45.56.113.17", "*.ip.linodeusercontent.com"),
+]
+
+
+def aliased_host(host: Column, device: Column) -> Column:
+    """The name that a device's fingerprints have for a host; other hosts, and null, as they are."""
+    named = host
+    for prefix, seen, name in HOST_ALIASES:
+        named = F.when(F.startswith(device, F.lit(prefix)) & (host == seen), F.lit(name)).otherwise(named)
+    return named
+
+
 def suffix(host: Column, labels: int = 3) -> Column:
     return F.substring_index(host, ".", -labels)
 

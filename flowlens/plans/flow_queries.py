@@ -132,6 +132,22 @@ def collapsed_domains(spark, sf_dir):
     return rows.select("host", F.when(shared, F.concat(F.lit("*."), F.col("suffix"))).otherwise(F.col("host")).alias("domain"))
 
 
+@query("""select c_custkey, device, case
+  when starts_with(device, 'tplink') and host = 'n-devs.tplinkcloud.com' then 'devs.tplinkcloud.com'
+  when starts_with(device, 'wink-hub2') and host = '3.90.178.36' then '*.compute-1.amazonaws.com'
+  when starts_with(device, 'wyze-cam') and host = '45.56.113.17' then '*.ip.linodeusercontent.com'
+  else host end as host
+from (select c_custkey, ['tplink-bulb', 'wink-hub2', 'wyze-cam', 'nest-tstat'][1 + c_custkey % 4] as device,
+  ['n-devs.tplinkcloud.com', '3.90.178.36', '45.56.113.17', 'www.example.com', null][1 + c_nationkey % 5] as host from customer)""")
+def aliased_hosts(spark, sf_dir):
+    rows = read(spark, sf_dir, "customer").selectExpr(
+        "c_custkey",
+        "array('tplink-bulb', 'wink-hub2', 'wyze-cam', 'nest-tstat')[int(c_custkey % 4)] as device",
+        "array('n-devs.tplinkcloud.com', '3.90.178.36', '45.56.113.17', 'www.example.com', null)[int(c_nationkey % 5)] as host",
+    )
+    return rows.select("c_custkey", "device", net.aliased_host(F.col("host"), F.col("device")).alias("host"))
+
+
 @query(f"""with {PACKETS_SQL}, h as (select remote, us, max(name) as name from (select case when event_id % 2 = 0 then concat('10.1.0.', cast(user_id % 40 as varchar)) else 'x' end as remote, epoch_us(ts) as us, concat('h', cast(event_id as varchar)) as name from events where event_id % 10 = 4) group by all),
 q as (select frame_num, us, concat('10.1.0.', cast(user_id % 43 as varchar)) as remote from p),
 a as (select q.*, h.name as prior from q asof left join h on h.remote = q.remote and h.us <= q.us),
