@@ -75,6 +75,20 @@ def aliased_host(host: Column, device: Column) -> Column:
     return named
 
 
+#: Hosts that stand for a link and not for a destination.
+LINK_HOSTS = ("00:0c:43:26:60:00", "22:ef:03:1a:97:b9", "ff:ff:ff:ff:ff:ff", "multicast")
+
+
+def is_link_host(host: Column) -> Column:
+    """Names of hardware, multicast, and whatever has a colon, as hardware and IPv6 addresses do; null: false."""
+    return F.coalesce(host.isin(*LINK_HOSTS) | host.contains(":"), F.lit(False))
+
+
+def is_of_pattern(host: Column, pattern: Column) -> Column:
+    """Whether a host is the pattern, or ends with what follows the pattern's leading ``*.``; null: null."""
+    return (host == pattern) | (F.startswith(pattern, F.lit("*")) & F.endswith(host, F.substr(pattern, F.lit(3))))
+
+
 def suffix(host: Column, labels: int = 3) -> Column:
     return F.substring_index(host, ".", -labels)
 

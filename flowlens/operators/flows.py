@@ -34,6 +34,12 @@ def without_retransmissions(packets: DataFrame, expert: str = "expert") -> DataF
     return packets.where(~(e.contains("retransmission") | e.contains("Duplicate ACK")))
 
 
+def decodable(packets: DataFrame, idle: bool = False) -> DataFrame:
+    """Packets between two IPv4 addresses that aren't ICMP; of idle traffic STUN's old form goes too. Null protocols stay."""
+    out = ("ICMP", "CLASSIC-STUN") if idle else ("ICMP",)
+    return packets.where(net.is_ipv4(F.col("ip_src")) & net.is_ipv4(F.col("ip_dst")) & ~F.coalesce(F.col("protocol").isin(*out), F.lit(False)))
+
+
 def split_bursts(packets: DataFrame, keys: list[str], gap: float, ts: str = "ts", tie: str = "frame_num") -> DataFrame:
     """Adds burst, counted from 0 in each flow, and burst_start; a burst's first delta becomes 0.
 

@@ -58,6 +58,11 @@ def gone(rows: DataFrame, fingerprints: DataFrame, keys: list[str]) -> DataFrame
     return fingerprints.join(listed, [*keys, "host_pattern"], "left_anti")
 
 
+def without_local(rows: DataFrame, devices: DataFrame) -> DataFrame:
+    """Rows whose host is no device of the network (column ``name``) and no name of hardware or multicast; null hosts stay."""
+    return rows.where(~net.is_link_host(F.col("host"))).join(devices.select(F.col("name").alias("host")).distinct(), "host", "left_anti")
+
+
 def complete_windows(rows: DataFrame, fingerprints: DataFrame, window: list[str]) -> DataFrame:
     """(window, activity) where every (host, protocol) of the activity's fingerprint occurs."""
     need = fingerprints.groupBy("activity").agg(F.count_distinct("host", "protocol").alias("needed"))

@@ -7,10 +7,12 @@ import pandas as pd
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from flowlens.functions import net
+
 
 def fit_scaler(rows: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
     """One row for each key: mean and population deviation of every feature."""
@@ -114,3 +116,30 @@ def predict_activities(rows: DataFrame, models: dict[str, RandomForestClassifica
         votes.append(F.when(F.col(f"_y{i}") == 1, F.struct(p.alias("p"), F.lit(name).alias("a"))))
     best = F.array_max(F.array_compact(F.array(*votes)))
     return out.select(*rows.columns, F.coalesce(best["a"], F.lit(unknown)).alias("activity"), F.coalesce(best["p"], F.lit(0.0)).alias("proba"))
+
+
+def best_at_host(host: Column, protocol: Column, scores: Column) -> Column:
+    """proba and activity of the largest probability among the predicted ``scores`` whose fingerprint the host and protocol match; null if none.
+
+    ``scores`` is an array of structs activity, host_pattern, protocol, proba
+    and predicted. Of equal probabilities the last activity by name counts.
+    """
+    fits = F.filter(scores, lambda s: s["predicted"] & (s["protocol"] == protocol) & net.is_of_pattern(host, s["host_pattern"]))
+    return F.array_max(F.transform(fits, lambda s: F.struct(s["proba"].alias("proba"), s["activity"].alias("activity"))))
+
+
+def predict_at_hosts(rows: DataFrame, models: dict[tuple[str, str, str], RandomForestClassificationModel], features: list[str], unknown: str = "unknown") -> DataFrame:
+    """Adds activity and proba, where each model speaks for one (activity, host_pattern, protocol) of a fingerprint.
+
+    A model counts for rows of its own host and protocol only; rows need host
+    and protocol, those that no model claims are unknown with probability 0.
+    """
+    out = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep").transform(rows.na.fill(-1, features))
+    scores = []
+    for i, (named, model) in enumerate(models.items()):
+        out = model.setPredictionCol(f"_y{i}").setProbabilityCol(f"_p{i}").setRawPredictionCol(f"_r{i}").transform(out)
+        of = [F.lit(v).alias(c) for v, c in zip(named, ("activity", "host_pattern", "protocol"), strict=True)]
+        scores.append(F.struct(*of, F.get(vector_to_array(F.col(f"_p{i}")), 1).alias("proba"), (F.col(f"_y{i}") == 1).alias("predicted")))
+    best = best_at_host(F.col("host"), F.col("protocol"), F.array(*scores)) if scores else F.lit(None).cast("struct<proba:double,activity:string>")
+    out = out.select(*rows.columns, best.alias("_best"))
+    return out.select(*rows.columns, F.coalesce("_best.activity", F.lit(unknown)).alias("activity"), F.coalesce("_best.proba", F.lit(0.0)).alias("proba"))

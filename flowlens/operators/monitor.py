@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import math
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -65,6 +67,46 @@ class Monitor:
         return p, z, alert
 
 
+    def dump(self) -> str:
+        pairs = lambda x: [[*k, *v] for k, v in x.items()]
+        return json.dumps([self.counts, pairs(self.accepted), pairs(self.limits), self.week, self.month])
+
+    @classmethod
+    def load(cls, text: str) -> Monitor:
+        out = cls()
+        out.counts, accepted, limits, out.week, out.month = json.loads(text)
+        out.accepted, out.limits = ({(s, d): (a, b) for s, d, a, b in x} for x in (accepted, limits))
+        return out
+
+
+#: Schemas of the streaming update below.
+WATCHED = "machine string, time double, src string, dst string, prob double, z double, alert string"
+MONITOR = "monitor string"
+
+
+def watch_stream(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """State update for ``applyInPandasWithState``: steps (time in seconds, src, dst) of a machine in time order, with its upkeep.
+
+    Steps behind the watermark are late and don't count. A timer for the next
+    week's upkeep is set after every call, so a machine without traffic is kept
+    too; it gives no rows.
+    """
+    monitor = Monitor.load(state.get[0]) if state.exists else Monitor()
+    mark = state.getCurrentWatermarkMs() / 1000
+    if state.hasTimedOut:
+        monitor.maintain(mark)
+    else:
+        rows = pd.concat(frames).sort_values(["time", "src", "dst"], kind="stable")
+        out = []
+        for now, src, dst in rows.loc[rows["time"] >= mark, ["time", "src", "dst"]].itertuples(index=False):
+            monitor.maintain(now)
+            out.append((key[0], now, src, dst, *monitor.step(src, dst)))
+        yield pd.DataFrame(out, columns=["machine", "time", "src", "dst", "prob", "z", "alert"])
+    if monitor.week is not None:
+        state.update((monitor.dump(),))
+        state.setTimeoutTimestamp(int(max(monitor.week + WEEK, mark) * 1000) + 1)
+
+
 def watched(steps: DataFrame, keys: list[str], order: list[str], time: str) -> DataFrame:
     """Adds prob, z and alert to every step (src, dst) in order of each machine, with weekly and four-weekly upkeep by ``time``."""
 

@@ -61,11 +61,12 @@ def sparse_periods(rows: DataFrame, keys: list[str], ts: str, low: int = 4, high
     return out.where(F.col("n_times").between(low, high) & (F.col("_worst") <= most)).drop("_worst")
 
 
-def find_periods(counts: np.ndarray, width: float, seed: int, shuffles: int = 100, quantile: int = 6) -> list[tuple[float, float]]:
+def find_periods(counts: np.ndarray, width: float, seed: int, shuffles: int = 100, quantile: int = 6, shortest: int = 0) -> list[tuple[float, float]]:
     """Up to two (period, autocorrelation) of a binned signal, the strongest first.
 
     Frequencies whose strength beats the ``quantile``-th largest peak of
-    shuffled signals are candidates; each must show as a peak of the
+    shuffled signals are candidates, if their period has ``shortest`` bins or
+    more and isn't that of the candidate before; each must show as a peak of the
     autocorrelation near its period that exceeds 3.315 / sqrt(n).
     """
     x = np.asarray(counts, dtype=float)
@@ -75,7 +76,10 @@ def find_periods(counts: np.ndarray, width: float, seed: int, shuffles: int = 10
     rng = np.random.default_rng(seed)
     strength = np.abs(np.fft.rfft(x))[: n // 2]
     peaks = sorted(np.abs(np.fft.rfft(rng.permutation(x)))[2 : n // 2].max() for _ in range(shuffles))
-    candidates = [k for k in np.flatnonzero(strength > peaks[-quantile]) if k >= 2]
+    candidates: list[int] = []
+    for k in np.flatnonzero(strength > peaks[-quantile]):
+        if k >= 2 and round(n / k) >= shortest and not (candidates and round(n / k) == round(n / candidates[-1])):
+            candidates.append(int(k))
     centred = x - x.mean()
     spectrum = np.abs(np.fft.rfft(centred, 2 * n)) ** 2
     acf = np.fft.irfft(spectrum)[:n]
@@ -94,17 +98,31 @@ def detect_periods(signal: DataFrame, keys: list[str], width: float, seed: int =
     """keys, rank, period, strength of each key's binned signal (columns bin and n).
 
     A group is one key's signal; its length is bounded by the observed time over
-    the bin width.
+    the bin width. Bins of up to ten minutes are too fine for periods of fewer
+    than ten bins.
     """
+    shortest = 0 if width > 600 else 10
     schema = ", ".join(f"`{k}` {signal.schema[k].dataType.simpleString()}" for k in keys) + ", rank int, period double, strength double"
 
     def each(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        found = find_periods(group.sort_values("bin")["n"].to_numpy(), width, seed)
+        found = find_periods(group.sort_values("bin")["n"].to_numpy(), width, seed, shortest=shortest)
         return pd.DataFrame([(*key, i + 1, p, s) for i, (p, s) in enumerate(found)], columns=[*keys, "rank", "period", "strength"])
 
     return signal.groupBy(*keys).applyInPandas(each, schema)
 
 
+def period_evaluation(truth: DataFrame, found: DataFrame, keys: list[str], slack: float = 0.0) -> DataFrame:
+    """One row tp, fn, fp, tn of found periods (keys, period) against ``truth`` (keys, true_period; 0 or null: none).
+
+    A key with a period is right if one of its found periods is within ``slack``
+    of it; a key without is wrong if it has any.
+    """
+    rows = truth.join(found.select(*keys, "period"), keys, "left").groupBy(*keys, F.coalesce("true_period", F.lit(0)).alias("t"))
+    hit = rows.agg(F.coalesce(F.bool_or(F.abs(F.col("period") - F.col("true_period")) <= slack), F.lit(False)).alias("hit"), (F.count("period") > 0).alias("any"))
+    t = F.col("t") != 0
+    return hit.agg(F.count_if(t & F.col("hit")).alias("tp"), F.count_if(t & ~F.col("hit")).alias("fn"), F.count_if(~t & F.col("any")).alias("fp"), F.count_if(~t & ~F.col("any")).alias("tn"))
+
+
 def merge_rates(fine: DataFrame, coarse: DataFrame, keys: list[str], factor: float) -> DataFrame:
     """Periods found at two bin widths: the fine one, and the coarse one scaled by ``factor`` unless they are equal."""
     both = fine.select(*keys, F.col("period").alias("period_1")).join(coarse.select(*keys, (F.col("period") * factor).alias("period_2")), keys, "full_outer")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .periodic import checkpointed
+
 PARTIES = {1: "first", 2: "support", 3: "third"}
 
 
@@ -40,12 +42,27 @@ def outer_sum(a: DataFrame, b: DataFrame, keys: list[str], columns: list[str]) -
 
 def empirical_cdf(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """value, n and cdf: the share of rows at or below each distinct value."""
-    by = by or []
-    counts = rows.groupBy(*by, value).agg(F.count("*").alias("n"))
+    counts = rows.groupBy(*(by or []), value).agg(F.count("*").alias("n"))
+    if not by:
+        n_all = rows.agg(F.count("*")).first()[0]
+        return ranked(counts, [F.col(value).asc()], "n", "_upto").withColumn("cdf", F.col("_upto") / F.lit(n_all)).drop("_upto")
     w = Window.partitionBy(*by)
     return counts.withColumn("cdf", F.sum("n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) / F.sum("n").over(w))
 
 
+def ranked(counts: DataFrame, order: list[Column], value: str, total: str) -> DataFrame:
+    """Adds ``total``, the sum of ``value`` over all rows up to this one in ``order``, which must tell rows apart.
+
+    Rows are dealt to partitions by range; each sums its own, and adds the sums
+    of the partitions before, of which there are as many as partitions.
+    """
+    parts = checkpointed(counts.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sums = parts.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    before = sums.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_before"))
+    within = F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return parts.join(before, "_part").withColumn(total, within + F.col("_before")).drop("_part", "_before")
+
+
 def shares(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Each column as per cent of their sum; all zero gives zeros."""
     total = sum((F.col(c) for c in columns), F.lit(0))

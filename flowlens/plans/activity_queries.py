@@ -199,3 +199,18 @@ def conditional_means(spark, sf_dir):
     return packets(spark, sf_dir).groupBy("device").agg(F.count_if(F.col("frame_len") > 700).alias("large"), F.count_if(F.col("frame_len") <= 700).alias("small"), F.round(udp, 6).alias("udp_mean"))
 
 
+#: Fingerprints (activity, host pattern, protocol) and what makes their models' probabilities: no forest, so SQL has the same.
+_AT_HOSTS = [("ring", "*.example.com", "TCP", 37), ("watch", "a.api.example.com", "TCP", 53), ("watch", "cdn.example.net", "UDP", 71), ("lamp", "*.example.net", "UDP", 29), ("lamp", "time.example.org", "TCP", 83)]
+_TRANSPORT = "case when contains(protocol, 'UDP') then 'UDP' else 'TCP' end"
+
+
+@query(f"""with {PACKETS_SQL}, f(activity, host_pattern, protocol, k) as (values {", ".join(map(str, _AT_HOSTS))}),
+x as (select frame_num, host, {_TRANSPORT} as protocol from p),
+m as (select frame_num, activity, (frame_num * k % 101) / 100.0 as proba from x join f on f.protocol = x.protocol and (host = host_pattern or (starts_with(host_pattern, '*') and suffix(host, substr(host_pattern, 3)))) where frame_num * k % 101 >= 50)
+select x.frame_num, coalesce(arg_max(activity, (proba, activity)), 'unknown') as activity, coalesce(max(proba), 0) as proba from x left join m on m.frame_num = x.frame_num group by x.frame_num""")
+def host_predictions(spark, sf_dir):
+    rows = packets(spark, sf_dir).selectExpr("frame_num", "host", f"{_TRANSPORT} as protocol")
+    proba = lambda k: F.col("frame_num") * k % 101 / 100.0
+    scores = F.array(*[F.struct(F.lit(a).alias("activity"), F.lit(h).alias("host_pattern"), F.lit(p).alias("protocol"), proba(k).alias("proba"), (proba(k) >= 0.5).alias("predicted")) for a, h, p, k in _AT_HOSTS])
+    best = rows.select("frame_num", models.best_at_host(F.col("host"), F.col("protocol"), scores).alias("b"))
+    return best.select("frame_num", F.coalesce("b.activity", F.lit("unknown")).alias("activity"), F.coalesce("b.proba", F.lit(0.0)).alias("proba"))

@@ -68,10 +68,8 @@ def outer_sum(spark, sf_dir):
 
 @query("select p_type as value, count(*) as n, row_number() over (order by count(*) desc, p_type) as place from part group by p_type")
 def value_counts(spark, sf_dir):
-    from pyspark.sql.window import Window
-
-    counts = read(spark, sf_dir, "part").groupBy(F.col("p_type").alias("value")).agg(F.count("*").alias("n"))
-    return counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "value")).cast("long"))
+    counts = read(spark, sf_dir, "part").groupBy(F.col("p_type").alias("value")).agg(F.count("*").alias("n")).withColumn("_one", F.lit(1))
+    return summaries.ranked(counts, [F.desc("n"), F.asc("value")], "_one", "place").drop("_one")
 
 
 @query("select p_brand, p_type, p_size, count(*) as n from part group by all")

@@ -215,3 +215,24 @@ def robust_statistics(spark, sf_dir):
     out = rows.groupBy("l_suppkey").agg(F.count("*").alias("n"), *flows.moments("l_quantity", "Quantity"), F.median("l_quantity").alias("middle"), q.alias("_q"))
     out = out.join(flows.with_median_deviation(rows, ["l_suppkey"], "l_quantity", "deviation"), "l_suppkey")
     return out.select("l_suppkey", "n", F.round("skewQuantity", 6).alias("skewQuantity"), F.round("kurtosisQuantity", 6).alias("kurtosisQuantity"), F.round("deviation", 6).alias("deviation"), "middle", F.round(F.get("_q", 0), 6).alias("p10"), F.round(F.get("_q", 1), 6).alias("p90"))
+
+
+#: Packets with protocols and addresses of the link and network layers among them.
+_LINK = {"protocol": "case when frame_num % 17 = 0 then 'ICMP' when frame_num % 19 = 0 then 'CLASSIC-STUN' else protocol end", "ip_src": "case when frame_num % 23 = 0 then 'fe80::1:2' when frame_num % 29 = 0 then '' else ip_src end"}
+
+
+@query(f"""with {PACKETS_SQL}, l as (select frame_num, {_LINK["protocol"]} as protocol, {_LINK["ip_src"]} as ip_src, ip_dst from p)
+select frame_num, protocol, ip_src, ip_dst from l where protocol not in ('ICMP', 'CLASSIC-STUN') and regexp_full_match(ip_src, '[0-9]+([.][0-9]+){{3}}') and regexp_full_match(ip_dst, '[0-9]+([.][0-9]+){{3}}')""")
+def decodable_packets(spark, sf_dir):
+    rows = packets(spark, sf_dir).selectExpr("frame_num", *[f"{e} as {n}" for n, e in _LINK.items()], "ip_dst")
+    return flows.decodable(rows, idle=True)
+
+
+_NAMED = "case frame_num % 9 when 0 then 'multicast' when 1 then 'ff:ff:ff:ff:ff:ff' when 2 then '3a:00:11:22:33:44' when 3 then device when 4 then 'dev99' else host end"
+
+
+@query(f"""with {PACKETS_SQL}, n as (select frame_num, {_NAMED} as host from p)
+select frame_num, host from n where host <> 'multicast' and not contains(host, ':') and host not in (select concat('dev', cast(c_custkey as varchar)) from customer where c_custkey < 8)""")
+def without_local_hosts(spark, sf_dir):
+    devices = read(spark, sf_dir, "customer").where("c_custkey < 8").selectExpr("concat('dev', cast(c_custkey as string)) as name")
+    return lookups.without_local(packets(spark, sf_dir).selectExpr("frame_num", f"{_NAMED} as host"), devices).select("frame_num", "host")

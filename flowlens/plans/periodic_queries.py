@@ -95,6 +95,16 @@ def period_detection(spark, sf_dir):
     return rows.select(*keys).distinct().join(found, keys, "left").withColumn("strength", F.round("strength", 6))
 
 
+@query("""with t as (select p_partkey as k, case when p_partkey % 3 = 0 then 0 else p_partkey % 50 + 2 end as true_period from part), f as (select p_partkey as k, p_size + 0.0 as period from part where p_partkey % 4 <> 0 union all select ps, (ps % 50 + 3) + 0.0 from (select p_partkey as ps from part where p_partkey % 5 = 0)),
+h as (select t.k, true_period, coalesce(bool_or(abs(period - true_period) <= 1), false) as hit, count(period) > 0 as found from t left join f on f.k = t.k group by all)
+select count(*) filter (where true_period <> 0 and hit) as tp, count(*) filter (where true_period <> 0 and not hit) as fn, count(*) filter (where true_period = 0 and found) as fp, count(*) filter (where true_period = 0 and not found) as tn from h""")
+def period_evaluation(spark, sf_dir):
+    part = read(spark, sf_dir, "part")
+    truth = part.selectExpr("p_partkey as k", "case when p_partkey % 3 = 0 then 0 else p_partkey % 50 + 2 end as true_period")
+    found = part.where("p_partkey % 4 <> 0").selectExpr("p_partkey as k", "cast(p_size as double) as period").unionByName(part.where("p_partkey % 5 = 0").selectExpr("p_partkey as k", "cast(p_partkey % 50 + 3 as double) as period"))
+    return periodic.period_evaluation(truth, found, ["k"], slack=1.0)
+
+
 def spike_train(period: int, length: int, noise: float = 0.0, seed: int = 0) -> np.ndarray:
     """A binned signal with one event a period, and others by chance."""
     x = np.zeros(length)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from flowlens.operators import machine
+from flowlens.operators import machine, monitor
 
 
 def sessions(events: DataFrame, keys: list[str], time: str, gap: str, late: str) -> DataFrame:
@@ -25,3 +25,15 @@ def counts_by_window(events: DataFrame, keys: list[str], time: str, width: str,
 def machine_updates(steps: DataFrame, by: str) -> DataFrame:
     """Counts, shares and alerts of each machine's steps (src, dst) as they arrive; state follows the steps seen."""
     return steps.groupBy(F.col(by).alias("machine")).applyInPandasWithState(machine.update_stream, machine.UPDATE, machine.STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+def watched_updates(steps: DataFrame, by: str, time: str, late: str) -> DataFrame:
+    """Share, z and alert of each machine's steps (``time``, src, dst) as they arrive, with upkeep every week and every fourth.
+
+    Upkeep follows event time: machines that have steps are kept before the next
+    one, others by a timer once the watermark, ``late`` behind the newest step,
+    has passed the week. Later steps don't count.
+    """
+    seconds = (F.unix_micros("at") / 1e6).alias("time")
+    rows = steps.select(F.col(by).alias("machine"), F.col(time).alias("at"), "src", "dst").withWatermark("at", late).select("machine", "at", seconds, "src", "dst")
+    return rows.groupBy("machine").applyInPandasWithState(monitor.watch_stream, monitor.WATCHED, monitor.MONITOR, "append", GroupStateTimeout.EventTimeTimeout)
