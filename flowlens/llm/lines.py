@@ -12,7 +12,7 @@ from .shared import computed_once, discard, materialize, with_row_keys
 #: Most edits between two linked lines, and the characters of the longer line for each: one edit from 5 characters on, two from 10.
 MOST_EDITS, CHARS_PER_EDIT = 2, 5
 #: Members of a group up to which they are compared with each other at once; larger groups are cut finer instead.
-DIRECT = 64
+DIRECT = 256
 BLANK = r"^[\x20\x09-\x0D]*$"
 #: Place of documents without an id in the order of documents: after all others.
 LAST = (1 << 63) - 1
