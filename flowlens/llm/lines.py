@@ -142,10 +142,14 @@ def _members(distinct: DataFrame, most_edits: int) -> DataFrame:
     own = 2 * (most_edits + 1)
     index = distinct.select("h1", F.posexplode(F.slice("keys", 1, own)).alias("pos", "g")).where("g is not null")
     probes = distinct.select("h1", F.posexplode(F.slice("keys", own + 1, len(_keys(most_edits)) - own)).alias("pos", "g")).where("g is not null").withColumn("pos", F.col("pos") + own)
-    seen = materialize(index.groupBy("g").agg(F.min("h1").alias("low"), F.max("h1").alias("high")), "index")
-    met = materialize(probes.join(seen.hint("merge"), "g").where("low <> h1 or high <> h1").select("g", "h1", "pos"), "probes")
-    keys = met.select("g").union(seen.where("low <> high").select("g")).distinct()
-    return materialize(met.unionByName(index.join(keys, "g", "left_semi").select("g", "h1", "pos")), "members")
+    # most keys have one line, so the second one is null where it is the first
+    seen = materialize(index.groupBy("g").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).select("g", "low", F.nullif("high", "low").alias("high")), "index")
+    met = materialize(probes.join(seen.hint("merge"), "g").where("low <> h1 or high is not null").select("g", "h1", "pos"), "probes")
+    keys = met.select("g").union(seen.where("high is not null").select("g")).distinct()
+    members = materialize(met.unionByName(index.join(keys, "g", "left_semi").select("g", "h1", "pos")), "members")
+    discard(seen)
+    discard(met)
+    return members
 
 
 def _texts(docs: DataFrame, distinct: DataFrame, members: DataFrame) -> DataFrame:
