@@ -18,8 +18,8 @@ LEAST_COUNT = 100
 TOP = 2000
 #: Rows of a sketch: independent hashes of each n-gram.
 DEPTH = 2
-#: Cells of one block of a sketch row; blocks travel and merge by themselves.
-BLOCK = 1 << 16
+#: Blocks of a sketch row, which travel and merge by themselves; a chunk of text makes as many rows at every size.
+BLOCKS = 64
 #: Least and most cells of a sketch row. Between them it has about one for eight bytes of text, and a bit for each goes to all tasks.
 CELLS = (1 << 20, 1 << 27)
 #: Bytes of text that a task looks at in one go.
@@ -179,7 +179,7 @@ def _sketch(rows: DataFrame, lengths: tuple[int, ...], size: int, least: int, sh
     cells, are merged block by block, and only the bits come to the driver:
     ``DEPTH * size / 8`` bytes.
     """
-    kind = np.min_scalar_type(least)
+    kind, block_cells = np.min_scalar_type(least), size // BLOCKS
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches):
@@ -190,12 +190,18 @@ def _sketch(rows: DataFrame, lengths: tuple[int, ...], size: int, least: int, sh
             for row in range(DEPTH):
                 cells, counts = np.unique(_cells(both, row, size), return_counts=True)
                 counts = np.minimum(counts, least).astype(kind)
-                blocks, at = np.unique(cells // BLOCK, return_index=True)
-                ends = np.append(at[1:], len(cells))
-                offsets = (cells % BLOCK).astype("<u2")
-                columns = [pa.array(np.full(len(blocks), row, np.int32)), pa.array(blocks.astype(np.int32))]
-                columns += [pa.array([x[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary()) for x in (offsets, counts)]
-                yield pa.RecordBatch.from_arrays(columns, names=["row", "block", "at", "n"])
+                blocks, at = np.unique(cells // block_cells, return_index=True)
+                parts = [packed(cells[a:b] % block_cells, counts[a:b]) for a, b in zip(at, np.append(at[1:], len(cells)), strict=True)]
+                columns = [pa.array(np.full(len(blocks), row, np.int32)), pa.array(blocks.astype(np.int32)), *[pa.array([p[i] for p in parts], pa.binary()) for i in (0, 1)]]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "block", "gaps", "n"])
+
+    def packed(offsets: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
+        """Gaps between the cells of a block in 16 bits, and their counts; a wider gap is several, whose cells between count 0."""
+        gaps = np.diff(offsets, prepend=0)
+        last = np.cumsum(gaps // 0xFFFF + 1) - 1
+        steps, ns = np.full(last[-1] + 1, 0xFFFF, "<u2"), np.zeros(last[-1] + 1, kind)
+        steps[last], ns[last] = gaps % 0xFFFF, counts
+        return steps.tobytes(), ns.tobytes()
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, total = None, None
@@ -204,20 +210,21 @@ def _sketch(rows: DataFrame, lengths: tuple[int, ...], size: int, least: int, sh
             return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([np.packbits(total >= least).tobytes()], pa.binary())], names=["row", "block", "bits"])
 
         for batch in batches:
-            for row, block, at, n in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for row, block, gaps, n in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if (row, block) != now:
                     if now:
                         yield out()
-                    now, total = (row, block), np.zeros(BLOCK, np.uint64)
-                total[np.frombuffer(at, "<u2")] += np.frombuffer(n, kind)
+                    now, total = (row, block), np.zeros(block_cells, np.uint64)
+                ns = np.frombuffer(n, kind)
+                total[np.cumsum(np.frombuffer(gaps, "<u2"), dtype=np.int64)[ns > 0]] += ns[ns > 0]
         if now:
             yield out()
 
-    parts = rows.mapInArrow(counted, "row int, block int, at binary, n binary")
+    parts = rows.mapInArrow(counted, "row int, block int, gaps binary, n binary")
     blocks = parts.repartition("row", "block").sortWithinPartitions("row", "block").mapInArrow(merged, "row int, block int, bits binary")
     bits = [np.zeros(size // 8, np.uint8) for _ in range(DEPTH)]
-    for row, block, octets in blocks.toLocalIterator():
-        bits[row][block * BLOCK // 8 : (block + 1) * BLOCK // 8] = np.frombuffer(octets, np.uint8)
+    for row, block, octets in blocks.collect():
+        bits[row][block * block_cells // 8 : (block + 1) * block_cells // 8] = np.frombuffer(octets, np.uint8)
     return Survivors(bits, size)
 
 

@@ -41,7 +41,7 @@ def made(n, seed=1):
     return [(text(), rng.choice(["en", "en", "en", "de", None, "und"])) for _ in range(n)] + [(None, "en"), ("", None), (" \t ", "fr"), ("A b" * 2000, "en")]
 
 
-@pytest.mark.parametrize("cells", [phrases.CELLS, (1 << 16, 1 << 16)])
+@pytest.mark.parametrize("cells", [phrases.CELLS, (1 << 16, 1 << 16), (1 << 24, 1 << 24)])
 def test_equals_brute_force(spark, cells):
     docs = made(300)
     frame = spark.createDataFrame([(None if i % 7 == 0 else i, t, g, "p", 1) for i, (t, g) in enumerate(docs)], SCHEMA).repartition(5)
