@@ -20,7 +20,7 @@ WIDTHS = (2, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 512, 1024)
 #: Cells of one matrix, which bounds a task's memory.
 CELLS = 1 << 21
 #: Pieces that a task holds before it encodes them together, and ids in one batch that it returns.
-HELD_PIECES = 1 << 20
+HELD_PIECES = 1 << 18
 #: No pair: larger than every rank.
 NONE = np.iinfo(np.int32).max
 
@@ -214,17 +214,22 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
     """doc_id, ids and decoded (binary): the bytes of the ids; null where ids are null or hold a null or an id that is no token."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = vocabulary(path).tokens
+        tokens = vocabulary(path).tokens
+        token = [tokens.get(i) for i in range(max(tokens) + 1)]
 
-        def octets(ids: list[int] | None) -> bytes | None:
-            try:
-                return None if ids is None else b"".join(map(token.__getitem__, ids))
-            except KeyError:
+        def octets(ids: pa.Array) -> bytes | None:
+            if ids.null_count:
                 return None
+            ids = ids.to_numpy()
+            if len(ids) and (ids.min() < 0 or ids.max() >= len(token)):
+                return None
+            found = [token[i] for i in ids.tolist()]
+            return None if None in found else b"".join(found)
 
         for batch in batches:
-            decoded = pa.array([octets(ids.as_py()) for ids in batch.column(1)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), decoded], names=["doc_id", "ids", "decoded"])
+            ids = batch.column(1)
+            decoded = pa.array([None if x.values is None else octets(x.values) for x in ids], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, decoded], names=["doc_id", "ids", "decoded"])
 
     return rows.select("doc_id", "ids").mapInArrow(each, "doc_id long, ids array<int>, decoded binary")
 
