@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from flowlens.functions import net
 
+from . import scans
+
 #: Sends the median's absolute deviation to a standard deviation.
 MAD_SCALE = 0.6744897501960817
 
@@ -22,10 +24,13 @@ def oriented(packets: DataFrame, is_outbound: Column) -> DataFrame:
 FLOW = ["device", "trans_proto", "local_ip", "local_port", "remote_ip", "remote_port"]
 
 
-def with_deltas(packets: DataFrame, keys: list[str], ts: str = "ts", tie: str = "frame_num") -> DataFrame:
-    """Adds ts_delta, the time since the flow's last packet to six places; a first packet has 0."""
-    w = Window.partitionBy(*keys).orderBy(ts, tie)
-    return packets.withColumn("ts_delta", F.round(F.coalesce(F.col(ts) - F.lag(ts).over(w), F.lit(0.0)), 6))
+def with_deltas(packets: DataFrame, keys: list[str], ts: str = "ts", tie: str = "frame_num", cuts: DataFrame | None = None) -> DataFrame:
+    """Adds ts_delta, the time since the flow's last packet to six places; a first packet has 0.
+
+    ``cuts``, from ``scans.hot_cuts`` for the same keys, spreads each large flow over many tasks.
+    """
+    rows = scans.previous_time(scans.sliced(packets, keys, ts, cuts), keys, ts, tie, cuts)
+    return rows.withColumn("ts_delta", F.round(F.coalesce(F.col(ts) - F.col("_before"), F.lit(0.0)), 6)).drop("_before", "_slice")
 
 
 def without_retransmissions(packets: DataFrame, expert: str = "expert") -> DataFrame:
@@ -40,18 +45,30 @@ def decodable(packets: DataFrame, idle: bool = False) -> DataFrame:
     return packets.where(net.is_ipv4(F.col("ip_src")) & net.is_ipv4(F.col("ip_dst")) & ~F.coalesce(F.col("protocol").isin(*out), F.lit(False)))
 
 
-def split_bursts(packets: DataFrame, keys: list[str], gap: float, ts: str = "ts", tie: str = "frame_num") -> DataFrame:
+def split_bursts(packets: DataFrame, keys: list[str], gap: float, ts: str = "ts", tie: str = "frame_num", cuts: DataFrame | None = None) -> DataFrame:
     """Adds burst, counted from 0 in each flow, and burst_start; a burst's first delta becomes 0.
 
     A burst ends where ts_delta exceeds ``gap``. Deltas may have been taken
     before packets were dropped, so a dropped packet doesn't widen a gap.
+    ``cuts``, from ``scans.hot_cuts`` for the same keys, spreads each large flow
+    over many tasks; a slice then takes over how many bursts opened before it
+    and when the last of them did.
     """
-    w = Window.partitionBy(*keys).orderBy(ts, tie)
-    first = F.row_number().over(w) == 1
-    opens = F.when(first | (F.col("ts_delta") > gap), 1).otherwise(0)
-    rows = packets.withColumn("_opens", opens).withColumn("burst", (F.sum("_opens").over(w) - 1).cast("long"))
-    rows = rows.withColumn("ts_delta", F.when(F.col("_opens") == 1, 0.0).otherwise(F.col("ts_delta"))).drop("_opens")
-    return rows.withColumn("burst_start", F.min(ts).over(Window.partitionBy(*keys, "burst")))
+    wide = F.coalesce(F.col("ts_delta") > gap, F.lit(False))
+    states = [F.count_if(wide).alias("_n"), F.max(F.when(wide, F.col(ts))).alias("_t"), F.min(ts).alias("_f"), F.min_by(wide, F.struct(ts, tie)).alias("_w")]
+
+    def carry(table: DataFrame, w: WindowSpec) -> DataFrame:
+        table = table.withColumn("_own", (F.row_number().over(w) == 1) & ~F.col("_w"))  # a flow's first packet opens a burst in any case
+        opened, last = F.col("_n") + F.col("_own").cast("long"), F.coalesce("_t", F.when(F.col("_own"), F.col("_f")))
+        return table.withColumns({"_opened": F.sum(opened).over(scans.before(w)), "_open": F.last(last, ignorenulls=True).over(scans.before(w))})
+
+    rows = scans.carried(scans.sliced(packets, keys, ts, cuts), keys, cuts, states, carry, {"_opened": "long", "_open": packets.schema[ts].dataType.simpleString()})
+    w = Window.partitionBy(*keys, "_slice").orderBy(ts, tie)
+    rows = rows.withColumn("_opens", wide | ((F.row_number().over(w) == 1) & F.col("_opened").isNull()))
+    start = F.coalesce(F.last(F.when(F.col("_opens"), F.col(ts)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col("_open"))
+    burst = F.sum(F.col("_opens").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce("_opened", F.lit(0)) - 1
+    rows = rows.withColumns({"burst": burst.cast("long"), "burst_start": start, "ts_delta": F.when(F.col("_opens"), 0.0).otherwise(F.col("ts_delta"))})
+    return rows.drop("_opens", "_opened", "_open", "_slice")
 
 
 def at_least(rows: DataFrame, keys: list[str], n: int) -> DataFrame:

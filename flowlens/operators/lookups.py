@@ -4,27 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from flowlens.functions import net
 
+from . import scans
 
-def as_of(rows: DataFrame, history: DataFrame, keys: list[str], ts: str, value: str) -> DataFrame:
+
+def as_of(rows: DataFrame, history: DataFrame, keys: list[str], ts: str, value: str, cuts: DataFrame | None = None) -> DataFrame:
     """Adds ``value`` and ``outcome``: the history's last value at or before the row's time, else the key's first one.
 
     ``outcome`` is prior, after or blank (key not in the history). Rows and
     history are united and carried forward in one window, so neither side is
     collected nor multiplied, however long a key's history is. Of values at one
-    time the largest counts.
+    time the largest counts. ``cuts``, from ``scans.hot_cuts`` of the rows for
+    the same keys, spreads each large key over many tasks; a slice then takes
+    over the last value before it and the key's first one.
     """
-    order = Window.partitionBy(*keys).orderBy(ts, "_row")
-    mine = rows.withColumn("_row", F.lit(1)).withColumn("_value", F.lit(None).cast(history.schema[value].dataType))
+    kind = history.schema[value].dataType.simpleString()
+    mine = rows.withColumn("_row", F.lit(1)).withColumn("_value", F.lit(None).cast(kind))
     past = history.groupBy(*keys, ts).agg(F.max(value).alias("_value")).withColumn("_row", F.lit(0))
-    both = mine.unionByName(past, allowMissingColumns=True)
-    prior = F.last("_value", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    first = F.first("_value", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    both = scans.sliced(mine.unionByName(past, allowMissingColumns=True), keys, ts, cuts)
+    known = F.when(F.col("_value").isNotNull(), F.col(ts))
+    states = [F.max_by("_value", known).alias("_last"), F.min_by("_value", known).alias("_first")]
+
+    def carry(table: DataFrame, w: WindowSpec) -> DataFrame:
+        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        return table.withColumns({"_prior": F.last("_last", ignorenulls=True).over(scans.before(w)), "_any": F.first("_first", ignorenulls=True).over(whole)})
+
+    both = scans.carried(both, keys, cuts, states, carry, {"_prior": kind, "_any": kind})
+    order = Window.partitionBy(*keys, "_slice").orderBy(ts, "_row")
+    prior = F.coalesce(F.last("_value", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.col("_prior"))
+    first = F.coalesce(F.col("_any"), F.first("_value", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     out = both.withColumn(value, F.coalesce(prior, first)).withColumn("outcome", F.when(prior.isNotNull(), "prior").when(first.isNotNull(), "after").otherwise("blank"))
-    return out.where("_row = 1").drop("_row", "_value")
+    return out.where("_row = 1").drop("_row", "_value", "_prior", "_any", "_slice")
 
 
 def host_patterns(host: Column) -> Column:

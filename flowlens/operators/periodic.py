@@ -15,21 +15,28 @@ def is_on_time(gap: Column, period: Column, slack: float = 1.0, share: float = 0
     return (F.abs(gap - period) <= slack) | (F.abs(gap - period) <= share * period)
 
 
-def timing_labels(rows: DataFrame, keys: list[str], ts: str, tie: str, period: str) -> DataFrame:
+def timing_labels(rows: DataFrame, keys: list[str], ts: str, tie: str, period: str, cuts: DataFrame | None = None) -> DataFrame:
     """Adds gap and label: 1 for rows that come a period after the last, else -1.
 
     A row that comes too early by the drift of the last one on time takes its
-    predecessor's label away too; a key's first row has -1.
+    predecessor's label away too; a key's first row has -1. ``cuts``, from
+    ``scans.hot_cuts`` for the same keys, spreads each large key over many
+    tasks; a slice then takes over the last time and drift, and gives back
+    whether its first row came early.
     """
-    w = Window.partitionBy(*keys).orderBy(ts, tie)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    gap = F.col(ts) - F.lag(ts).over(w)
-    rows = rows.withColumn("gap", gap).withColumn("_on", F.coalesce(is_on_time(F.col("gap"), F.col(period)), F.lit(False)))
+    from . import scans
+
+    rows = scans.previous_time(scans.sliced(rows, keys, ts, cuts), keys, ts, tie, cuts).withColumn("gap", F.col(ts) - F.col("_before"))
+    rows = rows.withColumn("_on", F.coalesce(is_on_time(F.col("gap"), F.col(period)), F.lit(False)))
     rows = rows.withColumn("_drift", F.when(F.col("_on"), F.col("gap") - F.col(period)))
-    last = F.coalesce(F.last("_drift", ignorenulls=True).over(before), F.lit(0.0))
-    rows = rows.withColumn("_early", F.col("gap").isNotNull() & ~F.col("_on") & (F.col("gap") <= 1 - last))
-    label = F.when(F.col("_on") & ~F.coalesce(F.lead("_early").over(w), F.lit(False)), 1).otherwise(-1)
-    return rows.withColumn("label", label).drop("_on", "_drift", "_early")
+    at = F.when(F.col("_on"), F.struct(ts, tie))
+    rows = scans.carried(rows, keys, cuts, [F.max_by("_drift", at).alias("_d")], lambda table, w: table.withColumn("_carry", F.last("_d", ignorenulls=True).over(scans.before(w))), {"_carry": "double"})
+    w = Window.partitionBy(*keys, "_slice").orderBy(ts, tie)
+    last = F.coalesce(F.last("_drift", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("_carry"), F.lit(0.0))
+    rows = rows.withColumn("_early", F.col("gap").isNotNull() & ~F.col("_on") & (F.col("gap") <= 1 - last)).drop("_carry", "_before")
+    rows = scans.carried(rows, keys, cuts, [F.min_by("_early", F.struct(ts, tie)).alias("_e")], lambda table, w: table.withColumn("_next", F.lead("_e").over(w)), {"_next": "boolean"})
+    label = F.when(F.col("_on") & ~F.coalesce(F.lead("_early").over(w), F.col("_next"), F.lit(False)), 1).otherwise(-1)
+    return rows.withColumn("label", label).drop("_on", "_drift", "_early", "_next", "_slice")
 
 
 def matches_any_period(gap: Column, periods: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.functions import net
-from flowlens.operators import flows, lookups
+from flowlens.operators import flows, lookups, scans
 
 from .inputs import FINGERPRINTS_SQL, OUTBOUND_SQL, PACKETS_SQL, ROUTERS, fingerprints, outbound, packets, read
 from .registry import registry
@@ -35,8 +35,9 @@ _KEYS = ", ".join(KEYS)
 
 
 def _bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = flows.with_deltas(flows.oriented(packets(spark, sf_dir), outbound()), flows.FLOW)
-    return flows.split_bursts(flows.without_retransmissions(rows), flows.FLOW, GAP)
+    rows = flows.oriented(packets(spark, sf_dir), outbound())
+    cuts = scans.hot_cuts(rows, flows.FLOW, "ts")
+    return flows.split_bursts(flows.without_retransmissions(flows.with_deltas(rows, flows.FLOW, cuts=cuts)), flows.FLOW, GAP, cuts=cuts)
 
 
 @query(f"""with {PACKETS_SQL} select frame_num, ip_src, ip_dst, {_PRIVATE.format('ip_src')} as src_private, {_MULTI.format('ip_dst')} as dst_multicast,
@@ -73,6 +74,18 @@ def bursts_of_two(spark, sf_dir):
     return flows.at_least(_bursts(spark, sf_dir), KEYS, 2).groupBy(*KEYS).agg(F.count("*").alias("n_packets"))
 
 
+_HOT = _ORIENTED.replace("device, trans_proto, local_ip, local_port, remote_ip, remote_port", "trans_proto")
+
+
+@query(_HOT + "select frame_num, burst, round(burst_start, 6) as burst_start, ts_delta from b")
+def sliced_bursts(spark, sf_dir):
+    """Bursts of all TCP and all UDP packets: two keys, each cut in slices of about two thousand packets."""
+    rows, keys = flows.oriented(packets(spark, sf_dir), outbound()), ["trans_proto"]
+    cuts = scans.hot_cuts(rows, keys, "ts", 2000)
+    rows = flows.without_retransmissions(flows.with_deltas(rows, keys, cuts=cuts))
+    return flows.split_bursts(rows, keys, GAP, cuts=cuts).select("frame_num", "burst", F.round("burst_start", 6).alias("burst_start"), "ts_delta")
+
+
 _MOMENTS = """case when var_pop({x}) > 0 then avg(power({x} - {x}_m, 3)) / power(var_pop({x}), 1.5) else 0 end as skew{n},
   case when var_pop({x}) > 0 then avg(power({x} - {x}_m, 4)) / power(var_pop({x}), 2) - 3 else -3 end as kurtosis{n}"""
 
@@ -156,7 +169,15 @@ select frame_num, coalesce(prior, first_name) as name, case when prior is not nu
 def host_resolution(spark, sf_dir):
     rows = packets(spark, sf_dir).selectExpr("frame_num", "us", "concat('10.1.0.', user_id % 43) as remote")
     history = packets(spark, sf_dir).where("frame_num % 10 = 4").selectExpr("case when frame_num % 2 = 0 then concat('10.1.0.', user_id % 40) else 'x' end as remote", "us", "concat('h', frame_num) as name")
-    return lookups.as_of(rows, history, ["remote"], "us", "name").select("frame_num", "name", "outcome")
+    return lookups.as_of(rows, history, ["remote"], "us", "name", scans.hot_cuts(rows, ["remote"], "us")).select("frame_num", "name", "outcome")
+
+
+@query(ORACLE_SQL["host_resolution"].replace("when event_id % 2 = 0 then concat('10.1.0.', cast(user_id % 40 as varchar)) else 'x' end", "when event_id % 2 = 0 then 'y' else 'x' end").replace("concat('10.1.0.', cast(user_id % 43 as varchar))", "case when frame_num % 3 > 0 then 'x' when frame_num < 5 then 'z' else 'y' end"))
+def sliced_resolution(spark, sf_dir):
+    """Names of two addresses that have nearly all packets, each cut in slices of about two thousand."""
+    rows = packets(spark, sf_dir).selectExpr("frame_num", "us", "case when frame_num % 3 > 0 then 'x' when frame_num < 5 then 'z' else 'y' end as remote")
+    history = packets(spark, sf_dir).where("frame_num % 10 = 4").selectExpr("case when frame_num % 2 = 0 then 'y' else 'x' end as remote", "us", "concat('h', frame_num) as name")
+    return lookups.as_of(rows, history, ["remote"], "us", "name", scans.hot_cuts(rows, ["remote"], "us", 2000)).select("frame_num", "name", "outcome")
 
 
 @query(ORACLE_SQL["host_resolution"].replace("select frame_num, coalesce(prior, first_name) as name, case", "select outcome, count(*) as n from (select case").replace("on f.remote = a.remote", "on f.remote = a.remote) group by outcome"))
