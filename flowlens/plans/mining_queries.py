@@ -37,14 +37,15 @@ def mined_invariants(spark, sf_dir):
     return mining.mined_invariants(_ended(spark, sf_dir), _KEYS, "pos", "event_type")
 
 
-@query(_TRACES + _MINED.format(on=f"started < {CUT - 864000}") + f""", k as (select x.device, x.trace, kind, a, b, case kind when 'AlwaysFollowedBy' then coalesce(y.z > x.z, false) when 'AlwaysPrecedes' then coalesce(y.f < x.f, false) else not coalesce(y.z > x.f, false) end as kept
-  from l x join i on x.label = case when kind = 'AlwaysPrecedes' then b else a end left join l y on y.device = x.device and y.trace = x.trace and y.started = x.started and y.label = case when kind = 'AlwaysPrecedes' then a else b end where x.started >= {CUT - 864000})
+@query(_TRACES + _ENDED + _OVER_ENDED + _MINED.removeprefix(_PLACES).format(on=f"started < {CUT}") + f""", r as (select device, trace, event_type as label, min(pos) as f, max(pos) as z from t where started >= {CUT} group by all),
+k as (select x.device, x.trace, kind, a, b, case kind when 'AlwaysFollowedBy' then coalesce(y.z > x.z, false) when 'AlwaysPrecedes' then coalesce(y.f < x.f, false) else not coalesce(y.z > x.f, false) end as kept
+  from r x join i on x.label = case when kind = 'AlwaysPrecedes' then b else a end left join r y on y.device = x.device and y.trace = x.trace and y.label = case when kind = 'AlwaysPrecedes' then a else b end)
 select device, trace, kind, a, b from k where not kept""")
 def broken_invariants(spark, sf_dir):
-    """Later traces against the invariants of earlier ones."""
-    rows = _traces(spark, sf_dir)
-    held = mining.mined_invariants(rows.where(F.col("started") < CUT - 864000), _KEYS, "pos", "event_type")
-    return mining.broken_invariants(rows.where(F.col("started") >= CUT - 864000), _KEYS, "pos", "event_type", held).select("device", "trace", "kind", "a", "b")
+    """Later traces, without their opening and closing events, against the invariants of earlier ones that have them."""
+    held = mining.mined_invariants(_ended(spark, sf_dir).where(F.col("started") < CUT), _KEYS, "pos", "event_type")
+    later = _traces(spark, sf_dir).where(F.col("started") >= CUT)
+    return mining.broken_invariants(later, ["device", "trace"], "pos", "event_type", held)
 
 
 @query(_TRACES + """, u as (select device, trace, started, pos, event_type as label from t union all select device, trace, started, max(pos) + 1, 'TERMINAL' from t group by all),
