@@ -22,6 +22,8 @@ DEPTH = 2
 BLOCKS = 64
 #: Least and most cells of a sketch row. Between them it has about one for eight bytes of text, and a bit for each goes to all tasks.
 CELLS = (1 << 20, 1 << 27)
+#: Phrases that a task counts before it hands them on.
+HELD = 1 << 19
 #: Bytes of text that a task looks at in one go.
 CHUNK = 1 << 21
 
@@ -234,7 +236,7 @@ def frequent_ngrams(docs: DataFrame, longest: int = LONGEST, least: int = LEAST_
     Two sketches are made, of one and two words, then of longer phrases all of
     whose pairs the first one keeps; both only overestimate, so nothing frequent
     is lost. The exact pass counts what both keep, first in each chunk of text,
-    where 128 bits of hash tell phrases apart, then by phrase in Spark. Null
+    where 128 bits of hash tell phrases apart, then by phrase in a task and in Spark. Null
     texts are empty, null languages are ``und``. A sketch too small for its
     corpus lets more phrases through and changes no result; ``cells`` sets the
     least and most cells of a row. A piece longer than ``CHUNK`` bytes is read whole.
@@ -247,16 +249,28 @@ def frequent_ngrams(docs: DataFrame, longest: int = LONGEST, least: int = LEAST_
     long = context.broadcast(_sketch(rows, tuple(range(3, longest + 1)), size, least, short)) if longest > 2 else None
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int, str], int] = {}
+
+        def out() -> pa.RecordBatch:
+            langs, lengths, phrases = zip(*held, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(langs), pa.array(lengths, pa.int32()), pa.array(phrases), pa.array(held.values(), pa.int64())], names=["lang", "n_words", "phrase", "f"])
+
+        def add(key: tuple[str, int, str], n: int) -> None:
+            held[key] = held.get(key, 0) + n
+
         for chunk in _chunks(batches):
-            lengths, phrases, counts = [0], [""], [len(chunk.starts)]
+            add((chunk.lang, 0, ""), len(chunk.starts))
             for n, places, (one, two) in _levels(chunk, tuple(range(1, longest + 1)), short.value, long and long.value):
                 _, first, back, found = np.unique(one, return_index=True, return_inverse=True, return_counts=True)
                 if (two != two[first[back]]).any():  # equal in 64 bits only
                     _, first, found = np.unique(np.stack([one, two], 1), axis=0, return_index=True, return_counts=True)
-                lengths += [n] * len(first)
-                phrases += [chunk.phrase(p, n) for p in places[first].tolist()]
-                counts += found.tolist()
-            yield pa.RecordBatch.from_arrays([pa.array([chunk.lang] * len(counts)), pa.array(lengths, pa.int32()), pa.array(phrases), pa.array(counts, pa.int64())], names=["lang", "n_words", "phrase", "f"])
+                for p, f in zip(places[first].tolist(), found.tolist(), strict=True):
+                    add((chunk.lang, n, chunk.phrase(p, n)), f)
+            if len(held) >= HELD:
+                yield out()
+                held.clear()
+        if held:
+            yield out()
 
     made = rows.mapInArrow(counted, "lang string, n_words int, phrase string, f long")
     exact = materialize(made.groupBy("lang", "n_words", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("n_words") == 0)), "phrases")
