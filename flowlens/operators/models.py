@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -25,11 +28,23 @@ def scale(rows: DataFrame, scaler: DataFrame, keys: list[str], features: list[st
     return out.select(*[c for c in rows.columns if c not in features], *[((F.col(c) - F.col(f"mean_{c}")) / F.when(F.col(f"std_{c}") > 0, F.col(f"std_{c}")).otherwise(1.0)).alias(c) for c in features])
 
 
+def _near(points: np.ndarray, others: np.ndarray, eps: float, block: int = 1 << 22) -> Iterator[tuple[slice, np.ndarray]]:
+    """For blocks of ``points`` which of the others are within ``eps``, so memory doesn't follow the product of their numbers."""
+    step = max(1, block // max(1, others.size))
+    for at in range(0, len(points), step):
+        part = points[at : at + step]
+        yield slice(at, at + len(part)), np.sqrt(((part[:, None] - others[None]) ** 2).sum(2)) <= eps
+
+
 def density_clusters(points: np.ndarray, eps: float, least: int) -> np.ndarray:
     """DBSCAN labels from 0 in order of the first core point, -1 for noise; border points join the first cluster that reaches them."""
+    return _labels_and_cores(points, eps, least)[0]
+
+
+def _labels_and_cores(points: np.ndarray, eps: float, least: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(points)
-    near = [np.flatnonzero(np.sqrt(((points - p) ** 2).sum(axis=1)) <= eps) for p in points]
-    core = np.array([len(x) >= least for x in near])
+    near = [row for _, hits in _near(points, points, eps) for row in map(np.flatnonzero, hits)]
+    core = np.array([len(x) >= least for x in near], bool)
     labels, current = np.full(n, -1), 0
     for i in range(n):
         if labels[i] >= 0 or not core[i]:
@@ -38,12 +53,11 @@ def density_clusters(points: np.ndarray, eps: float, least: int) -> np.ndarray:
         while todo:
             j = todo.pop()
             if core[j]:
-                for k in near[j]:
-                    if labels[k] < 0:
-                        labels[k] = current
-                        todo.append(int(k))
+                fresh = near[j][labels[near[j]] < 0]
+                labels[fresh] = current
+                todo.extend(fresh.tolist())
         current += 1
-    return labels
+    return labels, core
 
 
 def fit_clusters(rows: DataFrame, keys: list[str], features: list[str], order: str, eps: float = 5.0, least: int = 5, most: int = 5000) -> DataFrame:
@@ -53,32 +67,62 @@ def fit_clusters(rows: DataFrame, keys: list[str], features: list[str], order: s
 
     def each(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         points = group.sort_values("_at")[features].to_numpy(dtype=float)
-        labels = density_clusters(points, eps, least)
-        near = np.array([(np.sqrt(((points - p) ** 2).sum(axis=1)) <= eps).sum() for p in points])
-        core = np.flatnonzero(near >= least)
+        labels, is_core = _labels_and_cores(points, eps, least)
+        core = np.flatnonzero(is_core)
         return pd.DataFrame({**{k: [v] * len(core) for k, v in zip(keys, key, strict=True)}, "core": core.astype(np.int32), "cluster": labels[core].astype(np.int32), "point": [points[i].tolist() for i in core]})
 
     return first.select(*keys, "_at", *features).groupBy(*keys).applyInPandas(each, schema)
 
 
-def assign_clusters(rows: DataFrame, cores: DataFrame, keys: list[str], features: list[str], eps: float = 5.0) -> DataFrame:
-    """Adds cluster: that of the first core point nearer than ``eps``, else -1. A key has a bounded number of cores.
+def assign_clusters(rows: DataFrame, cores: DataFrame, keys: list[str], features: list[str], eps: float = 5.0, salts: int = 16) -> DataFrame:
+    """Adds cluster: that of the first core point nearer than ``eps``, else -1; rows with a null key or feature have -1.
 
     Cores are listed for the cells, ``eps`` wide in the first two features, in
-    and around which they lie, so a row meets those of its own cell only.
+    and around which they lie, and a row goes to its own cell. A cell's cores
+    and then its rows stream through a task in batches, which holds the cores of
+    one cell; rows of a cell are dealt to ``salts`` tasks, each with its cores.
     """
     axes = range(min(2, len(features)))
-    cell = lambda x: F.floor(x / eps).cast("long")
-    near = cores.select(*keys, "core", "cluster", "point", *[cell(F.col("point")[i]).alias(f"_c{i}") for i in axes])
+    place = lambda at: F.to_json(F.struct(*keys, *[F.floor(x / eps).cast("long").alias(f"c{i}") for i, x in enumerate(at)]))
+    near = cores.select(*keys, F.col("core").cast("long").alias("_core"), F.col("cluster").cast("long").alias("_cluster"), F.col("point").alias("_at"), *[F.col("point")[i].alias(f"_x{i}") for i in axes])
     for i in axes:
-        near = near.withColumn(f"_c{i}", F.explode(F.array(*[F.col(f"_c{i}") + d for d in (-1, 0, 1)])))
-    cells = [f"_c{i}" for i in axes]
-    gathered = near.groupBy(*keys, *cells).agg(F.sort_array(F.collect_list(F.struct("core", "cluster", "point"))).alias("_cores"))
+        near = near.withColumn(f"_x{i}", F.explode(F.array(*[F.col(f"_x{i}") + d * eps for d in (-1, 0, 1)])))
+    near = near.select(place([F.col(f"_x{i}") for i in axes]).alias("_cell"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"), F.lit(0).alias("_row"), "_core", "_cluster", "_at", F.lit(None).cast(rows.schema).alias("_kept"))
     here = F.array(*[F.col(c).cast("double") for c in features])
-    distance = lambda p: F.sqrt(F.aggregate(F.zip_with(p, here, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    hits = F.filter("_cores", lambda c: distance(c["point"]) < eps)
-    placed = rows.withColumns({c: cell(F.col(features[i]).cast("double")) for i, c in enumerate(cells)})
-    return placed.join(gathered, [*keys, *cells], "left").select(*rows.columns, F.coalesce(F.get(hits, 0)["cluster"], F.lit(-1)).alias("cluster"))
+    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")
+    mine = rows.select(place([F.col(features[i]).cast("double") for i in axes]).alias("_cell"), salt.alias("_salt"), F.lit(1).alias("_row"), F.lit(0).cast("long").alias("_core"), F.lit(-1).cast("long").alias("_cluster"), here.alias("_at"), F.struct(*rows.columns).alias("_kept"))
+    dealt = near.unionByName(mine).repartition("_cell", "_salt").sortWithinPartitions("_cell", "_salt", "_row", "_core")
+    width = len(features)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, points, clusters = None, [], []
+        for batch in batches:
+            cell, salted, kind = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            label, at = batch.column(4).to_numpy(), batch.column(5).to_pylist()
+            edges = np.flatnonzero((cell[1:] != cell[:-1]) | (salted[1:] != salted[:-1]) | (kind[1:] != kind[:-1])) + 1
+            found = np.full(batch.num_rows, -1, np.int64)
+            for a, b in zip([0, *edges], [*edges, batch.num_rows], strict=True):
+                if a == b:
+                    continue
+                if (cell[a], salted[a]) != held:
+                    held, points, clusters = (cell[a], salted[a]), [], []
+                if kind[a] == 0:
+                    points += at[a:b]
+                    clusters += label[a:b].tolist()
+                elif points:
+                    whole = [i for i in range(a, b) if None not in at[i]]
+                    asked, others = np.array([at[i] for i in whole], float).reshape(-1, width), np.array(points, float)
+                    step = max(1, (1 << 22) // others.size)
+                    for k in range(0, len(whole), step):
+                        hits = np.sqrt(((asked[k : k + step, None] - others[None]) ** 2).sum(2)) < eps
+                        some = hits.any(1)
+                        found[np.array(whole[k : k + step])[some]] = np.array(clusters)[hits.argmax(1)[some]]
+            mine = np.flatnonzero(kind == 1)
+            if len(mine):
+                yield pa.RecordBatch.from_arrays([batch.column(6).take(pa.array(mine)), pa.array(found[mine], pa.int32())], names=["_kept", "cluster"])
+
+    kept = rows.schema.simpleString()
+    return dealt.mapInArrow(each, f"_kept {kept}, cluster int").select("_kept.*", "cluster")
 
 
 def undersample(negatives: DataFrame, n_positive: int, seed: int, floor: int = 30) -> DataFrame:

@@ -141,25 +141,12 @@ def without_periodic(rows: DataFrame, fingerprints: DataFrame, key: list[str], t
 
     ``fingerprints`` has the key, host_pattern, seq and period; those of longer
     periods than ``most_period`` and of DNS and NTP don't act. A row that one
-    fingerprint takes is gone for those that follow. Only fingerprints of one
-    key that have a wildcard among them can meet the same rows, so there are as
-    many passes as such a key has fingerprints, and one for all other keys.
-    Rows need the key, protocol and host.
+    fingerprint takes is gone for those that follow. Rows need the key, protocol
+    and host, and a ``tie``, a long that tells the rows of a key apart.
     """
-    from .lookups import host_patterns
-
-    acting = fingerprints.where((F.col("period") <= most_period) & ~F.col("protocol").isin("DNS", "NTP"))
-    w = Window.partitionBy(*key)
-    place = F.row_number().over(w.orderBy("seq", "host_pattern", "period"))
-    overlaps = F.max(F.startswith("host_pattern", F.lit("*")).cast("int")).over(w) == 1
-    same = F.row_number().over(Window.partitionBy(*key, "host_pattern").orderBy("seq", "period"))
-    acting = acting.select(*key, "host_pattern", "period", F.when(overlaps, place).otherwise(same).alias("_pass"))
-    for k in range(1, (acting.agg(F.max("_pass")).first()[0] or 0) + 1):
-        mine = acting.where(F.col("_pass") == k).drop("_pass").withColumnRenamed("period", "_period")
-        met = rows.withColumn("host_pattern", F.explode(host_patterns(F.col("host")))).join(mine, [*key, "host_pattern"])
-        timed = timing_labels(met, [*key, "host_pattern"], ts, tie, "_period")
-        rows = checkpointed(rows.join(timed.where("label = 1").select(*key, tie).distinct(), [*key, tie], "left_anti"))
-    return rows
+    from .folds import taken_by_timing
+
+    return rows.join(taken_by_timing(rows, fingerprints, key, ts, tie, most_period).select(*key, tie).distinct(), [*key, tie], "left_anti")
 
 
 def checkpointed(rows: DataFrame) -> DataFrame:
