@@ -48,4 +48,4 @@ def _oriented(edges: DataFrame) -> DataFrame:
 
 def _state(edges: DataFrame) -> tuple:
     """Equal for equal sets of links: their number and two sums of hashes."""
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum((F.col("u") - F.col("v")).cast("decimal(38,0)"))).first())
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.col("u").cast("decimal(38,0)") - F.col("v").cast("decimal(38,0)"))).first())

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import computed_once, discard, materialize, with_row_keys
+from .shared import computed_once, discard, materialize, packed, unpacked, with_row_keys
 
 #: Most edits between two linked lines, and the characters of the longer line for each: one edit from 5 characters on, two from 10.
 MOST_EDITS, CHARS_PER_EDIT = 2, 5
@@ -73,10 +73,13 @@ def without_repeated_lines(docs: DataFrame, most_edits: int = MOST_EDITS) -> Dat
     Every row is a document of its own, in order of doc_id, nulls last: of rows
     that repeat an id and a text one stays, as the lines of the others repeat.
     """
-    keyed = with_row_keys(docs, "_row")
-    done = dedup_lines(keyed.withColumn("doc_id", F.col("_row")), most_edits).where("n_removed < n_lines or n_lines = 0").select(F.col("doc_id").alias("_row"), "kept_text")
-    columns = [F.col("kept_text").alias(c) if c == "text" else F.length("kept_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return keyed.drop("text", "n_chars").join(done, "_row").select(*columns)
+    own = ("doc_id", "text", "n_chars")
+    keyed = with_row_keys(packed(docs, own), "_row")
+    done = dedup_lines(keyed.select(F.col("_row").alias("doc_id"), "text"), most_edits).where("n_removed < n_lines or n_lines = 0").select(F.col("doc_id").alias("_row"), F.col("kept_text").alias("text"))
+    kept = keyed.drop("text", "n_chars").join(done, "_row")
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return unpacked(kept, docs, own)
 
 
 def _marked(text: str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import materialize, with_row_keys
+from .shared import materialize, packed, unpacked, with_row_keys
 from .words import WORD_PATTERN
 
 WEIGHTS = (3, 1, 2)
@@ -149,6 +149,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     Every row is a document of its own, also if its id is null or repeats. Rows
     whose documents have no words stay once, as they take nothing from any budget.
     """
-    keyed = with_row_keys(docs, "_row")
+    own = ("doc_id", "text", "source")
+    keyed = with_row_keys(packed(docs, own), "_row")
     copies = _mix(keyed, ["_row"], **options).select("_row", F.when(F.col("size") > 0, F.expr("cast(taken div size as int)")).otherwise(1).alias("_copies"))
-    return keyed.join(copies, "_row").where("_copies > 0").withColumn("_copies", F.explode(F.sequence(F.lit(1), "_copies"))).drop("_copies", "_row")
+    return unpacked(keyed.join(copies, "_row").where("_copies > 0").withColumn("_copies", F.explode(F.sequence(F.lit(1), "_copies"))), docs, own)

@@ -187,8 +187,8 @@ def place_pieces(pieces: DataFrame, sequence_tokens: int = SEQUENCE_TOKENS, open
 
 def sequences(docs: DataFrame, tokenizer: str | None = None, sequence_tokens: int = SEQUENCE_TOKENS, open_bins: int = OPEN_BINS, seed: int = 7) -> DataFrame:
     """The packed sequences themselves: sequence_id, n_tokens and ids (little-endian unsigned 32-bit numbers)."""
-    pieces = materialize(token_pieces(docs, tokenizer, sequence_tokens, with_ids=True), "pieces")
-    placed = place_pieces(pieces.drop("ids"), sequence_tokens, open_bins, seed).select("sequence_id", "offset", "doc_id", "piece", "ids_crc32").distinct()
+    pieces = materialize(token_pieces(docs, tokenizer, sequence_tokens, with_ids=True).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    placed = place_pieces(pieces.drop("ids"), sequence_tokens, open_bins, seed).select("row", "sequence_id", "offset")
     parts = F.sort_array(F.collect_list(F.struct("offset", "ids")))
-    rows = placed.join(pieces.select("doc_id", "piece", "ids_crc32", "ids").distinct(), ["doc_id", "piece", "ids_crc32"])
+    rows = placed.join(pieces.select("row", "ids"), "row")
     return rows.groupBy("sequence_id").agg(parts.alias("parts")).select("sequence_id", F.aggregate(F.col("parts.ids"), F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x)).alias("ids")).withColumn("n_tokens", F.expr("octet_length(ids) div 4"))

@@ -42,6 +42,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def _quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(docs: DataFrame, own: tuple[str, ...]) -> DataFrame:
+    """``docs`` with its columns other than ``own`` as one struct _rest, so that no name of a caller meets one that an operator adds."""
+    rest = [_quoted(c) for c in docs.columns if c not in own]
+    return docs.select(*[c for c in docs.columns if c in own], F.struct(*rest or [F.lit(0).alias("none")]).alias("_rest"))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, own: tuple[str, ...]) -> DataFrame:
+    """The columns of ``docs`` in their order, from rows that ``packed`` made."""
+    return rows.select(*[F.col(c) if c in own else F.col("_rest").getField(c).alias(c) for c in docs.columns])
+
+
 def with_row_keys(docs: DataFrame, name: str) -> DataFrame:
     """``docs`` with ``name``, a long of each row's own that rises with doc_id, nulls last, and among equal ids with the text's hash."""
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text").asc()]

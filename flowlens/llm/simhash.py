@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import materialize, with_row_keys
+from .shared import materialize, packed, unpacked, with_row_keys
 from .words import word_spans, words_of
 
 BITS = 64
@@ -64,8 +64,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, most_bits: int = 4) -> Data
     Fingerprints link at ``most_bits`` or fewer differing bits; the component
     is the smallest doc_id reachable, itself included. Texts that are null,
     empty or blank have fingerprint zero and link like any other. Repeated
-    rows each come back; a null doc_id comes back with a null component unless
-    its fingerprint links it to rows with ids. Other columns are not read. An
+    rows each come back; a null doc_id links like any other, and has a null
+    component only where all of its component's ids are null. Other columns are not read. An
     empty table gives an empty one.
 
     Equal fingerprints become one row before the search, so a group of copies
@@ -73,9 +73,10 @@ def near_duplicates(docs: DataFrame, width: int = 4, most_bits: int = 4) -> Data
     """
     prints = materialize(fingerprints(docs, width), "prints")
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    links = similar_pairs(distinct, most_bits)
+    links = similar_pairs(distinct.select("fp", F.col("fp").alias("rep")), most_bits)
     found = connected_components(links)
-    of = distinct.join(found, distinct["rep"] == found["id"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    roots = distinct.join(found, distinct["fp"] == found["id"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
+    of = roots.join(roots.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("fp", "component_id")
     return prints.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -223,6 +224,7 @@ def _signed(x: int) -> int:
 
 def keep_first_of_each_group(docs: DataFrame, width: int = 4, most_bits: int = 4) -> DataFrame:
     """Of each group the row with the smallest doc_id, nulls last; all columns stay. Of rows that repeat an id and a text one stays."""
-    keyed = with_row_keys(docs, "_row")
+    own = ("doc_id", "text")
+    keyed = with_row_keys(packed(docs, own), "_row")
     stay = near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text"), width, most_bits).where("doc_id = component_id").select(F.col("doc_id").alias("_row"))
-    return keyed.join(stay, "_row", "left_semi").drop("_row")
+    return unpacked(keyed.join(stay, "_row", "left_semi"), docs, own)

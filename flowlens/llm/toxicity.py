@@ -14,12 +14,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import crf
 from .words import WORD_PATTERN, WordCache, words_of
 
 #: Labelled documents that a model learns from at most, chosen by a hash of the id.
 TOXIC_SAMPLE, CLEAN_SAMPLE = 1000, 3000
+#: Bytes of text of each label that a model learns from at most.
+SAMPLE_BYTES = 64 << 20
 #: Lengths of word beginnings that are features beside the whole word.
 PREFIXES = (4, 5, 6, 7)
 #: Words kept on either side of a marked one in a training sequence, and the longest such sequence.
@@ -73,7 +76,9 @@ def train_model(docs: DataFrame, labels: DataFrame, toxic_sample: int = TOXIC_SA
     """Learns from a bounded sample of labelled documents that aren't held out.
 
     Ids are chosen first, in the order of a hash, so only the sample's texts
-    reach the driver: at most ``toxic_sample`` and ``clean_sample`` documents.
+    reach the driver: at most ``toxic_sample`` and ``clean_sample`` documents,
+    and of each label those that come before ``SAMPLE_BYTES`` of text are full.
+    Of rows that repeat an id the smallest text counts.
     Without documents of both labels the model has no evidence and scores all
     documents alike, below the threshold.
     """
@@ -81,7 +86,10 @@ def train_model(docs: DataFrame, labels: DataFrame, toxic_sample: int = TOXIC_SA
     order = F.xxhash64(F.lit(3), "doc_id")
     chosen = [known.where(F.col("toxic") == t).dropDuplicates(["doc_id"]).orderBy(order, "doc_id").limit(n) for t, n in ((1, toxic_sample), (0, clean_sample))]
     ids = chosen[0].unionByName(chosen[1])
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").orderBy(order, "doc_id", "text").select("text", "toxic").collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    # At most one row a sampled id is left, so one task orders them.
+    before = F.sum(F.octet_length(F.coalesce("text", F.lit("")))).over(Window.partitionBy("toxic").orderBy(order, "doc_id"))
+    rows = rows.withColumn("_upto", before).where(F.col("_upto") <= SAMPLE_BYTES).orderBy(order, "doc_id").select("text", "toxic").collect()
     return fit([(r["text"] or "", r["toxic"]) for r in rows])
 
 

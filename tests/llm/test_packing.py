@@ -71,3 +71,13 @@ def test_open_bins_take_the_fullest_that_fits():
     assert bins.place(5) == (2, 0)
     assert bins.place(9) == (3, 0)  # bin 0 (4 left) is the fullest of the two open ones and closes
     assert bins.place(4) == (2, 5)
+
+
+def test_sequences_hold_rows_without_ids_and_equal_ids(spark):
+    texts = [(1, "alpha beta"), (None, "gamma delta epsilon"), (None, None), (1, "alpha beta"), (1, "zeta eta theta")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    total = packing.pack(docs).agg({"length": "sum"}).first()[0]
+    rows = packing.sequences(docs).collect()
+    assert sum(r["n_tokens"] for r in rows) == total
+    want = b"".join(sorted(ids for ids in (bytes(r["ids"]) for r in packing.token_pieces(docs, with_ids=True).collect())))
+    assert sorted(b"".join(bytes(r["ids"]) for r in rows)) == sorted(want)

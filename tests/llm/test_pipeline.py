@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+import pytest
+
 import corpus_pipeline
 from flowlens.llm import lines, mixing, simhash
 from tests.llm.test_lines import blank, mutate, near
@@ -124,3 +126,14 @@ def test_run_with_null_and_repeated_ids(spark, tmp_path, sf_dir):
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.where("doc_id is null").count() > 0
     assert {r["doc_id"] for r in out.where("doc_id < 1000000").select("doc_id").distinct().collect()} <= {i for i, _, _ in stay}
+
+
+@pytest.mark.parametrize("stage", [lines.without_repeated_lines, mixing.mixed_documents, simhash.keep_first_of_each_group])
+def test_columns_named_like_an_operators_own_stay(spark, stage):
+    rows = [(i if i % 5 else None, f"{w} one line of words and more words\nand another {w} of {w}", "en", f"s{i % 3}", 50, f"a{i}", f"b{i}", f"c{i}", f"d{i}", f"e{i}", f"f{i}") for i, w in enumerate("apple brick cloud dance eagle flame grape house".split())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _row string, kept_text string, _copies string, _rest string, size string, fp string")
+    out = stage(docs)
+    assert out.columns == docs.columns
+    own = {r[5]: r for r in rows}
+    got = out.collect()
+    assert len({r["_row"] for r in got}) >= 5 and all(tuple(r)[5:] == own[r["_row"]][5:] and r["doc_id"] == own[r["_row"]][0] for r in got)

@@ -89,3 +89,11 @@ def test_flip_masks_meet_once(reach):
         for b in values:
             met = sum((x & u) == (a ^ b) and not a & (t & u) for x, t in masks) + sum((x & u) == (a ^ b) and not b & (t & u) for x, t in masks)
             assert met == (2 if a == b else int((a ^ b).bit_count() <= reach))
+
+
+def test_rows_without_id_bridge_others(spark, monkeypatch):
+    prints = {"a": 0, "b": 0b1111, "c": 0b11111111, "d": -1}
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, width: spark.createDataFrame([(r["doc_id"], prints[r["text"]]) for r in docs.collect()], "doc_id long, fp long"))
+    docs = spark.createDataFrame([(1, "a"), (None, "b"), (3, "c"), (None, "d"), (None, "d")], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(docs).collect()), key=repr)
+    assert got == sorted([(1, 1), (None, 1), (3, 1), (None, None), (None, None)], key=repr)

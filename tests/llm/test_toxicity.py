@@ -125,3 +125,14 @@ def test_scores_equal_enumerated_labels(spark):
         z = model.document[0] + model.document[1] * math.log1p(sum(evident)) + model.document[2] * max(evident, default=0.0)
         assert abs(out[i]["score"] - 1 / (1 + math.exp(-z))) < 1e-9
     assert out[100]["spans"] and 0 <= out[101]["score"] <= 1
+
+
+def test_training_takes_one_row_an_id_and_bounded_text(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda rows: seen.append(rows))
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 100)
+    docs = spark.createDataFrame([(i % 9, f"text {i % 9:02d}") for i in range(900)] + [(20, "x" * 99), (21, None), (None, "y")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(25)] + [(3, 1)], "doc_id long, toxic int")
+    toxicity.train_model(docs, labels, 3, 50)
+    texts = [t for t, _ in seen[0]]
+    assert len(texts) <= 13 and len(texts) == len({(t, y) for t, y in seen[0]}) and sum(len(t) for t, y in seen[0] if y == 0) <= 100
