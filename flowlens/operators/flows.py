@@ -81,10 +81,21 @@ def moments(x: str, prefix: str) -> list[Column]:
     return [F.coalesce(F.skewness(x), F.lit(0.0)).alias(f"skew{prefix}"), F.coalesce(F.kurtosis(x), F.lit(-3.0)).alias(f"kurtosis{prefix}")]
 
 
-def with_median_deviation(rows: DataFrame, keys: list[str], x: str, name: str) -> DataFrame:
-    """One row for each group: its keys and the scaled median absolute deviation of ``x``."""
-    middle = rows.groupBy(*keys).agg(F.median(x).alias("_middle"))
-    return rows.join(middle, keys).groupBy(*keys).agg((F.median(F.abs(F.col(x) - F.col("_middle"))) / MAD_SCALE).alias(name))
+def with_median_deviation(rows: DataFrame, keys: list[str], x: str, name: str, most: int | None = None) -> DataFrame:
+    """One row for each group: its keys and the scaled median absolute deviation of ``x``.
+
+    With ``most``, groups of more values than that are never gathered in one
+    task: both medians then come from ``quantiles.exact_quantiles``.
+    """
+    from .quantiles import exact_quantiles
+
+    def median(df: DataFrame, column: str, called: str) -> DataFrame:
+        if most is None:
+            return df.groupBy(*keys).agg(F.median(column).alias(called))
+        return exact_quantiles(df, keys, column, [0.5], most).select(*keys, F.col("quantiles")[0].alias(called))
+
+    away = rows.join(median(rows, x, "_middle"), keys).withColumn("_away", F.abs(F.col(x) - F.col("_middle")))
+    return median(away, "_away", "_deviation").select(*keys, (F.col("_deviation") / MAD_SCALE).alias(name))
 
 
 def burst_features(rows: DataFrame, keys: list[str], routers: list[str]) -> DataFrame:

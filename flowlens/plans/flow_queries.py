@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.functions import net
-from flowlens.operators import flows, lookups, scans
+from flowlens.operators import flows, lookups, quantiles, scans
 
 from .inputs import FINGERPRINTS_SQL, OUTBOUND_SQL, PACKETS_SQL, ROUTERS, fingerprints, outbound, packets, read
 from .registry import registry
@@ -238,6 +238,15 @@ def robust_statistics(spark, sf_dir):
     return out.select("l_suppkey", "n", F.round("skewQuantity", 6).alias("skewQuantity"), F.round("kurtosisQuantity", 6).alias("kurtosisQuantity"), F.round("deviation", 6).alias("deviation"), "middle", F.round(F.get("_q", 0), 6).alias("p10"), F.round(F.get("_q", 1), 6).alias("p90"))
 
 
+@query("""select l_returnflag, l_linestatus, median(l_extendedprice) as middle, round(quantile_cont(l_extendedprice, 0.1), 6) as p10, round(quantile_cont(l_extendedprice, 0.9), 6) as p90, round(mad(l_extendedprice) / 0.6744897501960817, 6) as deviation from lineitem group by all""")
+def large_group_quantiles(spark, sf_dir):
+    """Exact quantiles and deviations of a handful of groups that have all rows, none of which gathers more than two thousand values."""
+    rows, keys = read(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_extendedprice"), ["l_returnflag", "l_linestatus"]
+    out = quantiles.exact_quantiles(rows, keys, "l_extendedprice", [0.5, 0.1, 0.9], 2000).join(flows.with_median_deviation(rows, keys, "l_extendedprice", "deviation", 2000), keys)
+    q = F.col("quantiles")
+    return out.select(*keys, q[0].alias("middle"), F.round(q[1], 6).alias("p10"), F.round(q[2], 6).alias("p90"), F.round("deviation", 6).alias("deviation"))
+
+
 #: Packets with protocols and addresses of the link and network layers among them.
 _LINK = {"protocol": "case when frame_num % 17 = 0 then 'ICMP' when frame_num % 19 = 0 then 'CLASSIC-STUN' else protocol end", "ip_src": "case when frame_num % 23 = 0 then 'fe80::1:2' when frame_num % 29 = 0 then '' else ip_src end"}
 
