@@ -49,6 +49,11 @@ def host_patterns(host: Column) -> Column:
     return F.array_distinct(F.concat(F.array(host), wild, cloud))
 
 
+def with_aliased_hosts(rows: DataFrame, host: str = "host", device: str = "device") -> DataFrame:
+    """Rows whose host is the name that the device's fingerprints use; do this before any match with fingerprints."""
+    return rows.withColumn(host, net.aliased_host(F.col(host), F.col(device)))
+
+
 def match_fingerprints(rows: DataFrame, fingerprints: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Rows joined to fingerprints of the same ``keys`` whose host_pattern is the host or a wildcard suffix of it.
 

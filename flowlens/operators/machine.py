@@ -39,6 +39,22 @@ def score_summary(scores: DataFrame, sigmas: float = 3.0) -> DataFrame:
     return scores.agg(F.count("*").alias("n"), F.max(d).alias("max"), F.min(d).alias("min"), F.avg(d).alias("mean"), F.stddev_pop(d).alias("std"), F.coalesce(F.skewness(d), F.lit(0.0)).alias("skew"), F.coalesce(F.kurtosis(d), F.lit(-3.0)).alias("kurtosis"), (F.avg(d) + sigmas * F.stddev_pop(d)).alias("threshold"))
 
 
+def decay_factor(by_length: DataFrame, below: int = 23) -> DataFrame:
+    """One row: steps and factor, the geometric mean by which probabilities fall from one length of traces to the next.
+
+    ``by_length`` has length and mean_prob. A gap of more than one between
+    lengths counts as its width and one more, each with the same root of the
+    ratio; a first factor of one counts too, and lengths from ``below`` on don't.
+    Lengths whose ratio isn't a positive number are left out.
+    """
+    w = Window.orderBy("length")  # a row for each length
+    last, gap = F.lag("mean_prob").over(w), F.col("length") - F.lag("length").over(w)
+    rows = by_length.withColumns({"_ratio": F.when((F.col("mean_prob") > 0) & (last > 0), last / F.col("mean_prob")), "_n": F.when(gap > 1, gap + 1).otherwise(gap)})
+    rows = rows.where((F.col("length") < below) & F.col("_ratio").isNotNull())
+    steps = F.coalesce(F.sum("_n"), F.lit(0))
+    return rows.agg(steps.cast("long").alias("steps"), F.exp(F.coalesce(F.sum(F.ln("_ratio")), F.lit(0.0)) / (steps + 1)).alias("factor"))
+
+
 def transition_z(now: DataFrame, model: DataFrame) -> DataFrame:
     """z of each known step's share now against the model's, and whether it is significant."""
     p = F.when(F.col("prob") == 1, NEARLY_ONE).otherwise(F.col("prob"))

@@ -112,7 +112,7 @@ def density_clusters(spark, sf_dir):
 def activity_forests(spark, sf_dir):
     """One forest for each event type over frame features, scored on the rows left out; no SQL grows trees."""
     rows = packets(spark, sf_dir).select("frame_num", "event_type", F.col("frame_len").cast("double").alias("x1"), (F.crc32("event_type") % 50 + F.col("frame_num") % 7).cast("double").alias("x2"))
-    fitted = models.train_activities(rows.where("frame_num % 3 <> 0").repartition(4, "frame_num").sortWithinPartitions("frame_num"), ["x1", "x2"], "event_type", ["view", "click", "error"], trees=5)
+    fitted = models.train_activities(rows.where("frame_num % 3 <> 0").repartition(4, "frame_num").sortWithinPartitions("frame_num"), ["x1", "x2"], "event_type", ["view", "click", "error", "purchase", "signup"], trees=100)
     out = models.predict_activities(rows.where("frame_num % 3 = 0"), fitted, ["x1", "x2"])
     return out.select("frame_num", "event_type", "activity", F.round("proba", 6).alias("proba"))
 

@@ -198,6 +198,20 @@ def fingerprint_match(spark, sf_dir):
     return lookups.match_fingerprints(_named(spark, sf_dir), F.broadcast(fingerprints(spark)), ["protocol"]).select("frame_num", "host", "protocol", "host_pattern", "period")
 
 
+_ALIASED = """with r as (select c_custkey, ['tplink-bulb', 'wink-hub2', 'wyze-cam', 'nest-tstat'][1 + c_custkey % 4] as device, ['n-devs.tplinkcloud.com', '3.90.178.36', '45.56.113.17', 'www.example.com', null][1 + c_nationkey % 5] as host from customer),
+t as (select c_custkey, device, case when starts_with(device, 'tplink') and host = 'n-devs.tplinkcloud.com' then 'devs.tplinkcloud.com' when starts_with(device, 'wink-hub2') and host = '3.90.178.36' then '*.compute-1.amazonaws.com'
+  when starts_with(device, 'wyze-cam') and host = '45.56.113.17' then '*.ip.linodeusercontent.com' else host end as host from r),
+fp(host_pattern, period) as (values ('devs.tplinkcloud.com', 60.0::double), ('*.tplinkcloud.com', 30.0::double), ('*.compute-1.amazonaws.com', 600.0::double), ('*.linodeusercontent.com', 900.0::double), ('*.example.com', 10.0::double))"""
+
+
+@query(f"{_ALIASED} select c_custkey, t.device, t.host, fp.host_pattern, fp.period from t join fp on t.host = fp.host_pattern or ends_with('.' || t.host, substr(fp.host_pattern, 2)) and starts_with(fp.host_pattern, '*.')")
+def aliased_fingerprint_match(spark, sf_dir):
+    """Hosts under the names that fingerprints use, then matched."""
+    rows = read(spark, sf_dir, "customer").selectExpr("c_custkey", "array('tplink-bulb', 'wink-hub2', 'wyze-cam', 'nest-tstat')[int(c_custkey % 4)] as device", "array('n-devs.tplinkcloud.com', '3.90.178.36', '45.56.113.17', 'www.example.com', null)[int(c_nationkey % 5)] as host")
+    prints = spark.createDataFrame([("devs.tplinkcloud.com", 60.0), ("*.tplinkcloud.com", 30.0), ("*.compute-1.amazonaws.com", 600.0), ("*.linodeusercontent.com", 900.0), ("*.example.com", 10.0)], "host_pattern string, period double")
+    return lookups.match_fingerprints(lookups.with_aliased_hosts(rows), prints, []).select("c_custkey", "device", "host", "host_pattern", "period")
+
+
 @query(f"{_NAMED} select distinct protocol, host from t where not exists (select 1 from fp where {_MATCH})")
 def new_destinations(spark, sf_dir):
     return lookups.unmatched(_named(spark, sf_dir), fingerprints(spark), ["protocol"])

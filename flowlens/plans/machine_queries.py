@@ -96,6 +96,14 @@ def short_term_alerts(spark, sf_dir):
     return late.select("device", "trace", F.round("deviation", 6).alias("deviation"))
 
 
+@query(_TRACES + f", h as (select avg(deviation) + stddev_pop(deviation) as threshold from x where started < {CUT}) select device, trace, round(deviation, 6) as deviation from x, h where deviation > threshold")
+def deviating_traces(spark, sf_dir):
+    """All traces that lie more than one deviation above the mean of earlier ones; unlike later ones alone, some do in the tables."""
+    scores = _scores(spark, sf_dir)
+    limit = machine.score_summary(scores.where(F.col("started") < CUT), 1.0).select("threshold")
+    return scores.join(F.broadcast(limit), F.col("deviation") > F.col("threshold")).select("device", "trace", F.round("deviation", 6).alias("deviation"))
+
+
 @query(_TRACES + f""", w as (select src, dst, count(*) as c, sum(count(*)) over (partition by src) as n from s where started >= {CUT} group by src, dst),
 z as (select w.src, w.dst, c / n as prob_now, n::bigint as n_now, case when prob = 1 then 0.999 else prob end as q from w join m on m.src = w.src and m.dst = w.dst)
 select src, dst, n_now, round((prob_now - q) / sqrt(q * (1 - q) / n_now), 6) as z, abs((prob_now - q) / sqrt(q * (1 - q) / n_now)) > 1.96 as alert from z""")
@@ -128,6 +136,14 @@ def probability_by_length(spark, sf_dir):
     return rows.select("length", "n", F.round("mean_prob", 9).alias("mean_prob"), F.round(decay, 6).alias("decay"))
 
 
+@query(_TRACES + """, g as (select n_steps - 1 as length, avg(exp(1 - deviation)) as p from x group by n_steps),
+r as (select length, lag(p) over w / p as ratio, case when length - lag(length) over w > 1 then length - lag(length) over w + 1 else length - lag(length) over w end as n from g window w as (order by length))
+select sum(n)::bigint as steps, round(exp(sum(ln(ratio)) / (sum(n) + 1)), 6) as factor from r where length < 23 and ratio is not null""")
+def decay_factor(spark, sf_dir):
+    rows = _scores(spark, sf_dir).groupBy((F.col("n_steps") - 1).alias("length")).agg(F.avg(F.exp(1 - F.col("deviation"))).alias("mean_prob"))
+    return machine.decay_factor(rows).withColumn("factor", F.round("factor", 6))
+
+
 @query(_TRACES + """, b as (select device, started, src, dst, count(*) as n from s group by all), a as (select *, floor((started - min(started) over (partition by device)) / 604800) as age from b)
 select device, round(started, 3) as started, src, dst, round(sum(n * power(2.0, age)) over (partition by device, src, dst order by started) / power(2.0, age), 6) as cnt from a""")
 def online_counts(spark, sf_dir):

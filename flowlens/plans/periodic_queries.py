@@ -77,6 +77,15 @@ def sparse_periods(spark, sf_dir):
     return periodic.sparse_periods(rows, ["o_custkey"], "d", most=86400.0 * 900).select("o_custkey", "n_times", F.round("period", 3).alias("period"))
 
 
+@query("""with g as (select o_custkey, d, d - lag(d) over w as gap from (select distinct o_custkey, epoch_us(o_orderdate) / 1000000.0 as d from orders) window w as (partition by o_custkey order by d)),
+t as (select *, abs(gap - lag(gap) over (partition by o_custkey order by d)) as turn from g)
+select o_custkey, count(*) as n_times, round(avg(gap), 3) as period from t group by o_custkey having count(*) between 4 and 12 and max(turn) <= 86400 * 900""")
+def sparse_order_periods(spark, sf_dir):
+    """Sparse periods of every customer over all orders."""
+    rows = read(spark, sf_dir, "orders").selectExpr("o_custkey", "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', o_orderdate) / 1000000.0 as d")
+    return periodic.sparse_periods(rows, ["o_custkey"], "d", high=12, most=86400.0 * 900).select("o_custkey", "n_times", F.round("period", 3).alias("period"))
+
+
 @query("""with fine as (select p_partkey % 50 as k, min(p_size)::double as period from part where p_partkey % 3 <> 0 group by 1), coarse as (select p_partkey % 60 as k, min(p_size) / 10.0 as period from part where p_partkey % 4 <> 0 group by 1)
 select coalesce(fine.k, coarse.k) as k, coalesce(fine.period, coarse.period * 10) as period, case when fine.period <> coarse.period * 10 then coarse.period * 10 end as period2 from fine full join coarse on fine.k = coarse.k""")
 def fingerprint_rates_merged(spark, sf_dir):

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+import io
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +37,29 @@ def packets(spark: SparkSession, path: str, raw: bool = False) -> DataFrame:
     return rows.select("*", path_part(2).alias("device"), F.regexp_replace(path_part(1), "2$", "").alias("activity")).where("ts is not null")
 
 
+#: Activities whose files lie right below them, without a folder for the event.
+UNLABELLED = ("unctrl", "unctr", "idle")
+
+
+def activity_packets(spark: SparkSession, path: str, least: int = 2, without: tuple[str, ...] = ("power",)) -> DataFrame:
+    """Decoded packets of nested folders ``device/activity/event/file.txt``, or without the event below ``UNLABELLED``: with device, state, event and file.
+
+    A file whose name has ``companion`` belongs to the device named before its
+    ending, and its state names the folder's device too. Files of fewer than
+    ``least`` rows, files that aren't .txt, and states in ``without`` are left out.
+    """
+    rows = spark.read.schema(PACKETS).option("sep", "\t").option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").csv(path)
+    rows = rows.select("*", F.col("_metadata.file_path").alias("file"), *[path_part(k).alias(f"_up{k}") for k in (1, 2, 3)])
+    bare = F.col("_up1").isin(*UNLABELLED)
+    device, state = F.when(bare, F.col("_up2")).otherwise(F.col("_up3")), F.when(bare, F.col("_up1")).otherwise(F.col("_up2"))
+    name = F.element_at(F.split("file", "/"), -1)
+    companion = name.contains("companion")
+    own = F.when(companion, F.get(F.split(name, r"\."), F.size(F.split(name, r"\.")) - 2)).otherwise(device)
+    rows = rows.withColumns({"device": own, "state": F.when(companion, F.concat(state, F.lit("_companion_"), device)).otherwise(state), "event": F.col("_up1")}).drop("_up1", "_up2", "_up3")
+    enough = rows.groupBy("file").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select("file")
+    return rows.where(~F.col("state").isin(*without) & F.col("ts").isNotNull()).join(enough, "file", "left_semi")
+
+
 def name_history(spark: SparkSession, path: str) -> DataFrame:
     """(device, ip, host, ts) from answers: name, comma separated addresses, time, tab separated, one folder per device."""
     rows = spark.read.schema("host string, ips string, ts double").option("sep", "\t").option("recursiveFileLookup", True).csv(path).select("*", path_part(1).alias("device"))
@@ -129,12 +158,38 @@ def party_tables(spark: SparkSession, path: str) -> DataFrame:
 def overall_tables(spark: SparkSession, path: str) -> DataFrame:
     """Summaries by device with a header (first, support and third party counts); counts as longs, spaces in names as underscores.
 
-    Spark passes over files whose name begins with an underscore; give such a file another name first.
+    Spark passes over files whose name begins with an underscore; ``hidden_overall_tables`` reads those.
     """
     rows = spark.read.csv(path, header=True, recursiveFileLookup=True)
     return rows.select(*[(F.col(c) if c == "device" else F.trim(c).try_cast("long")).alias(c.strip().replace(" ", "_")) for c in rows.columns])
 
 
+def hidden_overall_tables(spark: SparkSession, path: str) -> DataFrame:
+    """(file, device, first_party, support_party, third_party) from every ``_overall.csv`` below a path, in any store that pyarrow opens.
+
+    The driver lists the files, and tasks read one each; a summary has a row for
+    each device. Columns that a file lacks are null.
+    """
+    fs, root = pyarrow.fs.FileSystem.from_uri(path if "://" in path else "file://" + path)
+    found = sorted(i.path for i in fs.get_file_info(pyarrow.fs.FileSelector(root, recursive=True, allow_not_found=True)) if i.is_file and i.base_name.startswith("_overall") and i.path.endswith(".csv"))
+    names = ["device", "first party", "support party", "third party"]
+    store = path.split("://")[0] + "://" if "://" in path else "file://"
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file in batch.column(0).to_pylist():
+                held = pyarrow.fs.FileSystem.from_uri(store + file)[0]
+                with held.open_input_stream(file) as f:
+                    lines = [{(k or "").strip(): v for k, v in r.items() if isinstance(v, str)} for r in csv.DictReader(io.TextIOWrapper(f, "utf-8"), skipinitialspace=True)]
+                columns = [pa.array([r.get(n) for r in lines], pa.string()) for n in names]
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(lines), pa.string()), *columns], names=["file", *[n.replace(" ", "_") for n in names]])
+
+    schema = "file string, device string, first_party string, support_party string, third_party string"
+    listed = spark.createDataFrame([(f,) for f in found], "file string").repartition(max(1, min(len(found), 200)))
+    rows = listed.mapInArrow(each, schema)
+    return rows.select("file", "device", *[F.trim(c).try_cast("long").alias(c) for c in ("first_party", "support_party", "third_party")])
+
+
 def forests(spark: SparkSession, path: str, activities: list[str]) -> dict[str, RandomForestClassificationModel]:
     """The forests that ``sinks.forests`` wrote, by activity."""
     return {a: RandomForestClassificationModel.load(f"{path}/{a}") for a in activities}

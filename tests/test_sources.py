@@ -79,3 +79,25 @@ def test_sinks_round_trip(spark, tmp_path):
     assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "f")).collect()) == ["DNS a.com 60 7200", "TCP # 30"]
     sinks.json_lines(df.select("device"), str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).select(F.count("*")).first()[0] == 2
+
+
+def test_nested_activity_folders(spark, tmp_path):
+    head = "\t".join(c.split()[0] for c in readers.PACKETS.split(", "))
+    lines = lambda n: head + "\n" + "".join(f"{i}\t{i}.5\t0\t60\tTCP\t3\t1.2.3.4\t10.0.0.2\t443\t4000\t6\taa:bb\tx.example.com\n" for i in range(n))
+    put(tmp_path, "p/plug/idle/a.txt", lines(2))
+    put(tmp_path, "p/plug/voice/on/b.txt", lines(3))
+    put(tmp_path, "p/plug/voice/on/companion.lamp.txt", lines(2))
+    put(tmp_path, "p/plug/voice/on/short.txt", lines(1))
+    put(tmp_path, "p/plug/power/on/c.txt", lines(2))
+    put(tmp_path, "p/plug/voice/on/d.csv", lines(2))
+    got = readers.activity_packets(spark, str(tmp_path / "p")).groupBy("device", "state", "event").count()
+    assert rows(got) == [("lamp", "voice_companion_plug", "on", 2), ("plug", "idle", "idle", 2), ("plug", "voice", "on", 3)]
+
+
+def test_hidden_overall_tables(spark, tmp_path):
+    put(tmp_path, "o/periodic/_overall.csv", "device, first party,support party,third party\nplug,1, 2,3\nlamp,x,,\n")
+    put(tmp_path, "o/other/_overall.csv", "device,first party\ncam,9\n")
+    put(tmp_path, "o/other/plug.csv", "device\nno\n")
+    got = rows(readers.hidden_overall_tables(spark, str(tmp_path / "o")).drop("file"))
+    assert got == [("cam", 9, None, None), ("lamp", None, None, None), ("plug", 1, 2, 3)]
+    assert readers.hidden_overall_tables(spark, str(tmp_path / "none")).collect() == []
