@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -27,16 +28,55 @@ BOUNDS = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {
 # Elements that a browser reads up to their end tag or the page's end, whatever stands between.
 TO_THE_END = "script style textarea title".split()
 
-_RAW = "|".join(h for h in HIDDEN if h != "head" and h not in TO_THE_END)
+_RAW = frozenset(h for h in HIDDEN if h != "head" and h not in TO_THE_END)
 _ATTRS = r"""(?:"[^"]*"|'[^']*'|[^"'>])*+"""
-# The others have content if their end tag comes before another start of the same name; one whole element of that name may stand inside.
-# Without an end tag, or closed in itself, the tag alone goes.
 TOKEN = re.compile(
     rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{"|".join(TO_THE_END)})(?=[\s/>]){_ATTRS}>.*?(?:</(?P=raw)\s*>|\Z)"""
-    rf"""|<(?P<part>{_RAW})(?=[\s/>]){_ATTRS}(?:(?<=/)>|>(?:[^<]++|<(?P=part)(?=[\s/>]){_ATTRS}(?:(?<=/)>|>(?:[^<]++|(?!</?(?P=part)[\s/>])<)*+</(?P=part)\s*>)|(?!</?(?P=part)[\s/>])<)*+</(?P=part)\s*>)"""
-    r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:"[^"]*"|'[^']*'|[^"'>])*+)>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z|<\Z""",
+    r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:"[^"]*"|'[^']*'|[^"'>])*+)>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z|<\Z""",
     re.DOTALL | re.IGNORECASE,
 )
+#: Starts and ends of the other hidden elements: a start with its tag's end, if it has one, and an end that is one.
+_MARK = re.compile(rf"""<(?P<slash>/?)(?P<name>{"|".join(sorted(_RAW))})(?=[\s/>])(?P<rest>\s*>)?""", re.IGNORECASE)
+_START = re.compile(rf"{_ATTRS}>", re.DOTALL)
+
+
+class HiddenElements:
+    """Where the hidden elements of a page end, from one walk over its tags.
+
+    An element has content if its end tag comes before another start of its
+    name; whole elements of that name, without a third inside, may stand in it.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.at, self.kinds = page, {}, {}
+        for m in _MARK.finditer(page):
+            name = m["name"].lower()
+            self.at.setdefault(name, []).append(m.start())
+            self.kinds.setdefault(name, []).append((bool(m["slash"]), m.end() if m["rest"] else -1, m.end("name")))
+
+    def end(self, name: str, start: int, after: int) -> int:
+        """Where the element goes on to whose start tag is from ``start`` to ``after``; ``after`` if it has no content."""
+        if self.page[after - 2] == "/":
+            return after
+        places, kinds = self.at.get(name, []), self.kinds.get(name, [])
+        i = bisect_left(places, after)
+        while i < len(places):
+            closes, to, tag = kinds[i]
+            if closes:
+                return to if to >= 0 else after
+            inner = _START.match(self.page, tag)
+            if not inner:
+                return after
+            if self.page[inner.end() - 2] == "/":
+                i = bisect_left(places, inner.end())
+                continue
+            i = bisect_left(places, inner.end())
+            if i == len(places) or not kinds[i][0] or kinds[i][1] < 0:
+                return after
+            i = bisect_left(places, kinds[i][1])
+        return after
+
+
 NAMES = re.compile(r"""(?:^|\s)(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -97,13 +137,17 @@ def leaf_blocks(page: str | None) -> list[Block]:
 
     at = 0
     page = page or ""
-    for m in TOKEN.finditer(page):
+    hidden = HiddenElements(page)
+    while m := TOKEN.search(page, at):
         text(page[at : m.start()])
         at = m.end()
         tag = m["tag"] or m["tag2"]
         if not tag:
             continue
         tag, ends = tag.lower(), bool(m["end"] or m["end2"])
+        if tag in _RAW and not ends and m["tag"]:
+            at = hidden.end(tag, m.start(), at)
+            continue
         if tag == "head":
             close()
             head = not ends

@@ -3,6 +3,7 @@ from __future__ import annotations
 import html
 import itertools
 import re
+import time
 
 import pyarrow.parquet as pq
 import pytest
@@ -104,3 +105,17 @@ def test_nulls_repeats_and_other_columns(spark, chain):
     out = pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string"), chain)
     assert sorted(map(str, (tuple(r) for r in out.collect()))) == sorted(map(str, [(1, "u", "One sentence here.", 18)] * 2 + [(None, None, "", 0), (3, "u", "", 0)]))
     assert pages.extract(spark.createDataFrame([], "page_id long, url string, html string"), chain).count() == 0
+
+
+@pytest.mark.parametrize("tag", ["<svg", "<svg>", "<select>", "<button ", "<math", "<svg a=\"", "<svg><svg></svg>", "<script ", "<svg/>", "</svg ", "<svg></svg x>", "<!--"])
+def test_tags_without_end_cost_no_more_than_their_length(tag):
+    began = time.process_time()
+    pages.leaf_blocks(tag * (300_000 // len(tag)))
+    assert time.process_time() - began < 5
+
+
+def test_hidden_elements_end_as_they_begin():
+    text = lambda h: [b.text for b in pages.leaf_blocks(h)]
+    assert text("<p>a<svg>x</svg>b") == ["ab"] and text("<p>a<svg/>b") == ["ab"] and text("<p>a<svg>b") == ["ab"]
+    assert text("<p>a<svg>x<svg>y</svg>z<svg/></svg>b") == ["ab"] and text("<p>a<SVG>x<svg>y<svg>z</svg></svg></svg>b") == ["axb"]
+    assert text("<p>a<svg>x</svg y>b") == ["axb"] and text('<p>a<svg t="</svg>">x</svg>b') == ["ab"]
