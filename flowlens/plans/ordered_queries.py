@@ -70,4 +70,4 @@ def aperiodic_rows(spark, sf_dir):
 def grid_clusters(spark, sf_dir):
     """Core points of each device's rows of all orders, without a limit on rows; no SQL follows neighbours of neighbours."""
     rows = read(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 4).alias("device"), "l_quantity", (F.col("l_extendedprice") / 1000).alias("price"))
-    return grid.grid_clusters(rows, ["device"], ["l_quantity", "price"], eps=0.6, least=5)
+    return grid.grid_clusters(rows, ["device"], ["l_quantity", "price"], eps=1.5, least=5)
