@@ -102,11 +102,12 @@ def burst_features(rows: DataFrame, keys: list[str], routers: list[str]) -> Data
     """The 22 features of each burst, its start, protocol and hosts.
 
     Needs frame_len, ts, ts_delta, outbound, local_ip, remote_ip, protocol,
-    trans_proto and host. One grouped aggregate over the burst's keys, and a
-    second for the deviation, on the same partitioning.
+    trans_proto and host. A burst's median length is taken in a window over its
+    keys, so that all features come from one grouped aggregate on the same
+    partitioning, and the packets are read once.
     """
     local = net.is_local_traffic(F.col("local_ip"), F.col("remote_ip"), routers)
-    rows = rows.withColumn("_local", local)
+    rows = rows.withColumn("_local", local).withColumn("_middle", F.median("frame_len").over(Window.partitionBy(*keys)))
     ways = {"out_external": F.col("outbound") & ~F.col("_local"), "in_external": ~F.col("outbound") & ~F.col("_local"), "out_local": F.col("outbound") & F.col("_local"), "in_local": ~F.col("outbound") & F.col("_local")}
     names = F.collect_set("protocol")
     protocol = F.concat_ws(";", F.sort_array(F.filter(names, lambda p: p.isin(*net.INFRASTRUCTURE))))
@@ -133,7 +134,7 @@ def burst_features(rows: DataFrame, keys: list[str], routers: list[str]) -> Data
         F.min("trans_proto").alias("_trans"),
         hosts.alias("_hosts"),
         F.min("remote_ip").alias("_remote"),
+        (F.median(F.abs(F.col("frame_len") - F.col("_middle"))) / MAD_SCALE).alias("medAbsDev"),
     )
     out = out.withColumn("protocol_name", F.coalesce(F.nullif("_infra", F.lit("")), F.when(F.col("_trans") == 6, "TCP").when(F.col("_trans") == 17, "UDP").otherwise("other")))
-    out = out.withColumn("hosts", F.coalesce(F.nullif("_hosts", F.lit("")), F.col("_remote"))).drop("_infra", "_trans", "_hosts", "_remote")
-    return out.join(with_median_deviation(rows, keys, "frame_len", "medAbsDev"), keys)
+    return out.withColumn("hosts", F.coalesce(F.nullif("_hosts", F.lit("")), F.col("_remote"))).drop("_infra", "_trans", "_hosts", "_remote")
