@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from flowlens.functions import net
 from flowlens.operators import folds, models, summaries, traces
 
 from .inputs import PACKETS_SQL, packets, read
@@ -214,3 +215,14 @@ def host_predictions(spark, sf_dir):
     scores = F.array(*[F.struct(F.lit(a).alias("activity"), F.lit(h).alias("host_pattern"), F.lit(p).alias("protocol"), proba(k).alias("proba"), (proba(k) >= 0.5).alias("predicted")) for a, h, p, k in _AT_HOSTS])
     best = rows.select("frame_num", models.best_at_host(F.col("host"), F.col("protocol"), scores).alias("b"))
     return best.select("frame_num", F.coalesce("b.activity", F.lit("unknown")).alias("activity"), F.coalesce("b.proba", F.lit(0.0)).alias("proba"))
+
+
+@query()
+def forest_host_predictions(spark, sf_dir):
+    """A forest for each activity, host pattern and protocol, each speaking for rows of its own host only; no SQL grows trees."""
+    rows = packets(spark, sf_dir).where("host <> ''").select("frame_num", "event_type", "host", net.transport(F.col("protocol")).alias("protocol"), F.col("frame_len").cast("double").alias("x1"), (F.crc32("event_type") % 50 + F.col("frame_num") % 7).cast("double").alias("x2"))
+    named = [("view", "*.example.com", "TCP"), ("click", "cdn.example.net", "TCP"), ("purchase", "*.example.com", "TCP"), ("signup", "time.example.org", "UDP")]
+    data = rows.where("frame_num % 3 <> 0").repartition(4, "frame_num").sortWithinPartitions("frame_num")
+    fitted = models.train_activities(data, ["x1", "x2"], "event_type", sorted({a for a, *_ in named}), trees=20)
+    out = models.predict_at_hosts(rows.where("frame_num % 3 = 0"), {n: fitted[n[0]] for n in named}, ["x1", "x2"])
+    return out.select("frame_num", "host", "protocol", "activity", F.round("proba", 6).alias("proba"))

@@ -120,3 +120,18 @@ def test_no_traces(spark):
     empty = spark.createDataFrame([], SCHEMA)
     rules = mining.mined_invariants(empty, ["device", "trace"], "pos", "event")
     assert rules.collect() == [] and mining.machine_of(mining.refined_nodes(empty, ["device", "trace"], "pos", "event", rules), ["device", "trace"]).collect() == []
+
+
+def test_mutations_equal_a_twin(spark):
+    import zlib
+
+    from pyspark.sql import functions as F
+
+    events, paths = ["p", "q", "r"], [["a"], ["a", "b", "c"], ["b"] * 7, []]
+    df = spark.createDataFrame([(f"k{i}", p) for i, p in enumerate(paths * 5)], "k string, path array<string>")
+    got = df.select("k", "path", *[traces.mutated(F.col("path"), F.col("k"), events, kind).alias(kind) for kind in ("insert", "alter", "remove")]).collect()
+    for r in got:
+        at = zlib.crc32(r["k"].encode()) % max(len(r["path"]), 1)
+        event = events[zlib.crc32(b"e" + r["k"].encode()) % len(events)]
+        head, tail = r["path"][:at], r["path"][at:]
+        assert (r["insert"], r["alter"], r["remove"]) == ([*head, event, *tail], [*head, event, *tail[1:]], [*head, *tail[1:]])
