@@ -78,15 +78,23 @@ def registered_name(domain: Column) -> Column:
     return F.when(net.is_ipv4(domain), domain).otherwise(F.substring_index(domain, ".", -2))
 
 
-def destinations(rows: DataFrame, owners: DataFrame, first_parties: DataFrame, support: list[str]) -> DataFrame:
+def destinations(rows: DataFrame, owners: DataFrame, first_parties: DataFrame, support: list[str], suffixes: DataFrame | None = None) -> DataFrame:
     """Adds org and party to rows with device and domain.
 
     ``owners`` (name, org) are looked up by registered name; a name without an
-    owner stands for itself. ``first_parties`` has device and orgs.
+    owner stands for itself. ``first_parties`` has device and orgs. With
+    ``suffixes``, rules of a public suffix list, names are registrable domains,
+    so that ``example.co.uk`` is one; a public suffix itself stands for itself.
     """
+    from .owners import registrable_domains
     from .summaries import party
 
-    rows = rows.withColumn("_name", registered_name(F.col("domain"))).join(owners.select(F.col("name").alias("_name"), "org"), "_name", "left")
+    if suffixes is None:
+        rows = rows.withColumn("_name", registered_name(F.col("domain")))
+    else:
+        names = registrable_domains(rows.select(F.col("domain").alias("_domain")).distinct(), suffixes, "_domain").select("_domain", F.coalesce("domain", "_domain").alias("_name"))
+        rows = rows.join(names, F.col("domain").eqNullSafe(F.col("_domain")), "left").drop("_domain")
+    rows = rows.join(owners.select(F.col("name").alias("_name"), "org"), "_name", "left")
     rows = rows.withColumn("org", F.coalesce("org", "_name")).join(first_parties, "device", "left")
     return rows.withColumn("party", party(F.col("org"), F.col("orgs"), support)).drop("_name", "orgs")
 

@@ -33,3 +33,16 @@ def test_domains_by_rules_and_exceptions(spark):
     rows = spark.createDataFrame([(h,) for h in want] + [("example.com",)], "host string")
     got = owners.registrable_domains(rows, rules, "host")
     assert got.count() == len(want) + 1 and {r["host"]: r["domain"] for r in got.collect()} == want
+
+
+def test_destinations_by_public_suffix(spark):
+    from flowlens.operators import naming
+
+    rows = spark.createDataFrame([(i, "plug", d) for i, d in enumerate(["a.example.co.uk", "b.other.co.uk", "co.uk", "x.example.com", None, "1.2.3.4"])], "id int, device string, domain string")
+    known = spark.createDataFrame([("example.co.uk", "Example"), ("example.com", "Example"), ("co.uk", "Nominet")], "name string, org string")
+    first = spark.createDataFrame([("plug", ["example"])], "device string, orgs array<string>")
+    rules = spark.createDataFrame([("co.uk",), ("com",)], "rule string")
+    got = {r["id"]: r["org"] for r in naming.destinations(rows, known, first, [], rules).collect()}
+    assert got == {0: "Example", 1: "other.co.uk", 2: "Nominet", 3: "Example", 4: None, 5: "1.2.3.4"}
+    plain = {r["id"]: r["org"] for r in naming.destinations(rows, known, first, []).collect()}
+    assert plain[0] == plain[1] == "Nominet"
