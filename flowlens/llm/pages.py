@@ -86,6 +86,7 @@ class Block:
     text: str
     path: tuple[tuple[str, tuple[str, ...]], ...]
     linked: int
+    apart: bool = False
 
 
 @lru_cache(maxsize=20_000)
@@ -103,7 +104,8 @@ def leaf_blocks(page: str | None) -> list[Block]:
     too. Formulas and what stands in for a frame, a film or a script stay. Of other such elements that are closed in themselves or never
     closed only the tag goes.
     Character references are decoded after the markup is taken away; white space
-    becomes one space; blocks without text are left out.
+    becomes one space; blocks without text are left out. A block is apart if the
+    page says where its article is and the block is elsewhere.
     """
     out: list[Block] = []
     path: list[tuple[str, tuple[str, ...]]] = []
@@ -169,6 +171,9 @@ def leaf_blocks(page: str | None) -> list[Block]:
             text(" ")
     text(page[at:])
     close()
+    if any(_in_article(b.path) for b in out):
+        for b in out:
+            b.apart = not _in_article(b.path)
     return out
 
 
@@ -192,6 +197,21 @@ KINDS = {
 }
 
 
+#: Words of main parts' names that no whole page and no line of text is called.
+ARTICLE_WORDS = {w for m in MAIN_NAMES for w in m.split("-")} - {"page", "body", "text"}
+
+
+@lru_cache(maxsize=20_000)
+def _in_article(path: tuple[tuple[str, tuple[str, ...]], ...]) -> bool:
+    """Whether an open element is an article by its tag or its names, with nothing around it that speaks of another part."""
+    for tag, names in path:
+        if tag in ("nav", "aside", "footer", "form", "dialog") or any(n in KINDS for n in names):
+            return False
+        if tag in ("article", "main") or (tag in ("div", "section", "td") and not ARTICLE_WORDS.isdisjoint(names)):
+            return True
+    return False
+
+
 @lru_cache(maxsize=20_000)
 def _path_features(path: tuple[tuple[str, tuple[str, ...]], ...]) -> tuple[str, ...]:
     """Features of the open elements. Lists, tables and plain boxes say nothing by being there."""
@@ -237,17 +257,18 @@ def _text_features(block: Block) -> list[str]:
 
 def block_features(block: Block) -> list[str]:
     """Features of a block's open elements and of its text."""
-    return [*_path_features(block.path), *_text_features(block)]
+    return [*_path_features(block.path), *_text_features(block), *(["apart"] if block.apart else [])]
 
 
 def extractor(chain: crf.Chain) -> Callable[[str | None], str]:
     """A function from a page to the blocks that the chain labels as main text, joined by one line feed."""
     known = chain.weights.get
+    apart = known("apart", 0.0)
     of_path = lru_cache(maxsize=20_000)(lambda path: chain.bias + sum(known(f, 0.0) for f in _path_features(path)))
 
     def main_text(page: str | None) -> str:
         blocks = leaf_blocks(page)
-        scores = [of_path(b.path) + sum(known(f, 0.0) for f in _text_features(b)) for b in blocks]
+        scores = [of_path(b.path) + sum(known(f, 0.0) for f in _text_features(b)) + (apart if b.apart else 0.0) for b in blocks]
         return "\n".join(b.text for b, y in zip(blocks, chain.best(scores), strict=True) if y)
 
     return main_text
@@ -285,8 +306,8 @@ def trained(pages: int = 1200, seed: int = 5) -> crf.Chain:
 SYLLABLES = "an ar be co da de el en er es ha in ka lo ma mi na or pe ra re ri sa se st ta te ti to un ur ve".split()
 
 
-def labelled_pages(count: int, seed: int) -> Iterator[tuple[str, set[str]]]:
-    """Made pages of varied layout, each with the texts of its main blocks."""
+def labelled_pages(count: int, seed: int, unnamed: float = 0.35) -> Iterator[tuple[str, set[str]]]:
+    """Made pages of varied layout, each with the texts of its main blocks; a share has articles in plain boxes, boxes of any name or none."""
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice(SYLLABLES) for _ in range(rng.randrange(1, 5)))
     words = lambda a, b: " ".join(word() for _ in range(rng.randrange(a, b)))
@@ -342,12 +363,14 @@ def labelled_pages(count: int, seed: int) -> Iterator[tuple[str, set[str]]]:
 
         def keep(text: str, main: set[str] = main) -> str:
             main.add(" ".join(text.split()))
-            return rng.choice([text, text, text.replace(" ", "\n ", 1), f"<b>{text}", f"<em>{text}</em>", f"{text}<br>"])
+            first, _, rest = text.partition(" ")
+            return rng.choice([text, text, text.replace(" ", "\n ", 1), f"<b>{text}", f"<em>{text}</em>", f"{text}<br>", f"<a href='/{word()}'>{first}</a> {rest}" if rest else text])
 
         def part(keep=keep) -> str:
             kind = rng.random()
             if kind < 0.62:
-                return f"<p>{keep(prose())}" + rng.choice(["</p>", "</p>", ""])
+                t = rng.choice(["p", "p", "p", "p", "p", "div"])
+                return f"<{t}>{keep(prose())}" + (rng.choice(["</p>", "</p>", ""]) if t == "p" else "</div>")
             if kind < 0.72:
                 return f"<{(h := rng.choice(['h2', 'h3', 'h4']))}>{keep(words(1, 8).capitalize())}</{h}>"
             if kind < 0.82:
@@ -368,9 +391,20 @@ def labelled_pages(count: int, seed: int) -> Iterator[tuple[str, set[str]]]:
         inner = title + "".join(parts)
         tag = rng.choice(["article", "article", "article", "main", "div", "section"])
         body = f"<{tag}{name(MAIN_NAMES) if tag in ('div', 'section') or rng.random() < 0.3 else ''}>{inner}</{tag}>"
-        if rng.random() < 0.25 and tag != "main":
+        bare = rng.random() < unnamed
+        if bare:
+            if title.startswith("<header"):
+                main.difference_update({" ".join(b.text.split()) for b in leaf_blocks(title)})
+                inner = "".join(parts)
+            box_of = lambda x: rng.choice([f"<div>{x}</div>", f'<div class="{word()}">{x}</div>', f'<div id="{word()}-{word()}">{x}</div>', f"<section>{x}</section>", f"<center>{x}</center>"])
+            body = rng.choice([inner, box_of(inner), box_of(inner), box_of(box_of(inner)), f"<table><tr><td>{inner}</td></tr></table>"])
+            if rng.random() < 0.3:
+                body = f"{links()}{body}" if rng.random() < 0.5 else f"{body}<div>{' | '.join(link() for _ in range(3))}</div>"
+        elif rng.random() < 0.25 and tag != "main":
             body = f"<main>{rng.choice(['', menu()])}{body}{rng.choice(['', comments(), side()])}</main>"
         before = [f() for f in rng.sample([menu, menu, header, advert, notice, form, side], rng.randrange(0, 5))]
         after = [f() for f in rng.sample([comments, side, advert, form, footer, footer, notice, menu], rng.randrange(0, 5))]
+        if bare and rng.random() < 0.2:
+            before, after = [], []
         page = f"<!DOCTYPE html><html><head><title>{words(1, 6)}</title><style>p{{margin:0}}</style><script>var t='<p>';</script></head><body>{''.join(before)}<!-- {words(1, 3)} -->{body}{''.join(after)}</body></html>"
         yield page, main

@@ -28,6 +28,42 @@ def test_held_out_pages(chain):
     assert wrong / n < 0.01 and missed / n < 0.01 and right > 1000
 
 
+def test_held_out_pages_without_a_named_article(chain):
+    f, wrong, right, missed, n = pages.extractor(chain), 0, 0, 0, 0
+    for page, main in pages.labelled_pages(300, seed=78, unnamed=1.0):
+        got = set(f(page).split("\n"))
+        for b in pages.leaf_blocks(page):
+            n += 1
+            right += b.text in got and b.text in main
+            wrong += b.text in got and b.text not in main
+            missed += b.text not in got and b.text in main
+    assert wrong / n < 0.01 and missed / n < 0.01 and right > 1000
+
+
+UNNAMED = [
+    ("<html><body><h1>A title</h1><p>Bare paragraph one goes on a while, with words.</p><p>Second bare paragraph.</p></body></html>", ["A title", "Bare paragraph one goes on a while, with words.", "Second bare paragraph."]),
+    ("<body><div id=nav><a href=/>Home</a> | <a href=/b>Blog</a></div><div><h2>A day out</h2><p>We went to the sea. It was good.</p><ul><li>Sand</li><li>Salt</li></ul></div><div class=footer>Copyright 2020 X</div></body>", ["A day out", "We went to the sea. It was good.", "Sand", "Salt"]),
+    ("<header><a href=/>Site</a></header><div class='c12'><div class='xk'><h1>Hello</h1><p>Text of the story, and it has <a href=x>links</a> inside.</p><blockquote>Quoted words.</blockquote></div></div><aside><h3>Related</h3><ul><li><a href=/>More</a></li></ul></aside><footer>&copy; 2020</footer>", ["Hello", "Text of the story, and it has links inside.", "Quoted words."]),
+    ("<p>One sentence.</p><p>And another one, that is a bit longer.</p>", ["One sentence.", "And another one, that is a bit longer."]),
+    ("Plain text only.", ["Plain text only."]),
+    ("<nav><ul><li><a href=/>Home</a></li></ul></nav><p>First paragraph of the page, no box at all.</p><div class=comments><h3>Comments</h3><article class=comment><p>Nice one, thanks.</p></article></div>", ["First paragraph of the page, no box at all."]),
+    ("<h1>Recipes</h1><div>Mix the flour with water. Stir it well.</div><div>Bake it for an hour.</div><div class='cookie-banner'>We use cookies. <button>OK</button></div>", ["Recipes", "Mix the flour with water. Stir it well.", "Bake it for an hour."]),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), UNNAMED)
+def test_articles_in_plain_boxes_and_bare_paragraphs(chain, page, text):
+    assert pages.extractor(chain)(page) == "\n".join(text)
+
+
+def test_blocks_outside_a_named_article_are_apart():
+    apart = lambda p: [b.apart for b in pages.leaf_blocks(p)]
+    assert apart("<p>a</p><article><p>b</p></article><p>c</p>") == [True, False, True]
+    assert apart("<p>a</p><div class=post-content><p>b</p></div><p>c</p>") == [True, False, True]
+    assert apart("<p>a</p><div class=comments><article><p>b</p></article></div>") == [False, False]
+    assert apart("<p>a</p><article class=comment><p>b</p></article>") == [False, False]
+
+
 def test_articles_of_the_table(chain, sf_dir):
     f = pages.extractor(chain)
     for page in pq.read_table(f"{sf_dir}/pages.parquet")["html"].to_pylist():
