@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,8 @@ from pyspark.sql.window import Window
 
 from flowlens.functions import net
 
+from .periodic import parted
+
 
 def fit_scaler(rows: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
     """One row for each key: mean and population deviation of every feature."""
@@ -176,14 +179,32 @@ def predict_at_hosts(rows: DataFrame, models: dict[tuple[str, str, str], RandomF
     """Adds activity and proba, where each model speaks for one (activity, host_pattern, protocol) of a fingerprint.
 
     A model counts for rows of its own host and protocol only; rows need host
-    and protocol, those that no model claims are unknown with probability 0.
+    and protocol, those that no model claims are unknown with probability 0. Of
+    equal probabilities the last activity by name counts.
+
+    Rows are written once, to a part for each model that they belong to, and a
+    model reads its own part, so no row meets a forest that can't speak for it.
+    Only rows of several models are shuffled. No column may be of type void.
     """
-    out = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep").transform(rows.na.fill(-1, features))
-    scores = []
-    for i, (named, model) in enumerate(models.items()):
-        out = model.setPredictionCol(f"_y{i}").setProbabilityCol(f"_p{i}").setRawPredictionCol(f"_r{i}").transform(out)
-        of = [F.lit(v).alias(c) for v, c in zip(named, ("activity", "host_pattern", "protocol"), strict=True)]
-        scores.append(F.struct(*of, F.get(vector_to_array(F.col(f"_p{i}")), 1).alias("proba"), (F.col(f"_y{i}") == 1).alias("predicted")))
-    best = best_at_host(F.col("host"), F.col("protocol"), F.array(*scores)) if scores else F.lit(None).cast("struct<proba:double,activity:string>")
-    out = out.select(*rows.columns, best.alias("_best"))
-    return out.select(*rows.columns, F.coalesce("_best.activity", F.lit(unknown)).alias("activity"), F.coalesce("_best.proba", F.lit(0.0)).alias("proba"))
+    names = list(models)
+    fits = [F.when((F.col("protocol") == protocol) & net.is_of_pattern(F.col("host"), F.lit(pattern)), F.lit(i)) for i, (_, pattern, protocol) in enumerate(names)]
+    claims = F.array_compact(F.array(*fits)) if fits else F.array().cast("array<int>")
+    kept = rows.select(F.struct(*rows.columns).alias("_row"), claims.alias("_of"), F.monotonically_increasing_id().alias("_id"))
+    asked = parted(kept.select("_row", "_id", (F.size("_of") > 1).alias("_shared"), F.explode_outer("_of").alias("_model")).na.fill(-1, ["_model"]), "_shared", "_model")
+    assemble = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep")
+
+    def scored(i: int, shared: bool) -> DataFrame:
+        mine = asked.where((F.col("_model") == i) & (F.col("_shared") == shared))
+        wide = mine.select("_id", "_row", *[F.coalesce(F.col("_row")[c].cast("double"), F.lit(-1.0)).alias(c) for c in features])
+        out = models[names[i]].setPredictionCol("_y").setProbabilityCol("_p").setRawPredictionCol("_r").transform(assemble.transform(wide))
+        best = F.struct(F.get(vector_to_array("_p"), 1).alias("proba"), F.lit(names[i][0]).alias("activity"))
+        return out.select("_id", "_row", F.when(F.col("_y") == 1, best).alias("_best"))
+
+    none = asked.where("_model = -1").select("_row", F.lit(None).cast("struct<proba:double,activity:string>").alias("_best"))
+    parts = asked.select("_shared", "_model").where("_model >= 0").distinct().collect()  # at most two for each model
+    alone = [scored(r["_model"], False).drop("_id") for r in parts if not r["_shared"]]
+    several = [scored(r["_model"], True) for r in parts if r["_shared"]]
+    if several:
+        alone.append(reduce(DataFrame.unionByName, several).groupBy("_id").agg(F.first("_row").alias("_row"), F.max("_best").alias("_best")).drop("_id"))
+    out = reduce(DataFrame.unionByName, alone, none)
+    return out.select(*[F.col("_row")[c].alias(c) for c in rows.columns], F.coalesce("_best.activity", F.lit(unknown)).alias("activity"), F.coalesce("_best.proba", F.lit(0.0)).alias("proba"))

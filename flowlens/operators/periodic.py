@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -149,11 +150,25 @@ def without_periodic(rows: DataFrame, fingerprints: DataFrame, key: list[str], t
     return rows.join(taken_by_timing(rows, fingerprints, key, ts, tie, most_period).select(*key, tie).distinct(), [*key, tie], "left_anti")
 
 
-def checkpointed(rows: DataFrame) -> DataFrame:
-    """The rows as read from the folder in spark.checkpoint.dir; where that is unset, as in tests, one of this machine."""
+def _shared_folder(rows: DataFrame) -> str:
     spark = rows.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.gettempdir() + "/flowlens-checkpoints")
+        folder = "file://" + tempfile.gettempdir() + "/flowlens-checkpoints"
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def checkpointed(rows: DataFrame) -> DataFrame:
+    """The rows as read from the folder in spark.checkpoint.dir; where that is unset, as in tests, one of this machine."""
+    _shared_folder(rows)
     return rows.checkpoint()
+
+
+def parted(rows: DataFrame, *by: str) -> DataFrame:
+    """The rows as read from a table in that folder with a part for each value of ``by``, so a filter on these reads its own part only."""
+    path = f"{_shared_folder(rows)}/parted-{uuid.uuid4().hex}"
+    rows.write.partitionBy(*by).parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -151,6 +151,31 @@ def test_models_speak_for_their_hosts(spark):
     assert all(r["activity"] == "unknown" and r["proba"] == 0 for r in models.predict_at_hosts(rows, {}, ["f"]).collect())
 
 
+def test_a_row_meets_the_models_of_its_host_only(spark):
+    """Each row's answer is the best of the single models that speak for its host, and a model scans its own part of the rows."""
+    places = [("a.x.com", "TCP"), ("b.x.com", "TCP"), ("b.y.com", "UDP"), ("c.z.org", "TCP"), (None, "TCP"), ("b.y.com", None)]
+    rows = spark.createDataFrame([(n, None if n % 17 == 0 else float(n % 7), float(n % 5), *places[n % 6], "clash") for n in range(420)] * 2, "n int, f double, g double, host string, protocol string, _id string")
+    truths = {"high": F.col("f") > 2, "mid": F.col("g") > 1, "low": F.col("f") < 5}  # most rows have several
+    fitted = {a: models.train_activities(rows.withColumn("label", F.when(is_so, a).otherwise("-")), ["f", "g"], "label", [a], trees=3)[a] for a, is_so in truths.items()}
+    named = {("high", "*.x.com", "TCP"): fitted["high"], ("mid", "b.x.com", "TCP"): fitted["mid"], ("low", "*.x.com", "TCP"): fitted["low"], ("mid", "*.y.com", "UDP"): fitted["mid"], ("low", "no.such.host", "TCP"): fitted["low"]}
+    out = models.predict_at_hosts(rows, named, ["f", "g"])
+    assert out.columns == [*rows.columns, "activity", "proba"]
+    single = {}
+    for (activity, pattern, protocol), model in named.items():
+        for r in models.predict_activities(rows.where("n is not null").distinct(), {activity: model}, ["f", "g"]).collect():
+            fits = r["protocol"] == protocol and r["host"] is not None and (r["host"] == pattern or (pattern.startswith("*") and r["host"].endswith(pattern[2:])))
+            if fits and r["activity"] == activity:
+                single.setdefault(r["n"], []).append((r["proba"], activity))
+    got = out.collect()
+    assert sorted(r["n"] for r in got) == sorted([*range(420)] * 2)
+    for r in got:
+        proba, activity = max(single.get(r["n"], [(0.0, "unknown")]))
+        assert r["activity"] == activity and r["proba"] == pytest.approx(proba, abs=1e-12)
+    assert sum(len(v) > 1 for v in single.values()) > 10
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PartitionFilters: [isnotnull(_model") >= 3 and "no.such.host" not in plan
+
+
 def test_ranked_equals_one_window(spark):
     from flowlens.operators import summaries
 
