@@ -40,7 +40,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shard_rows
     shard is then queried with the vectors of every shard of its label, both
     directions of a pair of shards at once. A query task compares a sample of
     its queries, and made ones that have links for certain, with brute force and
-    doubles its beams until the recall holds.
+    doubles its beams until the recall holds; where it never does, the task
+    compares its queries with every vector of the shard.
     Tasks return sums and one row for each linked vector, never pairs.
     """
     good = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0), F.lit(False))
@@ -141,8 +142,9 @@ def links_of(graph: Graph, units: np.ndarray, from_reps: np.ndarray, from_ns: np
 
     What a query finds is verified in double precision and goes at once into
     counts and a union-find, so memory follows the vectors and never the links.
+    Where no beam passes the audit, each query is compared with the whole shard.
     """
-    beam, _ = audited_beam(graph, units, queries, threshold, same)
+    beam, recall = audited_beam(graph, units, queries, threshold, same)
     narrow = queries.astype(np.float32)
     at = 0 if same else len(queries)
     ids = reps if same else np.concatenate([from_reps, reps])
@@ -155,7 +157,10 @@ def links_of(graph: Graph, units: np.ndarray, from_reps: np.ndarray, from_ns: np
         return above
 
     for i in range(len(queries)):
-        found = np.array(graph.within(narrow[i], threshold - SLACK, beam), dtype=np.int64)
+        if recall >= RECALL:
+            found = np.array(graph.within(narrow[i], threshold - SLACK, beam), dtype=np.int64)
+        else:
+            found = np.flatnonzero(units @ queries[i] >= threshold)
         if same:
             found = found[found > i]
         if len(found):

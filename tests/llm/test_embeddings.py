@@ -3,6 +3,7 @@ from __future__ import annotations
 import tracemalloc
 
 import numpy as np
+import pytest
 
 from flowlens.llm import embeddings
 from flowlens.llm.hnsw import Graph
@@ -96,6 +97,30 @@ def test_audit_has_links_where_the_table_has_none():
     assert beam >= len(units) and recall < embeddings.RECALL
 
 
+@pytest.mark.parametrize("same", [True, False])
+def test_shards_whose_graph_fails_the_audit_are_answered_whole(same):
+    rng = np.random.default_rng(11)
+    centres = np.repeat(rng.normal(size=(60, 24)), 10, axis=0)
+    units = embeddings.unit_vectors(centres + rng.normal(size=centres.shape) * 0.04)
+    others = units if same else embeddings.unit_vectors(centres[::2] + rng.normal(size=(300, 24)) * 0.04)
+    graph = Graph(units)
+    graph.degree[:] = 0
+    assert embeddings.audited_beam(graph, units, others, 0.98, same)[1] < embeddings.RECALL
+    ids, mine = np.arange(len(units)), np.arange(len(others)) + (0 if same else 1000)
+    ns, counts = rng.integers(1, 4, len(units)), rng.integers(1, 4, len(others))
+    counts = ns if same else counts
+    out = embeddings.links_of(graph, units, mine, counts, others, ids, ns, 0.98, same=same).set_index("rep")
+    near = units @ others.T >= 0.98
+    if same:
+        np.fill_diagonal(near, False)
+        want = {i: int(ns[near[i]].sum()) for i in ids if near[i].any()}
+    else:
+        want = {i: int(counts[near[i]].sum()) for i in ids if near[i].any()} | {int(m): int(ns[near[:, j]].sum()) for j, m in enumerate(mine) if near[:, j].any()}
+    assert len(want) > 100 and out["n_links"].to_dict() == want
+    for rep, root in out["root"].items():  # groups lie far from each other
+        assert root <= rep and (root // 10 == rep // 10 if rep < 1000 else root // 10 == (rep - 1000) // 5)
+
+
 def test_memory_follows_vectors_not_links():
     rng = np.random.default_rng(4)
     n = 3000
