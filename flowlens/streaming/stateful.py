@@ -1,6 +1,6 @@
-"""Host resolution and burst splitting on streams, with keyed state and event-time timers.
+"""Host resolution, burst splitting and watched machines on streams, with keyed state and event-time timers.
 
-Both need Spark's RocksDB state store: set spark.sql.streaming.stateStore.providerClass
+All need Spark's RocksDB state store: set spark.sql.streaming.stateStore.providerClass
 to org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider. Rows
 behind the watermark are late and are dropped, names as well as packets.
 """
@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from flowlens.operators.monitor import WATCHED, WEEK, Monitor
+
 RESOLVED = "device string, ip string, frame_num long, ts double, name string, outcome string"
 BURSTS = "flow string, burst long, burst_start double, burst_end double, n_packets long, n_bytes long"
 
@@ -161,3 +163,78 @@ def burst_stream(packets: DataFrame, keys: list[str], gap: float, late: str) ->
     out = rows.groupBy("flow").transformWithStateInPandas(BurstCloser(gap), BURSTS, "Append", "EventTime")
     kinds = ", ".join(f"`{k}` {packets.schema[k].dataType.simpleString()}" for k in keys)
     return out.withColumn("_k", F.from_json("flow", kinds)).select("_k.*", "burst", "burst_start", "burst_end", "n_packets", "n_bytes")
+
+
+class MachineWatcher(StatefulProcessor):
+    """Steps of one machine; a batch reads and writes the state of the sources it has steps from, weekly upkeep that of all."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.sources = handle.getMapState("sources", "src string", "dst array<string>, cnt array<double>, watched array<string>, p array<double>, n array<double>, low array<double>, high array<double>")
+        self.clock = handle.getValueState("clock", "week double, month double")
+
+    def _monitor(self) -> Monitor:
+        out = Monitor()
+        if self.clock.exists():
+            out.week, out.month = self.clock.get()
+        return out
+
+    def _take(self, monitor: Monitor, src: str, held) -> None:
+        if src in monitor.counts or held is None:
+            return
+        monitor.counts[src] = {d: float(c) for d, c in zip(held[0], held[1], strict=True)}
+        for d, p, n, low, high in zip(*held[2:], strict=True):
+            monitor.accepted[src, d], monitor.limits[src, d] = (p, n), (low, high)
+
+    def _kept(self, monitor: Monitor, now: float) -> bool:
+        """Whether upkeep was due at ``now``, which takes the state of all sources."""
+        if monitor.week is not None and now - monitor.week > WEEK:
+            for (src,), held in list(self.sources.iterator()):
+                self._take(monitor, src, held)
+        week = monitor.week
+        monitor.maintain(now)
+        return monitor.week != week
+
+    def _put(self, monitor: Monitor) -> None:
+        for src, to in monitor.counts.items():
+            watched = [d for d in to if (src, d) in monitor.limits]
+            of = [(*monitor.accepted[src, d], *monitor.limits[src, d]) for d in watched]
+            self.sources.updateValue((src,), (list(to), list(map(float, to.values())), watched, *[[float(x[i]) for x in of] for i in range(4)]))
+        self.clock.update((monitor.week, monitor.month))
+
+    def _wake(self, monitor: Monitor, mark: int) -> None:
+        self.handle.registerTimer(max(_ms(monitor.week + WEEK), mark) + 1)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        mark, monitor, due, out = timerValues.getCurrentWatermarkInMs(), self._monitor(), False, []
+        steps = pd.concat([frame[["time", "src", "dst"]] for frame in rows]).sort_values(["time", "src", "dst"], kind="stable")
+        for now, src, dst in steps.loc[steps["time"] >= mark / 1000].itertuples(index=False):
+            due |= self._kept(monitor, now)
+            if src not in monitor.counts:
+                self._take(monitor, src, self.sources.getValue((src,)))
+            out.append((*key, now, src, dst, *monitor.step(src, dst)))
+        if out:
+            self._put(monitor)
+        if due:
+            self._wake(monitor, mark)
+        yield pd.DataFrame(out, columns=["machine", "time", "src", "dst", "prob", "z", "alert"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark, monitor = timerValues.getCurrentWatermarkInMs(), self._monitor()
+        if self._kept(monitor, mark / 1000):  # else upkeep came with a step, which set a later timer
+            self._put(monitor)
+            self._wake(monitor, mark)
+        yield pd.DataFrame()
+
+    def close(self) -> None:
+        pass
+
+
+def watched_by_source(steps: DataFrame, by: str, time: str, late: str) -> DataFrame:
+    """The rows of ``streams.watched_updates``, with state kept by source: a batch costs its own sources, not the whole machine.
+
+    Steps (``time``, src, dst) behind the watermark, ``late`` behind the newest,
+    don't count; sources and ends of steps must not be null.
+    """
+    rows = steps.select(F.col(by).cast("string").alias("machine"), F.col(time).alias("at"), "src", "dst").withColumn("time", F.unix_micros("at") / 1e6).withWatermark("at", late)
+    return rows.groupBy("machine").transformWithStateInPandas(MachineWatcher(), WATCHED, "Append", "EventTime")
