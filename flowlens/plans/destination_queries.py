@@ -23,7 +23,7 @@ c as (select device, category, count_if(party = 1)::bigint as first, count_if(pa
 def _destinations(spark, sf_dir):
     t = {n: read(spark, sf_dir, n) for n in ("lineitem", "orders", "customer", "supplier", "nation")}
     rows = t["lineitem"].join(t["orders"], F.col("o_orderkey") == F.col("l_orderkey")).join(t["customer"], F.col("c_custkey") == F.col("o_custkey")).join(t["supplier"], F.col("s_suppkey") == F.col("l_suppkey"))
-    rows = rows.join(F.broadcast(t["nation"]), F.col("n_nationkey") == F.col("c_nationkey") % 5)
+    rows = rows.join(t["nation"], F.col("n_nationkey") == F.col("c_nationkey") % 5)
     own = F.when(F.col("s_nationkey") == F.col("c_nationkey"), F.array("s_name")).otherwise(F.array().cast("array<string>"))
     return rows.select(F.col("c_mktsegment").alias("device"), F.col("n_name").alias("category"), F.col("s_name").alias("org"), "o_orderkey", "l_linenumber", summaries.party(F.col("s_name"), own, SUPPORT).alias("party"))
 
