@@ -145,3 +145,32 @@ def test_rows_without_a_cell_have_no_cluster(spark):
     got = models.assign_clusters(df, cores, ["k"], ["x", "y"], 1.0)
     assert got.columns == ["k", "x", "y", "cluster"]
     assert sorted(map(tuple, got.collect()), key=repr) == sorted([("k", 1.0, 2.0, 3), ("k", None, 2.0, -1), (None, 1.0, 2.0, -1), ("j", 1.0, 2.0, -1)], key=repr)
+
+
+def test_crowded_cells_take_few_distances(monkeypatch):
+    import numpy as np
+
+    rng, taken = np.random.default_rng(5), []
+    near = grid._near
+
+    def counted(points, others, *args):
+        for part, hits in near(points, others, *args):
+            taken.append(hits.size)
+            yield part, hits
+
+    monkeypatch.setattr(grid, "_near", counted)
+    at = np.concatenate([rng.uniform(0, 9, (20_000, 2)), rng.uniform(0, 9, (5000, 2)) + [10.1, 0], [[30.0, 30.0], [1e150, 1e150]]])
+    label = grid._joined_cells(at, 1.0)
+    assert len(set(label[:20_000])) == len(set(label[20_000:25_000])) == 1 and len(set(label)) == 4
+    assert sum(taken) < 20 * len(at)  # of 625 million pairs
+    for width in (1, 2, 3, 9):
+        few = rng.uniform(-3, 3, (300, width)).round(1)
+        got = {}
+        for point, k in zip(few, grid._joined_cells(few, 0.5 * width), strict=True):
+            got.setdefault(k, set()).add(tuple(point))
+        assert {frozenset(p) for p in got.values()} == brute_cores(few.tolist(), 0.5 * width, 1)
+
+
+def test_values_that_are_not_finite_have_no_cluster(spark):
+    df = spark.createDataFrame([("d", x, 1.0) for x in (0.0, 0.5, float("nan"), float("nan"), float("inf"), float("inf"))], "k string, x double, y double")
+    assert sorted(r["point"] for r in grid.grid_clusters(df, ["k"], ["x", "y"], eps=1.0, least=2).collect()) == [[0.0, 1.0], [0.5, 1.0]]
