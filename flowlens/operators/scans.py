@@ -47,7 +47,11 @@ def sliced(rows: DataFrame, keys: list[str], ts: str, cuts: DataFrame | None) ->
     if cuts is None:
         return rows.withColumn("_slice", F.lit(-1))
     placed = _joined(rows, cuts, keys, cuts.count())
-    return placed.withColumn("_slice", F.when(F.col("_cuts").isNull(), -1).otherwise(F.size(F.filter("_cuts", lambda c: c < F.col(ts))))).drop("_cuts")
+    # By halves: a look at each cut would cost rows times slices, and slices grow with rows.
+    halves = F.array(*[F.lit(1 << i) for i in reversed(range(MOST_SLICES.bit_length()))])
+    cut = lambda n: F.get("_cuts", n - 1)
+    below = F.aggregate(halves, F.lit(0), lambda n, step: F.when(cut(n + step) < F.col(ts), n + step).otherwise(n))
+    return placed.withColumn("_slice", F.when(F.col("_cuts").isNull(), -1).otherwise(below)).drop("_cuts")
 
 
 def carried(rows: DataFrame, keys: list[str], cuts: DataFrame | None, states: list[Column], carry: Callable[[DataFrame, WindowSpec], DataFrame], empty: dict[str, str]) -> DataFrame:

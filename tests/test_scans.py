@@ -52,3 +52,17 @@ def test_one_device_spreads_over_all_partitions(spark):
 def test_keys_that_fit_one_task_have_no_cuts(spark):
     rows = spark.createDataFrame(made(3, 50), "device string, ts double, frame_num long")
     assert scans.hot_cuts(rows, ["device"], "ts") is None and scans.hot_cuts(rows.limit(0), ["device"], "ts", 1) is None
+
+
+def test_a_row_looks_at_few_cuts(spark):
+    values = [None, float("nan"), -1.0, 0.0, 0.5, 1.0, 2.0, 7.0, 7.5, 998.0, 998.5, 1e9]
+    rows = spark.createDataFrame([(k, v) for k in ("a", "b", "c", None) for v in values], "k string, t double")
+    made = {"a": [float(i) for i in range(scans.MOST_SLICES - 1)], "b": [2.0, 2.0, 7.0], None: [0.0]}
+    cuts = spark.createDataFrame(list(made.items()), "k string, _cuts array<double>")
+    out = scans.sliced(rows, ["k"], "t", cuts)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" in plan and "filter(_cuts" not in plan
+    for r in out.collect():
+        t, mine = r["t"], made.get(r["k"])
+        want = -1 if mine is None else 0 if t is None else len(mine) if t != t else sum(c < t for c in mine)
+        assert r["_slice"] == want, r
