@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import scans
 from .periodic import checkpointed
 from .traces import INITIAL, TERMINAL
 
@@ -75,14 +76,20 @@ def tail_nodes(traces: DataFrame, keys: list[str], pos: str, event: str, k: int)
     return rows.withColumn("node", F.concat_ws(THEN, "label", *[F.lead("label", i).over(w) for i in range(1, k + 1)]))
 
 
-def machine_of(nodes: DataFrame, keys: list[str]) -> DataFrame:
+def machine_of(nodes: DataFrame, keys: list[str], most: int | None = None) -> DataFrame:
     """src, dst, src_label, dst_label, cnt, total and prob of every step between nodes, from the initial one on.
 
     ``nodes`` is one row for each event as from ``tail_nodes`` or ``refined_nodes``.
+    With ``most``, traces of more rows than that are cut in slices, each of
+    which takes over the last node before it.
     """
-    w = Window.partitionBy(*keys).orderBy("pos")
-    prior = lambda c: F.coalesce(F.lag(c).over(w), F.lit(INITIAL))
-    steps = nodes.select(prior("node").alias("src"), prior("label").alias("src_label"), F.col("node").alias("dst"), F.col("label").alias("dst_label"))
+    cuts = scans.hot_cuts(nodes, keys, "pos", most) if most else None
+    rows = scans.dealt(scans.sliced(nodes, keys, "pos", cuts), keys, cuts)
+    last = lambda table, w: table.withColumn("_last", F.last("_end", ignorenulls=True).over(scans.before(w)))
+    rows = scans.carried(rows, keys, cuts, [F.max_by(F.struct("node", "label"), "pos").alias("_end")], last, {"_last": "struct<node:string,label:string>"})
+    w = Window.partitionBy(*keys, "_slice").orderBy("pos")
+    prior = lambda c: F.coalesce(F.when(F.row_number().over(w) == 1, F.col("_last")[c]).otherwise(F.lag(c).over(w)), F.lit(INITIAL))
+    steps = rows.select(prior("node").alias("src"), prior("label").alias("src_label"), F.col("node").alias("dst"), F.col("label").alias("dst_label"))
     counts = steps.groupBy("src", "dst", "src_label", "dst_label").agg(F.count("*").alias("cnt"))
     total = F.sum("cnt").over(Window.partitionBy("src"))
     return counts.withColumn("total", total).withColumn("prob", F.col("cnt") / F.col("total"))
@@ -128,7 +135,7 @@ def breaking_nodes(machine: DataFrame, invariants: DataFrame) -> DataFrame:
     return checkpointed(onward.join(back, ["kind", "avoid", "node"]))
 
 
-def refined_nodes(traces: DataFrame, keys: list[str], pos: str, event: str, invariants: DataFrame, k: int = 0) -> DataFrame:
+def refined_nodes(traces: DataFrame, keys: list[str], pos: str, event: str, invariants: DataFrame, k: int = 0, most: int | None = None) -> DataFrame:
     """Nodes as from ``tail_nodes``, split so that no path of their machine breaks an invariant (AlwaysFollowedBy or AlwaysPrecedes) of the traces.
 
     A node on a path that breaks an invariant is split by whether the label that
@@ -139,7 +146,7 @@ def refined_nodes(traces: DataFrame, keys: list[str], pos: str, event: str, inva
     bits. What is joined are an event and the invariants that break at its node.
     """
     nodes = checkpointed(tail_nodes(traces, keys, pos, event, k))
-    breaking = breaking_nodes(machine_of(nodes, keys), invariants).where(~F.col("node").isin(INITIAL, TERMINAL))
+    breaking = breaking_nodes(machine_of(nodes, keys, most), invariants).where(~F.col("node").isin(INITIAL, TERMINAL))
     met = nodes.join(breaking, "node")
     at = label_places(traces, keys, pos, event)
     seen = met.alias("x").join(at.alias("y"), _same(keys, "x", "y") & (F.col("x.avoid") == F.col("y.label")), "left")

@@ -54,6 +54,14 @@ def sliced(rows: DataFrame, keys: list[str], ts: str, cuts: DataFrame | None) ->
     return placed.withColumn("_slice", F.when(F.col("_cuts").isNull(), -1).otherwise(below)).drop("_cuts")
 
 
+def dealt(rows: DataFrame, keys: list[str], cuts: DataFrame | None, slices: int = 5) -> DataFrame:
+    """Sliced rows in about ``slices`` slices a task, however many tasks that takes, so a task's memory doesn't follow the rows."""
+    if cuts is None:
+        return rows
+    n = cuts.agg(F.sum(F.size("_cuts") + 1)).first()[0]
+    return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // slices)), *keys, "_slice")
+
+
 def carried(rows: DataFrame, keys: list[str], cuts: DataFrame | None, states: list[Column], carry: Callable[[DataFrame, WindowSpec], DataFrame], empty: dict[str, str]) -> DataFrame:
     """Adds to each row of a sliced key what its slice takes over from the key's others, null for other keys.
 

@@ -4,19 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
+
+from . import scans
 
 TERMINAL = "TERMINAL"
 INITIAL = "INITIAL"
 
 
-def split_traces(events: DataFrame, keys: list[str], ts: str, tie: str, gap: float) -> DataFrame:
-    """Adds trace (from 0 in each key), pos (from 0 in the trace) and rel_ts; a trace ends where a gap exceeds ``gap``."""
-    w = Window.partitionBy(*keys).orderBy(ts, tie)
-    opens = F.coalesce((F.col(ts) - F.lag(ts).over(w) > gap).cast("int"), F.lit(0))
-    rows = events.withColumn("_opens", opens).withColumn("trace", F.sum("_opens").over(w).cast("long")).drop("_opens")
-    t = Window.partitionBy(*keys, "trace").orderBy(ts, tie)
-    return rows.withColumn("pos", (F.row_number().over(t) - 1).cast("long")).withColumn("rel_ts", F.col(ts) - F.min(ts).over(Window.partitionBy(*keys, "trace")))
+def split_traces(events: DataFrame, keys: list[str], ts: str, tie: str, gap: float, cuts: DataFrame | None = None) -> DataFrame:
+    """Adds trace (from 0 in each key), pos (from 0 in the trace) and rel_ts; a trace ends where a gap exceeds ``gap``.
+
+    ``cuts``, from ``scans.hot_cuts`` for the same keys, spreads each large key
+    over many tasks, also where it is one trace; a slice then takes over the
+    traces before it, and the start and rows of the one that is open.
+    """
+    rows = scans.previous_time(scans.sliced(events, keys, ts, cuts).transform(lambda df: scans.dealt(df, keys, cuts)), keys, ts, tie, cuts)
+    rows = rows.withColumn("_opens", F.coalesce((F.col(ts) - F.col("_before") > gap).cast("int"), F.lit(0)))
+    rows = rows.withColumn("_in", F.sum("_opens").over(Window.partitionBy(*keys, "_slice").orderBy(ts, tie)).cast("long")).drop("_opens", "_before")
+    part = Window.partitionBy(*keys, "_slice", "_in")
+    rows = rows.withColumns({"_at": F.row_number().over(part.orderBy(ts, tie)).cast("long"), "_start": F.min(ts).over(part)})
+
+    def carry(table: DataFrame, w: WindowSpec) -> DataFrame:
+        table = table.select("*", F.sum("_z._in").over(scans.before(w)).alias("_traces"), F.sum((F.col("_z._in") > 0).cast("int")).over(w).alias("_g"))
+        g = Window.partitionBy(*keys, "_g").orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)
+        table = table.select("*", F.sum("_z._at").over(g).alias("_held"), F.min("_z._start").over(g).alias("_from"))
+        return table.select("*", F.lag("_held").over(w).alias("_rows"), F.lag("_from").over(w).alias("_since"))
+
+    states = [F.max_by(F.struct("_in", "_at", "_start"), F.struct(ts, tie)).alias("_z")]
+    rows = scans.carried(rows, keys, cuts, states, carry, {"_traces": "long", "_rows": "long", "_since": events.schema[ts].dataType.simpleString()})
+    goes_on = F.col("_in") == 0
+    pos = F.col("_at") - 1 + F.when(goes_on, F.coalesce("_rows", F.lit(0))).otherwise(0)
+    start = F.when(goes_on, F.coalesce("_since", "_start")).otherwise(F.col("_start"))
+    rows = rows.withColumns({"trace": F.col("_in") + F.coalesce("_traces", F.lit(0)), "pos": pos.cast("long"), "rel_ts": F.col(ts) - start})
+    return rows.drop("_slice", "_in", "_at", "_start", "_traces", "_rows", "_since")
 
 
 def session_counts(events: DataFrame, keys: list[str], time: str, gap: str) -> DataFrame:

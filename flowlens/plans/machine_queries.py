@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowlens.operators import machine, traces
+from flowlens.operators import machine, scans, traces
 
 from .inputs import PACKETS_SQL, packets
 from .registry import registry
@@ -14,6 +14,8 @@ QUERIES, ORACLE_SQL, query = registry()
 GAP = 14_400.0
 #: Traces that start before this time train the machine.
 CUT = 1_705_500_000.0
+#: Rows of a slice of a device.
+SLICE = 50_000
 _TRACES = f"""with {PACKETS_SQL},
 o as (select frame_num, device, ts, event_type, coalesce((ts - lag(ts) over w > {GAP})::int, 0) as opens from p window w as (partition by device order by ts, frame_num)),
 n as (select *, (sum(opens) over (partition by device order by ts, frame_num))::bigint as trace from o),
@@ -28,7 +30,7 @@ x as (select device, trace, started, count(*) as n_steps, count_if(prob is null)
 
 def _traces(spark, sf_dir):
     rows = packets(spark, sf_dir).select("frame_num", "device", "ts", "event_type")
-    rows = traces.split_traces(rows, ["device"], "ts", "frame_num", GAP)
+    rows = traces.split_traces(rows, ["device"], "ts", "frame_num", GAP, scans.hot_cuts(rows, ["device"], "ts", SLICE))
     return rows.withColumn("started", F.round(F.col("ts") - F.col("rel_ts"), 6))
 
 

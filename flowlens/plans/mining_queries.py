@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowlens.operators import mining, monitor, traces
+from flowlens.operators.periodic import checkpointed
 
-from .machine_queries import _TRACES, CUT, _traces
+from .machine_queries import _TRACES, CUT, SLICE, _traces
 from .registry import registry
 
 QUERIES, ORACLE_SQL, query = registry()
@@ -60,9 +61,10 @@ def mined_machine(spark, sf_dir):
 @query()
 def refined_machine(spark, sf_dir):
     """One node a label, split until the mined invariants hold on every path; SQL has no such loop."""
-    rows = _ended(spark, sf_dir)
+    rows = checkpointed(_ended(spark, sf_dir))
     held = mining.mined_invariants(rows, _KEYS, "pos", "event_type")
-    return mining.machine_of(mining.refined_nodes(rows, _KEYS, "pos", "event_type", held), _KEYS)
+    nodes = checkpointed(mining.refined_nodes(rows, _KEYS, "pos", "event_type", held, most=SLICE))
+    return mining.machine_of(nodes, _KEYS, SLICE)
 
 
 @query()

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from flowlens.operators import flows, lookups, periodic, scans
+from flowlens.operators import flows, lookups, mining, periodic, scans, traces
 
 
 def made(seed, n=900):
@@ -66,3 +66,14 @@ def test_a_row_looks_at_few_cuts(spark):
         t, mine = r["t"], made.get(r["k"])
         want = -1 if mine is None else 0 if t is None else len(mine) if t != t else sum(c < t for c in mine)
         assert r["_slice"] == want, r
+
+
+@pytest.mark.parametrize("gap", [9.0, 29.0, 1e9])
+def test_slices_change_no_trace(spark, gap):
+    rows = spark.createDataFrame(made(4), "device string, ts double, frame_num long").repartition(5)
+    cuts = scans.hot_cuts(rows, ["device"], "ts", 40)
+    plain, cut = traces.split_traces(rows, ["device"], "ts", "frame_num", gap), traces.split_traces(rows, ["device"], "ts", "frame_num", gap, cuts)
+    same(plain, cut)
+    keys = ["device", "trace"]
+    nodes = plain.selectExpr("device", "trace", "pos", "concat('l', frame_num % 5) as label", "concat('n', frame_num % 7) as node")
+    same(mining.machine_of(nodes, keys), mining.machine_of(nodes, keys, 30))
