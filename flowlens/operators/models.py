@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from flowlens.functions import net
 
-from .periodic import parted
+from .periodic import checkpointed, parted
 
 
 def fit_scaler(rows: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
@@ -147,6 +147,11 @@ def undersample(negatives: DataFrame, n_positive: int, seed: int, floor: int = 3
     return rows.where(F.col("_range") < last["_range"]).select(*columns).unionByName(edge.select(*columns))
 
 
+def dealt_for_training(rows: DataFrame, order: str, most: int = 250_000) -> DataFrame:
+    """The rows in parts of about ``most``, four at least, sorted by ``order`` and written once for all forests; rows of equal parts give equal forests."""
+    return checkpointed(rows.repartition(max(4, -(-rows.count() // most)), order).sortWithinPartitions(order))
+
+
 def train_activities(rows: DataFrame, features: list[str], label: str, activities: list[str], trees: int = 20, seed: int = 100) -> dict[str, RandomForestClassificationModel]:
     """One forest for each activity against the rest."""
     data = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep").transform(rows.na.fill(-1, features)).withColumns({f"_y{i}": (F.col(label) == a).cast("double") for i, a in enumerate(activities)})

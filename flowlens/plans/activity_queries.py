@@ -113,7 +113,7 @@ def density_clusters(spark, sf_dir):
 def activity_forests(spark, sf_dir):
     """One forest for each event type over frame features, scored on the rows left out; no SQL grows trees."""
     rows = packets(spark, sf_dir).select("frame_num", "event_type", F.col("frame_len").cast("double").alias("x1"), (F.crc32("event_type") % 50 + F.col("frame_num") % 7).cast("double").alias("x2"))
-    fitted = models.train_activities(rows.where("frame_num % 3 <> 0").repartition(4, "frame_num").sortWithinPartitions("frame_num"), ["x1", "x2"], "event_type", ["view", "click", "error", "purchase", "signup"], trees=100)
+    fitted = models.train_activities(models.dealt_for_training(rows.where("frame_num % 3 <> 0"), "frame_num"), ["x1", "x2"], "event_type", ["view", "click", "error", "purchase", "signup"], trees=100)
     out = models.predict_activities(rows.where("frame_num % 3 = 0"), fitted, ["x1", "x2"])
     return out.select("frame_num", "event_type", "activity", F.round("proba", 6).alias("proba"))
 
@@ -222,7 +222,7 @@ def forest_host_predictions(spark, sf_dir):
     """A forest for each activity, host pattern and protocol, each speaking for rows of its own host only; no SQL grows trees."""
     rows = packets(spark, sf_dir).where("host <> ''").select("frame_num", "event_type", "host", net.transport(F.col("protocol")).alias("protocol"), F.col("frame_len").cast("double").alias("x1"), (F.crc32("event_type") % 50 + F.col("frame_num") % 7).cast("double").alias("x2"))
     named = [("view", "*.example.com", "TCP"), ("click", "cdn.example.net", "TCP"), ("purchase", "*.example.com", "TCP"), ("signup", "time.example.org", "UDP")]
-    data = rows.where("frame_num % 3 <> 0").repartition(4, "frame_num").sortWithinPartitions("frame_num")
+    data = models.dealt_for_training(rows.where("frame_num % 3 <> 0"), "frame_num")
     fitted = models.train_activities(data, ["x1", "x2"], "event_type", sorted({a for a, *_ in named}), trees=20)
     out = models.predict_at_hosts(rows.where("frame_num % 3 = 0"), {n: fitted[n[0]] for n in named}, ["x1", "x2"])
     return out.select("frame_num", "host", "protocol", "activity", F.round("proba", 6).alias("proba"))

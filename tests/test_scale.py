@@ -22,3 +22,7 @@ def test_passes_of_fingerprints_do_not_double_the_plan(spark):
     left = periodic.without_periodic(rows, prints, ["device", "protocol"], "t", "id")
     assert len(left._jdf.queryExecution().optimizedPlan().toString()) < 20_000
     assert 0 <= left.count() <= 200
+
+
+def test_training_rows_are_dealt_to_more_tasks_as_they_grow(spark):
+    assert [models.dealt_for_training(spark.range(n), "id", 100).rdd.getNumPartitions() for n in (50, 1000)] == [4, 10]
