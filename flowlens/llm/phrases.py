@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +23,8 @@ DEPTH = 2
 BLOCKS = 64
 #: Least and most cells of a sketch row. Between them it has about one for eight bytes of text, and a bit for each goes to all tasks.
 CELLS = (1 << 20, 1 << 27)
-#: Phrases that a task counts before it hands them on.
-HELD = 1 << 19
+#: Phrases that a task counts before it hands the rarer ones on, and most rows that it hands on at once.
+HELD, BATCH = 1 << 20, 1 << 16
 #: Bytes of text that a task looks at in one go.
 CHUNK = 1 << 21
 
@@ -230,16 +231,78 @@ def _sketch(rows: DataFrame, lengths: tuple[int, ...], size: int, least: int, sh
     return Survivors(bits, size)
 
 
+class Held:
+    """Counts of phrases of one language and length in the order of their first hash, and each phrase's words from where it was met first."""
+
+    def __init__(self):
+        self.one, self.two = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.f, self.phrases = np.zeros(0, np.int64), np.zeros(0, object)
+
+    def add(self, chunk: Chunk, n: int, places: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[list[str], list[int]]:
+        """Counts n-grams of a chunk. Returned with their counts are those that equal another phrase in the first hash only, which aren't held."""
+        _, first, back, found = np.unique(one, return_index=True, return_inverse=True, return_counts=True)
+        apart = two != two[first[back]]
+        phrases, fs = [chunk.phrase(p, n) for p in places[apart].tolist()], [1] * int(apart.sum())
+        if phrases:
+            places, one, two = places[~apart], one[~apart], two[~apart]
+            _, first, found = np.unique(one, return_index=True, return_counts=True)
+        places, one, two = places[first], one[first], two[first]
+        at = np.searchsorted(self.one, one)
+        met = at < len(self.one)
+        met[met] = self.one[at[met]] == one[met]
+        same = met.copy()
+        same[met] = self.two[at[met]] == two[met]
+        self.f[at[same]] += found[same]
+        new, other = ~met, met & ~same
+        if new.any():
+            words = np.array([chunk.phrase(p, n) for p in places[new].tolist()], object)
+            self.one, self.two, self.f, self.phrases = (np.insert(a, at[new], b) for a, b in ((self.one, one[new]), (self.two, two[new]), (self.f, found[new]), (self.phrases, words)))
+        return phrases + [chunk.phrase(p, n) for p in places[other].tolist()], fs + found[other].tolist()
+
+    def taken(self, on: np.ndarray) -> tuple[list[str], list[int]]:
+        """Phrases and counts at ``on``, which are held no longer."""
+        out = self.phrases[on].tolist(), self.f[on].tolist()
+        self.one, self.two, self.f, self.phrases = (a[~on] for a in (self.one, self.two, self.f, self.phrases))
+        return out
+
+
+def _counts(batches: Iterator[pa.RecordBatch], longest: int, short: Survivors, long: Survivors | None) -> Iterator[pa.RecordBatch]:
+    """One row for each phrase of all batches that the sketches keep; more for rare ones, where there are more than ``HELD``. A language's words are its row of no words."""
+    held, words = defaultdict(Held), Counter()
+
+    def out(lang: str, n: int, phrases: list[str], fs: list[int]) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(fs), BATCH):
+            part = fs[at : at + BATCH]
+            columns = [pa.array([lang] * len(part), pa.string()), pa.array(np.full(len(part), n, np.int32)), pa.array(phrases[at : at + BATCH], pa.string()), pa.array(part, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "n_words", "phrase", "f"])
+
+    for chunk in _chunks(batches):
+        words[chunk.lang] += len(chunk.starts)
+        for n, places, (one, two) in _levels(chunk, tuple(range(1, longest + 1)), short, long):
+            if len(places):
+                yield from out(chunk.lang, n, *held[chunk.lang, n].add(chunk, n, places, one, two))
+        if sum(len(h.f) for h in held.values()) >= HELD:
+            for (lang, n), h in held.items():
+                if len(h.f):
+                    yield from out(lang, n, *h.taken(h.f <= np.median(h.f)))
+    for (lang, n), h in held.items():
+        yield from out(lang, n, *h.taken(np.ones(len(h.f), bool)))
+    for lang, n in words.items():
+        yield from out(lang, 0, [""], [n])
+
+
 def frequent_ngrams(docs: DataFrame, longest: int = LONGEST, least: int = LEAST_COUNT, cells: tuple[int, int] = CELLS) -> tuple[DataFrame, DataFrame]:
     """All phrases of 1 to ``longest`` words with at least ``least`` occurrences: lang, n_words, phrase, f; and lang, n, the words of each language.
 
     Two sketches are made, of one and two words, then of longer phrases all of
     whose pairs the first one keeps; both only overestimate, so nothing frequent
-    is lost. The exact pass counts what both keep, first in each chunk of text,
-    where 128 bits of hash tell phrases apart, then by phrase in a task and in Spark. Null
-    texts are empty, null languages are ``und``. A sketch too small for its
-    corpus lets more phrases through and changes no result; ``cells`` sets the
-    least and most cells of a row. A piece longer than ``CHUNK`` bytes is read whole.
+    is lost. The exact pass counts what both keep, first in a task, where 128
+    bits of hash tell phrases apart, then by phrase in Spark. A task hands on a
+    row a phrase whatever it read, so there is one task for each core and not
+    for each part of the input. Null texts are empty, null languages are
+    ``und``. A sketch too small for its corpus lets more phrases through and
+    changes no result; ``cells`` sets the least and most cells of a row. A piece
+    longer than ``CHUNK`` bytes is read whole.
     """
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     octets = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -249,30 +312,9 @@ def frequent_ngrams(docs: DataFrame, longest: int = LONGEST, least: int = LEAST_
     long = context.broadcast(_sketch(rows, tuple(range(3, longest + 1)), size, least, short)) if longest > 2 else None
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, int, str], int] = {}
-
-        def out() -> pa.RecordBatch:
-            langs, lengths, phrases = zip(*held, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(langs), pa.array(lengths, pa.int32()), pa.array(phrases), pa.array(held.values(), pa.int64())], names=["lang", "n_words", "phrase", "f"])
-
-        def add(key: tuple[str, int, str], n: int) -> None:
-            held[key] = held.get(key, 0) + n
-
-        for chunk in _chunks(batches):
-            add((chunk.lang, 0, ""), len(chunk.starts))
-            for n, places, (one, two) in _levels(chunk, tuple(range(1, longest + 1)), short.value, long and long.value):
-                _, first, back, found = np.unique(one, return_index=True, return_inverse=True, return_counts=True)
-                if (two != two[first[back]]).any():  # equal in 64 bits only
-                    _, first, found = np.unique(np.stack([one, two], 1), axis=0, return_index=True, return_counts=True)
-                for p, f in zip(places[first].tolist(), found.tolist(), strict=True):
-                    add((chunk.lang, n, chunk.phrase(p, n)), f)
-            if len(held) >= HELD:
-                yield out()
-                held.clear()
-        if held:
-            yield out()
+        yield from _counts(batches, longest, short.value, long and long.value)
 
-    made = rows.mapInArrow(counted, "lang string, n_words int, phrase string, f long")
+    made = rows.coalesce(context.defaultParallelism).mapInArrow(counted, "lang string, n_words int, phrase string, f long")
     exact = materialize(made.groupBy("lang", "n_words", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("n_words") == 0)), "phrases")
     return exact.where("n_words > 0"), exact.where("n_words = 0").select("lang", F.col("f").alias("n"))
 

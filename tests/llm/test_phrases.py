@@ -101,3 +101,46 @@ def test_sketch_keeps_everything_frequent():
         bits.append(np.packbits(marks))
     kept = phrases.Survivors(bits, size).has([one, two])
     assert kept[:500].all() and kept[500:].sum() < 5
+
+
+def test_rows_of_the_exact_pass_follow_cores_not_parts_of_the_input(spark, monkeypatch):
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
+
+    docs = [(f"a b c d{i % 5} e. f g", ("en", "de")[i // 2 % 2]) for i in range(6400)]
+    frame = spark.createDataFrame([(i, t, g, "", 0) for i, (t, g) in enumerate(docs)], SCHEMA).repartition(160)
+    made, plain = Observation(), type(frame).mapInArrow
+
+    def watched(self, func, schema, *rest, **named):
+        out = plain(self, func, schema, *rest, **named)
+        return out.observe(made, F.count(F.lit(1)).alias("rows")) if "phrase" in schema else out
+
+    monkeypatch.setattr(type(frame), "mapInArrow", watched)
+    ngrams, totals = phrases.frequent_ngrams(frame)
+    assert sorted(map(tuple, totals.collect())) == [("de", 3200 * 7), ("en", 3200 * 7)]
+    assert made.get["rows"] <= spark.sparkContext.defaultParallelism * (ngrams.count() + 2)
+
+
+@pytest.mark.parametrize("bits", [64, 5])
+def test_counts_of_a_task_with_few_held_and_equal_first_hashes(monkeypatch, bits):
+    import pyarrow as pa
+
+    docs = made(80, 3)
+    plain = phrases.WordHashes.of
+    monkeypatch.setattr(phrases.WordHashes, "of", lambda self, *a: [plain(self, *a)[0] & np.uint64((1 << bits) - 1), plain(self, *a)[1]])
+    for name, value in (("CHUNK", 256), ("HELD", 300), ("BATCH", 16)):
+        monkeypatch.setattr(phrases, name, value)
+    keeps = phrases.Survivors([np.full(1 << 13, 255, np.uint8)] * phrases.DEPTH, 1 << 16)
+    batch = pa.RecordBatch.from_arrays([pa.array([g or "und" for _, g in docs]), pa.array([t or "" for t, _ in docs])], names=["lang", "text"])
+    counted = Counter()
+    for part in phrases._counts(iter([batch]), 5, keeps, None):
+        assert part.num_rows <= 16
+        for row in part.to_pylist():
+            counted[row["lang"], row["n_words"], row["phrase"]] += row["f"]
+    want = Counter()
+    for text, lang in docs:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(LOWER)):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            want[lang or "und", 0, ""] += len(words)
+            want.update((lang or "und", k, " ".join(words[i : i + k])) for k in range(1, 6) for i in range(len(words) - k + 1))
+    assert counted == want
