@@ -24,7 +24,7 @@ BLOCKS = 64
 #: Least and most cells of a sketch row. Between them it has about one for eight bytes of text, and a bit for each goes to all tasks.
 CELLS = (1 << 20, 1 << 27)
 #: Phrases that a task counts before it hands the rarer ones on, and most rows that it hands on at once.
-HELD, BATCH = 1 << 20, 1 << 16
+HELD, BATCH = 1 << 21, 1 << 16
 #: Bytes of text that a task looks at in one go.
 CHUNK = 1 << 21
 
